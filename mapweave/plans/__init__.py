@@ -2,9 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("functions",)
-
-
+_MODULES = ("functions", "mapping", "rules", "profiles")
 
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
