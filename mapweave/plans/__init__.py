@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("functions", "mapping", "rules", "profiles", "catalog", "sources", "discovery")
+_MODULES = ("functions", "mapping", "rules", "profiles", "catalog", "sources", "discovery", "evidence", "audit")
 
 def load_all() -> None:
     """Import every query module so that the registry is filled."""
