@@ -18,8 +18,6 @@ from mapweave.operators.ordered import islands, running_count
 HEADER_CANDIDATES = 10
 HEADER_LOOKAHEAD = 5
 LISTED_ROWS = 20
-# Fixed value: rows of a worksheet are numbered below 2**20 + 1.
-ROW_BITS = 20
 
 
 def filled(cell: Column) -> Column:
@@ -170,55 +168,66 @@ def cell_range(min_col: Column, min_row: Column, max_col: Column, max_row: Colum
                     column_letter(max_col), max_row.cast("string"))
 
 
-def _block_size(level: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+_RADIX_BITS = 2
 
 
-def _cover(first: Column, last: Column, bits: int) -> Column:
-    """Fewest aligned blocks (level, block) of power-of-two size that tile first..last."""
-    def at_level(level: Column) -> Column:
-        size = _block_size(level)
-        left = F.ceil(first / size)
-        right = F.floor((last + 1) / size)
-        block = lambda n: F.struct(level.alias("level"), n.cast("bigint").alias("block"))
-        return F.filter(F.array(F.when((left < right) & (left % 2 == 1), block(left)),
-                                F.when((left < right) & (right % 2 == 1), block(right - 1))),
-                        lambda b: b.isNotNull())
+def _levels(df: DataFrame) -> int:
+    """Block sizes that can fit into the longest row range of a table."""
+    longest = df.agg(F.max(F.col("max_row") - F.col("min_row") + 1)).head()[0] or 1
+    return (int(longest).bit_length() - 1) // _RADIX_BITS + 1
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), at_level))
 
+def _block_of(row: Column, level: int) -> Column:
+    return F.shiftright(row.cast("bigint"), _RADIX_BITS * level)
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bits: int | None = ROW_BITS) -> DataFrame:
-    """Pairs of rectangles of one sheet that share a cell.
 
-    Both sides: keys, min_row, max_row, min_col, max_col and an id
-    (``left_id``, ``right_id``). Rows lie in 0 .. 2**bits; ``bits=None`` takes
-    the bound from the data. Two row ranges meet exactly if one starts inside
-    the other, so this is two point-in-range joins. A range is tiled by at
-    most 2*bits aligned blocks and a point lies in one block per level, which
-    makes each an equi join that finds every pair once; no sheet is paired
-    with itself in full.
-    """
-    if bits is None:
-        rows = left.select("max_row").unionByName(right.select("max_row"))
-        bits = int(rows.agg(F.max("max_row")).head()[0] or 0).bit_length()
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """Fewest aligned blocks (level, block), four to a larger one, that tile first..last."""
+    four = 1 << _RADIX_BITS
+
+    def at_level(level: int) -> Column:
+        size = four ** level
+        left, right = _block_of(first + size - 1, level), _block_of(last + 1, level)
+        # Blocks between these borders belong to the next larger size.
+        up = _block_of(left + four - 1, 1) * four
+        down = _block_of(right, 1) * four
+        split = (up < down) if level < levels - 1 else F.lit(False)
+
+        def run(a: Column, b: Column) -> Column:
+            return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        blocks = F.when(split, F.concat(run(left, up), run(down, right))).otherwise(run(left, right))
+        return F.transform(blocks, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block")))
 
-    def points(df: DataFrame, prefix: str) -> DataFrame:
-        levels = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda v: F.struct(
-            v.alias("level"), F.floor(F.col("min_row") / _block_size(v)).alias("block")))
-        return _named(df, prefix, F.inline(levels))
+    return F.concat(*[at_level(level) for level in range(levels)])
 
-    def ranges(df: DataFrame, prefix: str, first: Column) -> DataFrame:
-        return _named(df, prefix, F.inline(_cover(first, F.col("max_row"), bits)))
 
-    def _named(df: DataFrame, prefix: str, blocks: Column) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rectangles of one sheet that share a cell.
+
+    Both sides: keys, min_row, max_row, min_col, max_col (rows from 0) and an
+    id (``left_id``, ``right_id``). Two row ranges meet exactly if one starts
+    inside the other, so this is two point-in-range joins. A range is tiled by
+    a few aligned blocks of growing size and a point lies in one block of each
+    size, which makes each an equi join that finds every pair once: the work
+    follows the number of pairs, and no sheet is paired with itself in full.
+    """
+    def named(df: DataFrame, prefix: str, blocks: Column) -> DataFrame:
         return df.select(*keys, f"{prefix}_id", F.col("min_col").alias(f"{prefix}_min"),
                          F.col("max_col").alias(f"{prefix}_max"), blocks)
 
+    def points(df: DataFrame, prefix: str, levels: int) -> DataFrame:
+        return named(df, prefix, F.inline(F.array(*[
+            F.struct(F.lit(v).alias("level"), _block_of(F.col("min_row"), v).alias("block")) for v in range(levels)])))
+
+    def ranges(df: DataFrame, prefix: str, first: Column, levels: int) -> DataFrame:
+        return named(df, prefix, F.inline(_cover(first.cast("bigint"), F.col("max_row").cast("bigint"), levels)))
+
     on = [*keys, "level", "block"]
+    left_levels, right_levels = _levels(left), _levels(right)
     # Left starts at or after right's start; or right starts after left's start.
-    inside_right = points(left, "left").join(ranges(right, "right", F.col("min_row")), on)
-    inside_left = ranges(left, "left", F.col("min_row") + 1).join(points(right, "right"), on)
+    inside_right = points(left, "left", right_levels).join(ranges(right, "right", F.col("min_row"), right_levels), on)
+    inside_left = ranges(left, "left", F.col("min_row") + 1, left_levels).join(points(right, "right", left_levels), on)
     columns = [*keys, "left_id", "right_id", "left_min", "left_max", "right_min", "right_max"]
     pairs = inside_right.select(*columns).unionByName(inside_left.select(*columns))
     return pairs.where("left_min <= right_max AND right_min <= left_max").select(*keys, "left_id", "right_id")

@@ -143,6 +143,26 @@ def typed_cells(df: DataFrame, row_idx: Column, types: dict[str, Column] | None
     return df.select(F.inline(F.array(*cells)))
 
 
+def _end_rows(present: DataFrame, by_type: DataFrame, samples: int, ranges: int = 1024) -> DataFrame:
+    """Cells in the row ranges that hold each column's first and last values.
+
+    Counting rows per range finds those ranges without sorting the data. Both
+    broadcast frames are bounded: one row per summarised column, and at most
+    ``2 * samples`` ranges of each.
+    """
+    span = by_type.groupBy("col_idx").agg(F.min("seen").alias("_low"), F.max("last").alias("_high")).select(
+        "col_idx", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / ranges).alias("_width"))
+    placed = present.select("col_idx", "row_idx", "value").join(F.broadcast(span), "col_idx").withColumn(
+        "_range", F.floor((F.col("row_idx") - F.col("_low")) / F.col("_width")))
+    counts = placed.groupBy("col_idx", "_range").agg(F.count("*").alias("_n"))
+    w = W.partitionBy("col_idx").orderBy("_range")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.sum("_n").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    wanted = counts.withColumns({"_before": before, "_after": after}).where(
+        (F.col("_before") < samples) | (F.col("_after") < samples)).select("col_idx", "_range")
+    return placed.join(F.broadcast(wanted), ["col_idx", "_range"]).select("col_idx", "row_idx", "value")
+
+
 def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max_columns: int = 52) -> DataFrame:
     """Per-column summary of typed cells: ends, types, and values if they are few."""
     cells = cells.where(F.col("col_idx") <= max_columns)
@@ -150,7 +170,7 @@ def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max
     present = cells.where(F.col("value").isNotNull())
 
     by_type = (present.groupBy("col_idx", "type")
-               .agg(F.count("*").alias("n"), F.min("row_idx").alias("seen")))
+               .agg(F.count("*").alias("n"), F.min("row_idx").alias("seen"), F.max("row_idx").alias("last")))
     types = by_type.groupBy("col_idx").agg(
         F.sum("n").alias("non_empty_count"),
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "seen", "type", "n"))).alias("kinds"))
@@ -164,10 +184,11 @@ def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max
             "Mostly %s (%d/%d) but also: ", top["type"], top["n"], F.col("non_empty_count")), minority))
         .alias("type_inconsistencies"))
 
-    # A rank filter prunes to the first or last values before the shuffle.
+    near_ends = _end_rows(present, by_type, samples)
+
     def ends(direction: Column, name: str) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("col_idx").orderBy(direction))
-        return (present.select("col_idx", "row_idx", "value").withColumn("_r", rank)
+        return (near_ends.withColumn("_r", rank)
                 .where(F.col("_r") <= samples).groupBy("col_idx")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))),
                                  lambda x: x["value"]).alias(name)))

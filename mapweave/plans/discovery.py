@@ -185,7 +185,7 @@ _RIGHT = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 100 END A
 @query("b12_rectangle_overlap", f"""WITH a AS ({_LEFT}), b AS ({_RIGHT}) SELECT a.sheet, left_id, right_id FROM a JOIN b ON a.sheet = b.sheet
  AND a.min_row <= b.max_row AND b.min_row <= a.max_row AND a.min_col <= b.max_col AND b.min_col <= a.max_col""")
 def _(t):
-    return G.overlaps(_sql(t, _LEFT, "lineitem"), _sql(t, _RIGHT, "orders"), ["sheet"], bits=None)
+    return G.overlaps(_sql(t, _LEFT, "lineitem"), _sql(t, _RIGHT, "orders"), ["sheet"])
 
 
 def _duck_uuid5(name):
