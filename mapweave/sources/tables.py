@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.session import shared_dir
+
 
 def append(df: DataFrame, path: str, *partition_by: str) -> None:
     """Append rows to a dataset; one commit per run."""
@@ -26,3 +28,13 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     """Overwrite only the partitions of ``key`` that occur in ``df``."""
     (df.hint("rebalance", key).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several plans use, and read it back.
+
+    It lives below ``spark.checkpoint.dir``, so it outlasts lost executors.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-
+"""Structured Streaming forms of the append-only steps."""
