@@ -21,7 +21,7 @@ SNIFF_CHARS = 65_536
 # Stands for a well-formed quoted cell; from the private use area.
 _QUOTED = chr(0xE000)
 # UTF-16 text as hex units, without lone surrogates.
-_UTF16_LE = r"^(?:..(?!D[89A-F])..|..D[89AB]...D[C-F].)*+$"
+_UTF16_LE = r"^(?:..(?!D[89A-F])..|..D[89AB]..D[C-F])*+$"
 _UTF16_BE = r"^(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*+$"
 
 

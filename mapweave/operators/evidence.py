@@ -140,16 +140,21 @@ def _tiled(corpus: DataFrame, queries: DataFrame, k: int, schema: str, tile: int
     c = corpus.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_tiles)).cast("int")).withColumn(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
 
-    def meet(left, right):
-        import pandas as pd
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        dim = len(right["vector"].iloc[0])
-        best = _nearest_in([(left["id"].to_numpy(), list(left["vector"]))], _unit(_matrix(list(right["vector"]), dim)), k)
-        return pd.concat([pd.DataFrame({"query_id": name, "id": ids, "distance": d})
-                          for name, (ids, d) in zip(right["query_id"], best)])
-
-    return c.groupBy("_c", "_q").cogroup(q.groupBy("_c", "_q")).applyInPandas(meet, schema)
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_type, id_type = right.schema.field("query_id").type, left.schema.field("id").type
+        names = right.column("query_id").to_pylist()
+        best = []
+        if left.num_rows and right.num_rows:
+            vectors = right.column("vector").to_pylist()
+            ids = left.column("id").combine_chunks().to_numpy(zero_copy_only=False)
+            best = _nearest_in([(ids, left.column("vector").combine_chunks())],
+                               _unit(_matrix(vectors, len(vectors[0]))), k)
+        return pa.table({
+            "query_id": pa.array([n for n, (ids, _) in zip(names, best) for _ in ids], query_type),
+            "id": pa.array([i for ids, _ in best for i in ids], id_type),
+            "distance": pa.array([None if np.isnan(d) else d for _, ds in best for d in ds], pa.float64())})
+
+    return c.groupBy("_c", "_q").cogroup(q.groupBy("_c", "_q")).applyInArrow(meet, schema)
 
 
 def search(corpus: DataFrame, vector: Sequence[float], k: int = HITS_PER_QUERY, condition: Column | None = None,

@@ -27,9 +27,11 @@ def header_value(headers: Column, name: str) -> Column:
 
 def parse_messages(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``headers`` (array of name and value, folded lines joined) and ``body_text``."""
-    split = F.col(raw).rlike(_BLANK_LINE)
-    head = F.when(split, F.regexp_extract(raw, _BLANK_LINE, 1)).otherwise(F.col(raw))
-    body = F.when(split, F.regexp_extract(raw, _BLANK_LINE, 2)).otherwise("")
+    # A message that starts with a blank line has no headers.
+    text = F.concat(F.lit("\n"), raw)
+    split = text.rlike(_BLANK_LINE)
+    head = F.when(split, F.regexp_extract(text, _BLANK_LINE, 1)).otherwise(text)
+    body = F.when(split, F.regexp_extract(text, _BLANK_LINE, 2)).otherwise("")
     lines = F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n")
     pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(
         F.regexp_extract(x, "^([^:]*):", 1).alias("name"),
