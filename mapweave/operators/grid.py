@@ -182,24 +182,20 @@ def _block_of(row: Column, level: int) -> Column:
 
 
 def _cover(first: Column, last: Column, levels: int) -> Column:
-    """Fewest aligned blocks (level, block), four to a larger one, that tile first..last."""
-    four = 1 << _RADIX_BITS
+    """Runs (level, first block, end) of the fewest aligned blocks that tile first..last.
 
-    def at_level(level: int) -> Column:
-        size = four ** level
-        left, right = _block_of(first + size - 1, level), _block_of(last + 1, level)
+    Four blocks make one of the next level. Runs may be empty.
+    """
+    four = 1 << _RADIX_BITS
+    runs = []
+    for level in range(levels):
+        left, right = _block_of(first + four ** level - 1, level), _block_of(last + 1, level)
         # Blocks between these borders belong to the next larger size.
-        up = _block_of(left + four - 1, 1) * four
-        down = _block_of(right, 1) * four
+        up, down = _block_of(left + four - 1, 1) * four, _block_of(right, 1) * four
         split = (up < down) if level < levels - 1 else F.lit(False)
-
-        def run(a: Column, b: Column) -> Column:
-            return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-
-        blocks = F.when(split, F.concat(run(left, up), run(down, right))).otherwise(run(left, right))
-        return F.transform(blocks, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block")))
-
-    return F.concat(*[at_level(level) for level in range(levels)])
+        for start, end in ((left, F.when(split, up).otherwise(right)), (F.when(split, down).otherwise(right), right)):
+            runs.append(F.struct(F.lit(level).alias("level"), start.alias("start"), end.alias("end")))
+    return F.array(*runs)
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,7 +217,9 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(F.lit(v).alias("level"), _block_of(F.col("min_row"), v).alias("block")) for v in range(levels)])))
 
     def ranges(df: DataFrame, prefix: str, first: Column, levels: int) -> DataFrame:
-        return named(df, prefix, F.inline(_cover(first.cast("bigint"), F.col("max_row").cast("bigint"), levels)))
+        runs = named(df, prefix, F.inline(_cover(first.cast("bigint"), F.col("max_row").cast("bigint"), levels)))
+        blocks = F.explode(F.sequence("start", F.col("end") - 1)).alias("block")
+        return runs.where("start < end").select("*", blocks).drop("start", "end")
 
     on = [*keys, "level", "block"]
     left_levels, right_levels = _levels(left), _levels(right)

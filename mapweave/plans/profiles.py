@@ -13,13 +13,22 @@ def _joined(df, *names):
     return df.withColumns({n: F.array_join(n, "|") for n in names})
 
 
-@query("p01_type_inference", """
-SELECT * FROM (VALUES ('event_id', 'string', 'bigint'), ('user', 'string', 'string'), ('value', 'string', 'double'),
- ('flag', 'string', 'boolean'), ('none', 'null', 'string'), ('ts', 'datetime', 'string'), ('day', 'date', 'string'),
- ('raw', 'number', 'double')) v(a, b, c)
- JOIN (SELECT bool_and(regexp_matches(CAST(event_id AS VARCHAR), '^[0-9]+$')) AND NOT bool_and(event_type <> 'error')
-  AND bool_and(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NOT NULL) AS ok FROM events) ON ok
-""".replace("SELECT *", "SELECT a AS \"column\", b AS inferred_type, c AS load_type"))
+_TYPED = """(SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_type = 'error' THEN 'anon' ELSE CAST(user_id AS VARCHAR) END AS "user",
+ CAST(value AS VARCHAR) AS value, CAST(value > 5 AS VARCHAR) AS flag, CASE WHEN event_id < 0 THEN 'x' ELSE '' END AS none, ts, CAST(ts AS DATE) AS day,
+ value AS raw FROM events)"""
+_TEXT_TYPE = """
+SELECT '{c}' AS "column", CASE WHEN count(v) = 0 THEN 'null' ELSE 'string' END AS inferred_type,
+ CASE WHEN count(v) = 0 THEN 'string' WHEN bool_and(regexp_matches(v, '^(?i)(true|false)$')) THEN 'boolean' WHEN bool_and(regexp_matches(v, '^[+-]?[0-9]+$')
+ AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'bigint' WHEN bool_and(regexp_matches(v, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')) THEN 'double'
+ ELSE 'string' END AS load_type FROM (SELECT nullif("{c}", '') AS v FROM {src})"""
+_NATIVE_TYPE = """
+SELECT '{c}', CASE WHEN count({c}) = 0 THEN 'null' ELSE '{label}' END, CASE WHEN count({c}) = 0 THEN 'string' ELSE '{load}' END FROM {src}"""
+
+
+@query("p01_type_inference", " UNION ALL ".join(
+    [_TEXT_TYPE.format(c=c, src=_TYPED) for c in ("event_id", "user", "value", "flag", "none")]
+    + [_NATIVE_TYPE.format(c=c, label=k, load=d, src=_TYPED) for c, k, d in (
+        ("ts", "datetime", "string"), ("day", "date", "string"), ("raw", "number", "double"))]))
 def _(t):
     return P.infer_types(t.events.select(
         F.col("event_id").cast("string").alias("event_id"),

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     cluster session without it is an error, since a machine-local folder would
     be invisible to the other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
