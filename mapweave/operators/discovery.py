@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from mapweave.functions.ids import column_id, table_id
 from mapweave.operators import dialect as L
 from mapweave.operators import grid as G
-from mapweave.operators.ordered import running_count
+from mapweave.operators.ordered import join_by_range, running_count
 from mapweave.sources.tables import stage
 
 _BOOLEAN = r"(?i)^\s*(true|false)\s*$"
@@ -102,7 +102,7 @@ def discover_delimited(files: DataFrame, sniff_chars: int | None = L.SNIFF_CHARS
     shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem").agg(F.count("*").alias("_rows")).drop("_rows")
     rows = grid.where(F.exists("cells", lambda c: F.trim(c) != ""))
     width = G.modal_width(grid, key)
-    padded = (rows.join(width, key).withColumn("cells", G.pad(F.col("cells"), F.col("width")))
+    padded = (join_by_range(rows, width, key, "row_idx").withColumn("cells", G.pad(F.col("cells"), F.col("width")))
               .select("file_id", "row_idx", "cells"))
     placed = stage(running_count(padded, key, "row_idx", "_n").withColumn("pos", F.col("_n") - 1).drop("_n"), "rows")
     headers = stage(G.header_rows(placed, key, "pos"), "headers")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from mapweave.functions.scalar import normalize_name
 from mapweave.functions.text import nfkc
-from mapweave.operators.ordered import islands, running_count
+from mapweave.operators.ordered import islands, join_by_range, running_count
 
 HEADER_CANDIDATES = 10
 HEADER_LOOKAHEAD = 5
@@ -55,26 +55,41 @@ def normalized_headers(headers: DataFrame, keys: list[str]) -> DataFrame:
                                F.lit("' was renamed."))).alias("warning"))
 
 
+def _widths(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per table and width: all, and those with text (with the first of them)."""
+    text = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    return (grid.where(F.size("cells") > 0).groupBy(*keys, F.size("cells").alias("w"))
+            .agg(F.count("*").alias("n_all"), F.count_if(text).alias("n"), F.min(F.when(text, F.col("row_idx"))).alias("seen")))
+
+
+def _modal(widths: DataFrame, keys: list[str]) -> DataFrame:
+    return (widths.where("n > 0").groupBy(*keys)
+            .agg(F.max_by("w", F.struct("n", -F.col("seen"))).alias("width")))
+
+
 def modal_width(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Most common width of the populated rows; ties go to the width seen first."""
-    rows = grid.where(F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
-    by_width = rows.groupBy(*keys, F.size("cells").alias("w")).agg(
-        F.count("*").alias("n"), F.min("row_idx").alias("seen"))
-    return by_width.groupBy(*keys).agg(F.max_by("w", F.struct("n", -F.col("seen"))).alias("width"))
+    return _modal(_widths(grid, keys), keys)
 
 
 def ragged_rows(grid: DataFrame, keys: list[str], listed: int = LISTED_ROWS) -> DataFrame:
     """Tables with rows of another width: how many, and the first of them.
 
-    The rank limit prunes to ``listed`` rows per table before the shuffle.
+    Counts come from the rows per width, and the first rows of every width are
+    kept by a rank limit that prunes before the shuffle; no row is joined.
     """
-    odd = (grid.where(F.size("cells") > 0).join(modal_width(grid, keys), keys)
-           .where(F.size("cells") != F.col("width")).select(*keys, "width", "row_idx"))
-    counts = odd.groupBy(*keys, "width").agg(F.count("*").alias("ragged"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("row_idx"))
-    first = (odd.withColumn("_r", rank).where(F.col("_r") <= listed)
-             .groupBy(*keys).agg(F.array_sort(F.collect_list("row_idx")).alias("rows")))
-    return counts.join(first, keys)
+    widths = _widths(grid, keys)
+    odd = widths.join(_modal(widths, keys), keys).where("w <> width")
+    counts = odd.groupBy(*keys, "width").agg(F.sum("n_all").alias("ragged"))
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy("row_idx"))
+        return rows.withColumn("_r", rank).where(F.col("_r") <= listed).drop("_r")
+
+    by_width = first(grid.where(F.size("cells") > 0).select(*keys, F.size("cells").alias("w"), "row_idx"), *keys, "w")
+    rows = (first(by_width.join(odd.select(*keys, "w"), [*keys, "w"], "left_semi"), *keys)
+            .groupBy(*keys).agg(F.array_sort(F.collect_list("row_idx")).alias("rows")))
+    return counts.join(rows, keys)
 
 
 def row_score(cells: Column, following: Column, types: Column | None = None) -> Column:
@@ -108,13 +123,13 @@ def header_rows(grid: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 def data_rows(grid: DataFrame, headers: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Rows below the header without blank rows and repeats of the header."""
-    below = grid.join(headers.select(*keys, "header_pos", "header"), keys).where(F.col(pos) > F.col("header_pos"))
+    below = join_by_range(grid, headers.select(*keys, "header_pos", "header"), keys, "row_idx").where(F.col(pos) > F.col("header_pos"))
     return below.where(populated("cells") & ~F.col("cells").eqNullSafe(F.col("header"))).drop("header", "header_pos")
 
 
 def dropped_rows(grid: DataFrame, headers: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Preamble, blank and repeated-header rows of each table."""
-    joined = grid.join(headers.select(*keys, "header_pos", "header"), keys)
+    joined = join_by_range(grid, headers.select(*keys, "header_pos", "header"), keys, "row_idx")
     below = F.col(pos) > F.col("header_pos")
     return joined.groupBy(*keys).agg(
         F.first("header_pos").alias("preamble"),
@@ -145,7 +160,7 @@ def region_cells(numbered: DataFrame, bounds: DataFrame, keys: list[str]) -> Dat
     cut = {"cells": pad(F.slice("cells", F.col("min_col"), width), width)}
     if "types" in numbered.columns:
         cut["types"] = pad(F.slice("types", F.col("min_col"), width), width)
-    return (numbered.join(tables, [*keys, "region"])
+    return (join_by_range(numbered, tables, [*keys, "region"], "row_idx")
             .select(*keys, "region", *rest, *[c.alias(n) for n, c in cut.items()],
                     (F.col("row_idx") - F.col("min_row")).alias("pos")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def nest(children: DataFrame, keys: list[str], order_id: str, fields: list[str], name: str,
@@ -15,9 +16,8 @@ def nest(children: DataFrame, keys: list[str], order_id: str, fields: list[str],
     of ``slice_rows``, so no array ever outgrows one range and no hot key is
     collected by one task. All children are kept.
     """
-    sizes = children.groupBy(*keys).agg(F.count("*").alias("n_items"))
     item = F.struct(F.col(order_id).alias("_order"), *[F.col(f) for f in fields])
-    sliced = children.join(sizes, keys).withColumn("slice_no", _slice(order_id, slice_rows))
+    sliced = _sliced(children, keys, order_id, slice_rows)
     return (sliced.groupBy(*keys, "n_items", "slice_no")
             .agg(F.array_sort(F.collect_list(item)).alias("_items"))
             .withColumn(name, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
@@ -27,13 +27,20 @@ def nest(children: DataFrame, keys: list[str], order_id: str, fields: list[str],
 def join_text(children: DataFrame, keys: list[str], order_id: str, text: Column, separator: str,
               name: str, slice_rows: int = 10_000) -> DataFrame:
     """Texts of a group joined in sorted order, sliced like ``nest``."""
-    sizes = children.groupBy(*keys).agg(F.count("*").alias("n_items"))
-    sliced = (children.withColumn("_text", text).join(sizes, keys)
-              .withColumn("slice_no", _slice(order_id, slice_rows)))
+    sliced = _sliced(children.withColumn("_text", text), keys, order_id, slice_rows)
     return sliced.groupBy(*keys, "n_items", "slice_no").agg(
         F.array_join(F.array_sort(F.collect_list("_text")), separator).alias(name))
 
 
-def _slice(order_id: str, slice_rows: int) -> Column:
-    return (F.when(F.col("n_items") <= slice_rows, F.lit(0).cast("bigint"))
-            .otherwise(F.floor(F.col(order_id) / slice_rows)))
+def _sliced(children: DataFrame, keys: list[str], order_id: str, slice_rows: int) -> DataFrame:
+    """Children with the size of their group and the slice they belong to.
+
+    Sizes are joined on (keys, range), so that a hot group is spread over the
+    tasks of its ranges.
+    """
+    ranged = children.withColumn("_range", F.floor(F.col(order_id) / slice_rows))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(W.partitionBy(*keys))
+    slices = sizes.withColumn("n_items", total).withColumn(
+        "slice_no", F.when(F.col("n_items") <= slice_rows, F.lit(0).cast("bigint")).otherwise(F.col("_range")))
+    return ranged.join(slices.drop("_n"), [*keys, "_range"]).drop("_range")

@@ -44,3 +44,16 @@ def islands(df: DataFrame, keys: list[str], order: str, max_gap: int, out: str,
     seen = F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))
     return (local.withColumn("_seen", seen).join(starts, [*keys, "_chunk"])
             .withColumn(out, F.col("_start") + F.col("_seen")).drop("_chunk", "_new", "_seen", "_start"))
+
+
+def join_by_range(rows: DataFrame, tables: DataFrame, keys: list[str], order: str,
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Inner join of rows with one record per group, spread by row range.
+
+    A plain join on the group would bring all rows of a hot one together, and
+    an aggregate on the same keys after it keeps AQE from splitting them.
+    Joining on (keys, range) costs one record per range instead.
+    """
+    chunked = rows.withColumn("_chunk", F.floor(F.col(order) / chunk_rows))
+    placed = chunked.select(*keys, "_chunk").distinct().join(tables, keys)
+    return chunked.join(placed, [*keys, "_chunk"]).drop("_chunk")
