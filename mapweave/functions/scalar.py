@@ -22,6 +22,12 @@ STRPTIME_TO_SPARK = {
 COMMON_DATE_FORMATS = ("%d/%m/%Y", "%Y-%m-%d", "%d-%b-%Y")
 
 
+# Every character that counts as white space, by its Unicode property; the
+# separators 0x1C-0x1F count in Python's ``strip`` only.
+PYTHON_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+UNICODE_SPACE = "".join(c for c in PYTHON_SPACE if not 0x1C <= ord(c) <= 0x1F)
+
+
 def spark_pattern(fmt: str) -> str:
     """Spark datetime pattern for a strptime format; other text is passed on."""
     for directive, letters in STRPTIME_TO_SPARK.items():
@@ -69,8 +75,8 @@ def titlecase(c: Column) -> Column:
 
 
 def strip_chars(c: Column) -> Column:
-    """Remove all Unicode whitespace at both ends (``trim`` keeps tabs)."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Remove all Unicode white space at both ends (``trim`` keeps tabs)."""
+    return F.btrim(c, F.lit(UNICODE_SPACE))
 
 
 def replace_values(c: Column, mapping: Mapping[str, str]) -> Column:
@@ -132,7 +138,7 @@ _SQL_FUNCTIONS = {
         r"array_join(transform(regexp_extract_all(s, '([\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+)', 1),"
         r" x -> concat(upper(substring(x, 1, 1)), lower(substring(x, 2)))), '')",
     "strip_chars(s STRING) RETURNS STRING":
-        r"regexp_replace(regexp_replace(s, '(?U)^\\s+', ''), '(?U)\\s+$', '')",
+        f"btrim(s, '{UNICODE_SPACE}')",
     "parse_date(s STRING, fmt STRING) RETURNS DATE": "try_to_date(s, fmt)",
     "parse_date_any(s STRING) RETURNS DATE":
         "coalesce(" + ", ".join(f"try_to_date(s, '{spark_pattern(f)}')"

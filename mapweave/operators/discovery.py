@@ -75,7 +75,11 @@ def _assemble(tables: DataFrame, headers: DataFrame, data: DataFrame, dropped: D
               .withColumn("row_count", F.coalesce("row_count", F.lit(0)))
               .withColumn("source_table_id", table_id(sha256, sheet, cell_range, header_number, F.col("names"))))
     tables = stage(tables, "tables")
+    # A table without data rows still has its columns.
+    nothing = {"inferred_type": F.lit("null"), "load_type": F.lit("string"), "examples": F.array().cast("array<string>"),
+               "null_count": F.lit(0), "null_rate": F.lit(0.0), "cardinality": F.lit(0), "candidate_key_score": F.lit(0.0)}
     columns = (names.join(column_statistics(data, keys), [*keys, "ordinal"], "left")
+               .withColumns({c: F.coalesce(c, value) for c, value in nothing.items()})
                .join(tables.select(*keys, "source_table_id"), keys)
                .withColumn("source_column_id", column_id(F.col("source_table_id"), F.col("ordinal") - 1, F.col("normalized_name"))))
     return tables, stage(columns, "columns")
@@ -100,13 +104,13 @@ def discover_delimited(files: DataFrame, sniff_chars: int | None = L.SNIFF_CHARS
     key = ["file_id"]
     grid = stage(L.csv_grid(files, sniff_chars), "grid")
     shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem").agg(F.count("*").alias("_rows")).drop("_rows")
-    rows = grid.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    rows = grid.where(G.has_text("cells"))
     width = G.modal_width(grid, key)
     padded = (join_by_range(rows, width, key, "row_idx").withColumn("cells", G.pad(F.col("cells"), F.col("width")))
               .select("file_id", "row_idx", "cells"))
     placed = stage(running_count(padded, key, "row_idx", "_n").withColumn("pos", F.col("_n") - 1).drop("_n"), "rows")
     headers = stage(G.header_rows(placed, key, "pos"), "headers")
-    data = G.data_rows(placed, headers, key, "pos")
+    data = G.data_rows(placed, headers, key, "pos", keep_blank=True)
     dropped = G.dropped_rows(placed, headers, key, "pos").select("file_id", "repeated")
     ragged = G.ragged_rows(grid, key).select("file_id", "ragged", F.col("rows").alias("ragged_rows"))
     hashes = files.select("file_id", F.sha2("content", 256).alias("file_sha256"))
@@ -157,7 +161,10 @@ def discover_sheets(grid: DataFrame, hashes: DataFrame, merged: DataFrame | None
         _warning("repeated_header", F.col("repeated") > 0, F.format_string("Removed %d repeated header row(s) at %s.", F.col("repeated"), place_name)))
     titles = bounds.where("is_title").select(*keys, F.lit("title_row_ignored").alias("code"), F.lit("Ignored an isolated worksheet title row.").alias("message"))
     renamed = columns.where("warning IS NOT NULL").select(*keys, F.lit("duplicate_header").alias("code"), F.col("warning").alias("message"))
-    warnings = warnings.unionByName(titles).unionByName(renamed)
+    blank = G.empty_sources(grid.select(*sheet_keys).distinct(), numbered, sheet_keys).select(
+        *sheet_keys, F.lit(None).cast("bigint").alias("region"), F.lit("empty_sheet").alias("code"),
+        F.concat_ws(" ", F.lit("Worksheet"), "sheet", "warning").alias("message"))
+    warnings = warnings.unionByName(titles).unionByName(renamed).unionByName(blank)
     if merged is not None:
         left = tables.select(*sheet_keys, F.col("region").alias("left_id"), F.col("header_row").alias("min_row"), "max_row", "min_col", "max_col")
         right = merged.withColumnRenamed("range", "right_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from mapweave.functions.scalar import normalize_name
+from mapweave.functions.scalar import PYTHON_SPACE, normalize_name
 from mapweave.functions.text import nfkc
 from mapweave.operators.ordered import islands, join_by_range, running_count
 
@@ -24,6 +24,15 @@ def filled(cell: Column) -> Column:
     return cell.isNotNull() & (cell != "")
 
 
+def stripped(cell: Column) -> Column:
+    return F.btrim(cell, F.lit(PYTHON_SPACE))
+
+
+def has_text(cells: Column) -> Column:
+    """True where a row has a cell with more than white space."""
+    return F.exists(cells, lambda c: c.isNotNull() & (stripped(c) != ""))
+
+
 def populated(cells: Column) -> Column:
     """True where a row has a cell that is neither null nor empty."""
     return F.exists(cells, filled)
@@ -44,7 +53,7 @@ def normalized_headers(headers: DataFrame, keys: list[str]) -> DataFrame:
     name = normalize_name(nfkc(F.coalesce("header", F.lit(""))), F.col("ordinal"))
     named = headers.withColumn("_name", name)
     counted = running_count(named, [*keys, "_name"], "ordinal", "_k")
-    original = F.trim(F.coalesce("header", F.lit("")))
+    original = stripped(F.coalesce("header", F.lit("")))
     again = F.col("_k") > 1
     return counted.select(
         *keys, "ordinal",
@@ -57,7 +66,7 @@ def normalized_headers(headers: DataFrame, keys: list[str]) -> DataFrame:
 
 def _widths(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per table and width: all, and those with text (with the first of them)."""
-    text = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    text = has_text("cells")
     return (grid.where(F.size("cells") > 0).groupBy(*keys, F.size("cells").alias("w"))
             .agg(F.count("*").alias("n_all"), F.count_if(text).alias("n"), F.min(F.when(text, F.col("row_idx"))).alias("seen")))
 
@@ -121,10 +130,11 @@ def header_rows(grid: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return scored.groupBy(*keys).agg(best.alias("_h")).select(*keys, "_h.*")
 
 
-def data_rows(grid: DataFrame, headers: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Rows below the header without blank rows and repeats of the header."""
+def data_rows(grid: DataFrame, headers: DataFrame, keys: list[str], pos: str, keep_blank: bool = False) -> DataFrame:
+    """Rows below the header without repeats of it and, by default, blank rows."""
     below = join_by_range(grid, headers.select(*keys, "header_pos", "header"), keys, "row_idx").where(F.col(pos) > F.col("header_pos"))
-    return below.where(populated("cells") & ~F.col("cells").eqNullSafe(F.col("header"))).drop("header", "header_pos")
+    kept = below.where(~F.col("cells").eqNullSafe(F.col("header"))).drop("header", "header_pos")
+    return kept if keep_blank else kept.where(populated("cells"))
 
 
 def dropped_rows(grid: DataFrame, headers: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.functions.encoding import cp1252_from_latin1
+from mapweave.functions.scalar import PYTHON_SPACE
 from mapweave.schemas import TARGET_SCHEMA, TargetColumn, TargetTable
 from mapweave.sources.files import scan_folder
 
@@ -81,7 +82,7 @@ def grid_region(grid: DataFrame, names: Sequence[str], headers: Sequence[str | N
                            F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
     cells = (grid.where(F.col("row_idx").between(rows[0] + 1, rows[1])).select("row_idx", cut.alias("cells")))
     header = F.array(*[F.lit((h or "").strip()) for h in headers])
-    plain = F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit("")))
+    plain = F.transform("cells", lambda c: F.coalesce(F.btrim(c, F.lit(PYTHON_SPACE)), F.lit("")))
     kept = cells.where(F.exists("cells", lambda c: c.isNotNull() & (c != "")) & (plain != header))
     return kept.select("row_idx", *[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
