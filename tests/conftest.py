@@ -11,7 +11,7 @@ from mapweave.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", 4, **{"spark__checkpoint__dir": tempfile.mkdtemp(prefix="mapweave-test-"),
+    session = build_session("local[8]", 2, **{"spark__checkpoint__dir": tempfile.mkdtemp(prefix="mapweave-test-"),
                                               "spark__driver__memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
