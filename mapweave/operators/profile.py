@@ -166,20 +166,19 @@ def _end_rows(present: DataFrame, by_type: DataFrame, samples: int, ranges: int
 def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max_columns: int = 52) -> DataFrame:
     """Per-column summary of typed cells: ends, types, and values if they are few."""
     cells = cells.where(F.col("col_idx") <= max_columns)
-    headers = cells.groupBy("col_idx").agg(F.first("header").alias("header"))
     present = cells.where(F.col("value").isNotNull())
-
-    by_type = (present.groupBy("col_idx", "type")
-               .agg(F.count("*").alias("n"), F.min("row_idx").alias("seen"), F.max("row_idx").alias("last")))
-    types = by_type.groupBy("col_idx").agg(
-        F.sum("n").alias("non_empty_count"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "seen", "type", "n"))).alias("kinds"))
-    top = F.element_at("kinds", 1)
-    rest = F.expr("array_sort(transform(slice(kinds, 2, size(kinds)), k -> struct(k.seen, k.type, k.n)))")
+    row = F.when(F.col("value").isNotNull(), F.col("row_idx"))
+    by_type = (cells.groupBy("col_idx", "header", "type")
+               .agg(F.count("value").alias("n"), F.min(row).alias("seen"), F.max(row).alias("last")))
+    kind = F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("rank"), "seen", "type", "n"))
+    types = by_type.groupBy("col_idx", "header").agg(
+        F.sum("n").alias("non_empty_count"), F.array_sort(F.collect_list(kind)).alias("kinds"))
+    top = F.try_element_at("kinds", F.lit(1))
+    rest = F.expr("array_sort(transform(slice(kinds, 2, greatest(size(kinds), 1)), k -> struct(k.seen, k.type, k.n)))")
     minority = F.array_join(F.transform(
         rest, lambda k: F.format_string("%s (%d)", k["type"], k["n"])), ", ")
     types = types.select(
-        "col_idx", "non_empty_count", top["type"].alias("dominant_type"),
+        "col_idx", "header", "non_empty_count", top["type"].alias("dominant_type"),
         F.when(F.size("kinds") > 1, F.concat(F.format_string(
             "Mostly %s (%d/%d) but also: ", top["type"], top["n"], F.col("non_empty_count")), minority))
         .alias("type_inconsistencies"))
@@ -198,11 +197,9 @@ def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max
     few = (values.withColumn("_r", rank).where(F.col("_r") <= categories + 1)
            .groupBy("col_idx").agg(F.array_sort(F.collect_list("value")).alias("v"))
            .select("col_idx", F.when(F.size("v") <= categories, F.col("v")).alias("distinct_values")))
-    return (headers.join(types, "col_idx", "left")
-            .join(ends(F.col("row_idx").asc(), "first_values"), "col_idx", "left")
+    return (types.join(ends(F.col("row_idx").asc(), "first_values"), "col_idx", "left")
             .join(ends(F.col("row_idx").desc(), "last_values"), "col_idx", "left")
             .join(few, "col_idx", "left")
-            .withColumn("non_empty_count", F.coalesce("non_empty_count", F.lit(0)))
             .withColumn("last_values", F.when(F.col("non_empty_count") > samples, F.col("last_values"))))
 
 
