@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, simhash, substrings
+from mapweave.llm import decontamination, simhash, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,17 @@ from dw left join words using (row) left join ids using (row)""")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op10_exact_top_k", """
+with v as (select vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)::bigint) as v from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding::double[], lambda x: isfinite(x))) = len(embedding)),
+s as (select q.vec_id as query_id, c.vec_id,
+        list_inner_product(q.v::double[], c.v::double[])::bigint as score
+      from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 20""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
