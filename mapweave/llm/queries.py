@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, simhash, substrings, topk
+from mapweave.llm import decontamination, html_text, simhash, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op9_html_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
 @query("op10_exact_top_k", """
 with v as (select vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)::bigint) as v from embeddings
   where vec_id is not null and len(embedding) > 0
