@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, html_text, personal_data, simhash, substrings, topk
+from mapweave.llm import decontamination, html_text, personal_data, quality, simhash, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents")).drop("n_same")
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, folder, "documents"))
@@ -43,6 +48,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.report(_table(spark, folder, "documents"))
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.grades(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query("op8_benchmark_decontamination", """
 with dw as (select rowid as row, doc_id, list_filter(regexp_split_to_array(
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
