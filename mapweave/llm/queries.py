@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, html_text, personal_data, quality, simhash, substrings, topk, toxicity
+from mapweave.llm import decontamination, html_text, licenses, personal_data, quality, simhash, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,49 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.report(_table(spark, folder, "documents"))
 
 
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def line(c: str) -> str:
+        c = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        c = f"regexp_replace({c}, {quote(licenses.COPYRIGHT_LINE)}, '')"
+        for pattern, to in licenses.LINE_RULES:
+            c = f"regexp_replace({c}, {quote(pattern)}, {quote(to)}, 'g')"
+        return f"trim({c}, ' ')"
+
+    def words(c: str) -> str:
+        c = f"' ' || {c} || ' '"
+        for pattern, to in licenses.SPELLINGS:
+            end = "" if pattern.endswith(")") else " "
+            c = f"regexp_replace({c}, {quote(' ' + pattern + end)}, {quote(' ' + to + end)}, 'g')"
+        return f"trim({c}, ' ')"
+
+    def split(c: str) -> str:
+        lines = f"list_transform(regexp_split_to_array({c}, '\\r?\\n|\\r'), lambda l: {line('l')})"
+        return f"list_filter({lines}, lambda l: l <> '')"
+
+    known = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in licenses.KNOWN)
+    paragraph = "'(?:\\r?\\n|\\r)[\\x20\\t]*(?:\\r?\\n|\\r)+'"
+    return f"""
+with known as (select distinct license, sha256({words(f"array_to_string({split('text')}, ' ')")}) as digest
+  from (values {known}) as k(license, text)),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+u as (select r, 'line' as scope, unnest({split('text')}) as c from d
+  union all select r, 'paragraph', array_to_string({split('p')}, ' ')
+    from (select r, unnest(regexp_split_to_array(text, {paragraph})) as p from d)
+  union all select r, 'text', array_to_string({split('text')}, ' ') from d),
+hits as (select r, scope, license from u join known on digest = sha256({words('c')}) where c <> '')
+select doc_id, count(license)::bigint as n_matches,
+  coalesce(string_agg(distinct license, ',' order by license), '') as licenses,
+  coalesce(bool_or(scope = 'text'), false) as is_license
+from d left join hits using (r) group by r, doc_id"""
+
+
+@query("op6_license_scan", _license_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grades(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
