@@ -29,7 +29,7 @@ TOP = 20
 SCALE = 64
 #: Rows of one candidate block and of one query block, about.
 CANDIDATE_ROWS = 65_536
-QUERY_ROWS = 256
+QUERY_ROWS = 1024
 
 Bitmaps = list  # of packed uint64 arrays
 
@@ -40,7 +40,7 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int
     limit = float(1 << 31) / scale
     fits = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     large = F.exists(x, lambda e: F.abs(e) >= limit)
-    v = F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("long"))
+    v = F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("int"))
     return vectors.filter(F.col(id_column).isNotNull() & (F.size(x) > 0) & fits).select(
         F.col(id_column).cast("long").alias("vec_id"),
         F.when(large, F.raise_error(F.lit("a component is too large for a 64-bit score"))).otherwise(v).alias("v"))
