@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, html_text, licenses, personal_data, quality, simhash, substrings, topk, toxicity
+from mapweave.llm import decontamination, html_text, licenses, mixing, personal_data, quality, simhash, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, folder, "documents")).drop("n_same")
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_mixing_weights")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "labels"), mixing.TARGETS, F.col("lang"))
 
 
 @query("op3_toxicity")
@@ -140,3 +146,10 @@ from s qualify rank <= 20""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, folder, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

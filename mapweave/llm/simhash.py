@@ -70,15 +70,17 @@ def fingerprint(text: bytes, n: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits) for every row; the bits are a signed long."""
+    """(doc_id, print, bits) for every row: id, hash of the text, fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_texts(batch.column(1))
             bits = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits)],
+                                             names=["doc_id", "print", "bits"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, bits long")
+    rows = id_and_text(docs).withColumn("print", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, print long, bits long")
 
 
 def _views(widths: tuple[int, ...]) -> list[tuple[int, ...]]:
@@ -276,7 +278,11 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_same): one row per document row."""
+    """(doc_id, fingerprint, component_id, n_same, print, label): one row per document row.
+
+    ``n_same`` rows have the same fingerprint; ``label`` names the component also
+    where no id is known.
+    """
     prints = stage(fingerprints(docs), "simhash-fingerprints")
     distinct = stage(prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same")),
                      "simhash-distinct")
@@ -284,6 +290,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = distinct.join(labels.select(F.col("node").alias("bits"), "label"), "bits", "left").select(
         "bits", "first_id", "n_same", F.coalesce("label", "bits").alias("label"))
     smallest = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    placed = known.join(smallest, "label").select("bits", "component_id", "n_same")
+    placed = known.join(smallest, "label").select("bits", "component_id", "n_same", "label")
     return prints.join(placed, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "n_same", "print", "label")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component, all columns kept.
+
+    Rows that repeat the kept id are reduced to one; where no id is known, one
+    row of the component stays. Only ids and fingerprints are shuffled: repeated
+    rows, which are few, are the only texts that are grouped.
+    """
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    found = stage(near_duplicates(docs), "simhash-components")
+    # The smallest (id, print) of a component names its document; unknown ids come last.
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")
+    first = found.groupBy("fingerprint", "component_id").agg(F.min(row).alias("row"), F.min("label").alias("label"))
+    chosen = stage(first.groupBy("label").agg(F.min("row").alias("row")).select(
+        F.col("row.doc_id").alias("_llm_id"), F.col("row.print").alias("_llm_print")), "simhash-chosen")
+    often = found.groupBy("doc_id", "print").count().filter("count > 1").select(
+        F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"))
+    often = stage(often.join(chosen, _same(often, chosen), "left_semi"), "simhash-repeated")
+    once = stage(chosen.join(often, _same(chosen, often), "left_anti"), "simhash-single")
+    keyed = docs.select(*names, F.xxhash64(F.col("text").cast("string")).alias("_llm_text"))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        mine = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_text") == F.col("_llm_print"))
+        return keyed.join(wanted, mine, "left_semi").select(*names)
+
+    repeated = rows_of(often).dropDuplicates(["doc_id", "text"])
+    return rows_of(once).union(repeated)
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["_llm_id"].eqNullSafe(b["_llm_id"]) & (a["_llm_print"] == b["_llm_print"])
