@@ -142,11 +142,12 @@ def repeated_blocks(docs: DataFrame, window: int = WINDOW, table_bits: int = TAB
                   .groupBy("b1", "ab").agg(F.first("w1").alias("w1"), F.first("w2").alias("w2")), "repeat-borders")
     single = edges.select("b1", "ab", "w2", F.posexplode("w1").alias("i", "w1")).select(
         "w1", F.expr("w2[i]").alias("w2"), "b1", "ab", "i")
-    twice = single.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
+    # Written, so that the joins deal out both sides anew and a hot key is split.
+    twice = stage(single.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "repeat-windows")
     partly = single.join(twice, ["w1", "w2"], "left_semi").groupBy("b1", "ab").agg(
         F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     wholly = contents.filter("count > 1").select("b1", "ab", F.lit(-1).cast("long").alias("mask"))
-    verdict = wholly.union(partly).groupBy("b1", "ab").agg(F.bit_or("mask").alias("mask"))
+    verdict = stage(wholly.union(partly).groupBy("b1", "ab").agg(F.bit_or("mask").alias("mask")), "repeat-verdict")
     return blocks.join(verdict, ["b1", "ab"]).select("key", "at", "mask")
 
 
