@@ -37,7 +37,7 @@ DECAY = 0.6
 #: Lengths of subsequences with the letters from first to last, at most.
 LENGTHS = ((3, 5), (5, 6))
 #: Subsequences are hashed to so many features.
-FEATURES = 1 << 17
+FEATURES = 1 << 15
 THRESHOLD = 0.3
 #: Labelled documents for training, words for the SVM and landmarks, at most.
 SAMPLE_ROWS, TRAINING_WORDS, LANDMARKS = 20_000, 8_000, 256
@@ -132,7 +132,7 @@ def subsequences(codes: np.ndarray, start: np.ndarray, end: np.ndarray):
         feature = np.zeros(len(p), np.uint32)
         for place in shape:
             feature = feature * np.uint32(29) + marked[p + place]
-        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761) >> np.uint32(15)
+        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761) >> np.uint32(17)
         yield unit[p], feature, DECAY ** shape[-1]
 
 
