@@ -69,7 +69,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 # Patterns on one lower-case line, then on words parted by one space.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)[ ,.:].*$"
-LINE_RULES = ((r"([0-9])\.0([^0-9.]|$)", r"\1 \2"), (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+LINE_RULES = ((r"([0-9])\.0(\.?(?:[^0-9.]|$))", r"\1\2"), (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 SPELLINGS = (
     ("licences?", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
     ("non infringement", "noninfringement"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"),

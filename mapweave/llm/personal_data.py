@@ -126,16 +126,20 @@ def votes(c: Column) -> list[Column]:
 
 
 N_LABELERS = 5
+#: Weight of the first guess of a labeler's reliability, in votes.
+PRIOR_VOTES = 20
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
     """Likelihood of each vote pattern, by expectation maximisation.
 
     Labelers are taken as independent given the truth; each has a table of vote
-    probabilities for either truth, first set to agree in 7 of 10 votes.
+    probabilities for either truth. It starts at five right votes to one wrong
+    one, which also stands in as `PRIOR_VOTES` observed votes.
     """
     table = np.empty((2, patterns.shape[1], 3))
     table[1], table[0] = (0.1, 0.4, 0.5), (0.5, 0.4, 0.1)
+    start = table.copy()
     prior = 0.5
     chosen = patterns + 1
     each = np.arange(patterns.shape[1])
@@ -143,10 +147,11 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
         logs = np.log(table[:, each, chosen]).sum(axis=2)
         odds = np.clip(np.log(prior / (1 - prior)) + logs[1] - logs[0], -50, 50)
         likely = 1 / (1 + np.exp(-odds))
-        prior = float(np.clip((counts * likely).sum() / counts.sum(), 0.01, 0.99))
+        prior = float(((counts * likely).sum() + PRIOR_VOTES / 2) / (counts.sum() + PRIOR_VOTES))
         for truth, weight in ((1, counts * likely), (0, counts * (1 - likely))):
             for vote in range(3):
-                table[truth, :, vote] = ((weight[:, None] * (chosen == vote)).sum(axis=0) + 1) / (weight.sum() + 3)
+                seen = (weight[:, None] * (chosen == vote)).sum(axis=0) + PRIOR_VOTES * start[truth, :, vote]
+                table[truth, :, vote] = seen / (weight.sum() + PRIOR_VOTES)
     return likely, table
 
 
