@@ -78,34 +78,36 @@ def provenance(columns: DataFrame, files: DataFrame, evidence: DataFrame, rules:
     ``columns``: spec_id, mapping_column_id, source_columns ARRAY<STRUCT<
     source_column, raw_file_id>>, evidence_ids, rule_ids. ``files``:
     raw_file_id, original_filename. ``evidence``: evidence_id, raw_file_id,
-    content. ``rules``: rule_id, rule_text. Arrays are exploded one by one, so
+    content. ``rules``: rule_id, rule_text. ``detail`` shows the first 300
+    characters of evidence, ``content_sha256`` stands for all of it. Arrays are exploded one by one, so
     they never multiply.
     """
     keys = ["spec_id", "mapping_column_id"]
 
-    def rows(df: DataFrame, kind: str, ref: Column, file: Column, detail: Column) -> DataFrame:
+    def rows(df: DataFrame, kind: str, ref: Column, file: Column, detail: Column, digest: Column) -> DataFrame:
         return df.select(*keys, F.lit(kind).alias("kind"), ref.alias("ref"), F.col("raw_file_id"),
-                         file.alias("original_filename"), detail.alias("detail"))
+                         file.alias("original_filename"), detail.alias("detail"), digest.alias("content_sha256"))
 
     sources = columns.select(*keys, F.inline("source_columns")).join(files, "raw_file_id", "left")
     cited = (columns.select(*keys, F.explode("evidence_ids").alias("evidence_id"))
-             .join(evidence.select("evidence_id", "raw_file_id", snippet(F.col("content"), 300).alias("content")), "evidence_id")
+             .join(evidence.select("evidence_id", "raw_file_id", snippet(F.col("content"), 300).alias("shown"), F.sha2("content", 256).alias("digest")), "evidence_id")
              .join(files, "raw_file_id", "left"))
     applied = (columns.select(*keys, F.explode("rule_ids").alias("rule_id")).join(rules, "rule_id")
                .withColumn("raw_file_id", F.lit(None).cast("string")))
-    return (rows(sources, "source", F.col("source_column"), F.col("original_filename"), F.lit(None).cast("string"))
+    nothing = F.lit(None).cast("string")
+    return (rows(sources, "source", F.col("source_column"), F.col("original_filename"), F.lit(None).cast("string"), nothing)
             .unionByName(rows(cited, "evidence", F.col("evidence_id"), F.coalesce("original_filename", F.lit("unknown")),
-                              F.translate("content", "\n", " ")))
-            .unionByName(rows(applied, "rule", F.col("rule_id"), F.lit(None).cast("string"), F.col("rule_text"))))
+                              F.translate("shown", "\n", " "), F.col("digest")))
+            .unionByName(rows(applied, "rule", F.col("rule_id"), F.lit(None).cast("string"), F.col("rule_text"), nothing)))
 
 
 def provenance_counts(trace: DataFrame) -> DataFrame:
-    """Distinct things cited per spec, counted from distinct citations."""
+    """Distinct things cited per spec, counted from distinct citations; texts count in full."""
     seen = trace.select("spec_id", F.inline(F.array(
         F.struct(F.lit("mapping").alias("kind"), F.col("mapping_column_id").cast("string").alias("ref")),
         F.struct(F.when(F.col("kind") != "source", F.col("kind")).alias("kind"), F.col("ref").cast("string").alias("ref")),
         F.struct(F.when(F.col("original_filename").isNotNull(), "file").alias("kind"), F.col("raw_file_id").cast("string").alias("ref")),
-        F.struct(F.when(F.col("kind") == "evidence", "snippet").alias("kind"), snippet(F.col("detail"), 200).alias("ref")),
+        F.struct(F.when(F.col("kind") == "evidence", "snippet").alias("kind"), F.col("content_sha256").alias("ref")),
     ))).where("kind IS NOT NULL AND ref IS NOT NULL").distinct()
     return seen.groupBy("spec_id").agg(*[
         F.count_if(F.col("kind") == k).alias(name) for k, name in (

@@ -15,8 +15,6 @@ from mapweave.functions.encoding import cp1252_from_latin1, has_undefined_cp1252
 
 # Candidate delimiters in order of preference.
 DELIMITERS = (",", ";", "\t", "|")
-# Fixed value: characters of a file that the delimiter is judged on.
-SNIFF_CHARS = 65_536
 
 # Stands for a well-formed quoted cell; from the private use area.
 _QUOTED = chr(0xE000)
@@ -91,14 +89,12 @@ def _by_delimiter(delimiter: Column, make) -> Column:
                   F.when(delimiter == DELIMITERS[0], make(DELIMITERS[0])))
 
 
-def delimiter(text: Column, sniff_chars: int | None = SNIFF_CHARS) -> Column:
+def delimiter(text: Column) -> Column:
     """Delimiter with the most rows of one width above 1, null if there is none.
 
-    Ties go to the larger width, then to the preferred delimiter. One whose
-    quoting is broken is out. ``sniff_chars=None`` judges the whole text.
+    The whole text is judged. Ties go to the larger width, then to the preferred
+    delimiter. One whose quoting is broken is out.
     """
-    sample = text if sniff_chars is None else F.substring(text, 1, sniff_chars)
-
     def score(rank: int, d: str) -> Column:
         def mode(widths: Column) -> Column:
             return F.array_max(F.transform(F.array_distinct(widths), lambda w: F.struct(
@@ -110,7 +106,7 @@ def delimiter(text: Column, sniff_chars: int | None = SNIFF_CHARS) -> Column:
             widths = F.filter(F.transform(lines, lambda x: F.size(F.split(x, _escaped(d)))), lambda w: w > 1)
             return F.when(_problem(masked, d).isNull(), _once(widths, mode))
 
-        return _once(_masked(sample, d), of_masked)
+        return _once(_masked(text, d), of_masked)
 
     return F.array_max(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)]))["d"]
 
@@ -139,7 +135,7 @@ def cells(record: Column, delimiter: Column) -> Column:
     return F.when(record == "", empty).otherwise(_by_delimiter(delimiter, make))
 
 
-def csv_grid(files: DataFrame, sniff_chars: int | None = SNIFF_CHARS) -> DataFrame:
+def csv_grid(files: DataFrame) -> DataFrame:
     """Cell grid (file_id, row_idx, cells) with the dialect of each file.
 
     ``files``: file_id, content. A file without a usable encoding or with
@@ -147,7 +143,7 @@ def csv_grid(files: DataFrame, sniff_chars: int | None = SNIFF_CHARS) -> DataFra
     """
     text = (files.withColumn("encoding", encoding(F.col("content")))
             .withColumn("text", decode(F.col("content"), F.col("encoding"))).drop("content"))
-    known = text.withColumn("found", delimiter(F.col("text"), sniff_chars)).withColumn(
+    known = text.withColumn("found", delimiter(F.col("text"))).withColumn(
         "delimiter", F.coalesce("found", F.lit(",")))
     checked = known.withColumn("problem", F.when(F.col("encoding").isNull(), "encoding could not be detected")
                                .otherwise(quote_problem(F.col("text"), F.col("delimiter"))))

@@ -94,7 +94,7 @@ def _stream(df: DataFrame, keys: list[str], *warnings: Column) -> DataFrame:
     return df.select(*keys, F.inline(found))
 
 
-def discover_delimited(files: DataFrame, sniff_chars: int | None = L.SNIFF_CHARS) -> Catalog:
+def discover_delimited(files: DataFrame) -> Catalog:
     """Catalog of delimited files (file_id, content), each read as one table.
 
     A file that cannot be read gets a warning and no table; it does not stop
@@ -102,7 +102,7 @@ def discover_delimited(files: DataFrame, sniff_chars: int | None = L.SNIFF_CHARS
     every file is parsed once.
     """
     key = ["file_id"]
-    grid = stage(L.csv_grid(files, sniff_chars), "grid")
+    grid = stage(L.csv_grid(files), "grid")
     shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem").agg(F.count("*").alias("_rows")).drop("_rows")
     rows = grid.where(G.has_text("cells"))
     width = G.modal_width(grid, key)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
-# Hits per query and hits in all.
-HITS_PER_QUERY, HITS_TOTAL = 5, 40
+# Fixed value: hits per query.
+HITS_PER_QUERY = 5
 # Search texts that every mapping asks for.
 COMMON_QUERIES = ("region code mapping", "revenue calculation", "total revenue", "line total",
                   "customer name misspelling", "test orders exclude")
@@ -32,8 +32,8 @@ def chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
            overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Overlapping chunks (chunk_index, content) of each document's whole text.
 
-    A chunk starts every ``size - overlap`` characters; a blank chunk ends the
-    document. The text is cut once into steps and each chunk is a step plus
+    A chunk starts every ``size - overlap`` characters; blank chunks are left out
+    and not counted. The text is cut once into steps and each chunk is a step plus
     the start of what follows, so the work is linear in the text and stays
     within the row.
     """
@@ -41,9 +41,7 @@ def chunks(documents: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
     following = -(-overlap // step)
     steps = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
     chunk = F.transform("_steps", lambda s, i: F.substring(F.array_join(F.slice("_steps", i + 1, 1 + following), ""), 1, size))
-    blank = F.transform("_chunks", lambda c: ~c.rlike(r"(?U)[^\s\x1c-\x1f]"))
-    end = F.array_position(blank, True)
-    kept = F.when(end == 0, F.col("_chunks")).otherwise(F.slice("_chunks", F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int")))
+    kept = F.filter("_chunks", lambda c: c.rlike(r"(?U)[^\s\x1c-\x1f]"))
     rest = [c for c in documents.columns if c != text]
     return (documents.withColumn("_steps", steps).withColumn("_chunks", chunk)
             .select(*rest, F.posexplode(kept).alias("chunk_index", "content")))
@@ -165,13 +163,15 @@ def search(corpus: DataFrame, vector: Sequence[float], k: int = HITS_PER_QUERY,
     return nearest(rows, query, k, id_col, vector_col).drop("query_id")
 
 
-def gather(hits: DataFrame, max_total: int = HITS_TOTAL) -> DataFrame:
-    """Union of the hits of ordered queries: each id once where first seen, capped.
+def gather(hits: DataFrame, max_total: int | None = None) -> DataFrame:
+    """Union of the hits of ordered queries: each id once where first seen.
 
-    ``hits``: query_id (its order), id, rank.
+    ``hits``: query_id (its order), id, rank. ``max_total`` keeps the first ones,
+    in order; without it the union is complete and unordered.
     """
     first = hits.groupBy("id").agg(F.min(F.struct("query_id", "rank")).alias("_seen"))
-    return first.select("id", "_seen.query_id", "_seen.rank").orderBy("query_id", "rank").limit(max_total)
+    seen = first.select("id", "_seen.query_id", "_seen.rank")
+    return seen if max_total is None else seen.orderBy("query_id", "rank").limit(max_total)
 
 
 def query_terms(contract: DataFrame, catalog: DataFrame) -> DataFrame:

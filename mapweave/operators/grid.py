@@ -82,7 +82,9 @@ def modal_width(grid: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ragged_rows(grid: DataFrame, keys: list[str], listed: int = LISTED_ROWS) -> DataFrame:
-    """Tables with rows of another width: how many, and the first of them.
+    """Tables with rows of another width: how many, and the first ``listed`` as examples.
+
+    All of them are in ``ragged_row_numbers``.
 
     Counts come from the rows per width, and the first rows of every width are
     kept by a rank limit that prunes before the shuffle; no row is joined.
@@ -101,6 +103,12 @@ def ragged_rows(grid: DataFrame, keys: list[str], listed: int = LISTED_ROWS) ->
     return counts.join(rows, keys)
 
 
+def ragged_row_numbers(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of another width than its table's: (keys, row_idx, row_width, width)."""
+    sized = grid.select(*keys, "row_idx", F.size("cells").cast("bigint").alias("row_width"))
+    return join_by_range(sized, modal_width(grid, keys), keys, "row_idx").where("row_width <> width")
+
+
 def row_score(cells: Column, following: Column, types: Column | None = None) -> Column:
     """How much a row looks like a header, given the widest of the next rows."""
     present = F.filter(cells, filled)

@@ -25,6 +25,15 @@ _UNSIGNED_BITS = {"UInt8": 8, "UInt16": 16, "UInt32": 32, "UInt64": 64}
 _DATE_LAYOUTS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy")
 
 
+#: Salts that a hot key of an aggregation join is spread over.
+FAN_OUT = 16
+
+
+def _named(column: str) -> Column:
+    """Column by its plain name, dots included."""
+    return F.col(f"`{column}`")
+
+
 def choose_base(target_table: str, columns: Iterable[MappingColumn],
                 sources: Mapping[str, DataFrame]) -> str:
     """Source of the first column that has one, else the target's own name.
@@ -58,29 +67,38 @@ def lookup(df: DataFrame, table: DataFrame, left_key: str, key: str, value: str,
     broadcasts a small lookup by its measured size and otherwise splits the
     partitions of hot keys.
     """
-    pairs = (table.where(F.col(key).isNotNull())
-             .select(F.col(key).alias("_lookup_key"), F.col(value).alias("_lookup_value"))
+    pairs = (table.where(_named(key).isNotNull())
+             .select(_named(key).alias("_lookup_key"), _named(value).alias("_lookup_value"))
              .distinct())
-    joined = df.join(pairs, F.col(left_key) == F.col("_lookup_key"), "left")
+    joined = df.join(pairs, _named(left_key) == F.col("_lookup_key"), "left")
     return joined.withColumn(target, F.col("_lookup_value")).drop("_lookup_key", "_lookup_value")
 
 
 def duplicate_lookup_keys(table: DataFrame, key: str, value: str) -> DataFrame:
     """Keys of a lookup source with more than one value, which fan rows out."""
-    return (table.where(F.col(key).isNotNull()).select(key, value).distinct()
-            .groupBy(key).agg(F.count("*").alias("n_values")).where("n_values > 1"))
+    return (table.where(_named(key).isNotNull()).select(_named(key), _named(value)).distinct()
+            .groupBy(_named(key)).agg(F.count("*").alias("n_values")).where("n_values > 1"))
 
 
 def aggregate_join(df: DataFrame, table: DataFrame, base_key: str, key: str,
-                   aggregates: Mapping[str, str]) -> DataFrame:
-    """Group another source by one key and left join all aggregates at once."""
+                   aggregates: Mapping[str, str], fan_out: int = FAN_OUT) -> DataFrame:
+    """Group another source by one key and left join all aggregates at once.
+
+    The grouped side is already dealt out by the key, so AQE could not split a
+    hot one in the join back. Base rows are therefore spread over ``fan_out``
+    salts by a hash of the row, and each grouped row is repeated for every salt.
+    """
     names = {target: f"_agg_{i}" for i, target in enumerate(aggregates)}
-    grouped = (table.where(F.col(key).isNotNull())
-               .groupBy(F.col(key).alias("_agg_key"))
-               .agg(*[F.expr(text).alias(names[target]) for target, text in aggregates.items()]))
-    joined = df.join(grouped, F.col(base_key) == F.col("_agg_key"), "left")
+    grouped = (table.where(_named(key).isNotNull())
+               .groupBy(_named(key).alias("_agg_key"))
+               .agg(*[F.expr(text).alias(names[target]) for target, text in aggregates.items()])
+               .withColumn("_agg_salt", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1)))))
+    hashable = [_named(n) for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(fan_out)).cast("int")
+    salted = df.withColumn("_salt", salt)
+    joined = salted.join(grouped, (_named(base_key) == F.col("_agg_key")) & (F.col("_salt") == F.col("_agg_salt")), "left")
     return (joined.withColumns({target: F.col(n) for target, n in names.items()})
-            .drop("_agg_key", *names.values()))
+            .drop("_agg_key", "_agg_salt", "_salt", *names.values()))
 
 
 def _value(col: MappingColumn) -> Column:

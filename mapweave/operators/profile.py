@@ -146,13 +146,13 @@ def typed_cells(df: DataFrame, row_idx: Column, types: dict[str, Column] | None
 def _end_rows(present: DataFrame, by_type: DataFrame, samples: int, ranges: int = 1024) -> DataFrame:
     """Cells in the row ranges that hold each column's first and last values.
 
-    Counting rows per range finds those ranges without sorting the data. Both
-    broadcast frames are bounded: one row per summarised column, and at most
-    ``2 * samples`` ranges of each.
+    Counting rows per range finds those ranges without sorting the data. The
+    joined frames have one row per column, and at most ``2 * samples`` ranges
+    of each; AQE broadcasts them if they are small.
     """
     span = by_type.groupBy("col_idx").agg(F.min("seen").alias("_low"), F.max("last").alias("_high")).select(
         "col_idx", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / ranges).alias("_width"))
-    placed = present.select("col_idx", "row_idx", "value").join(F.broadcast(span), "col_idx").withColumn(
+    placed = present.select("col_idx", "row_idx", "value").join(span, "col_idx").withColumn(
         "_range", F.floor((F.col("row_idx") - F.col("_low")) / F.col("_width")))
     counts = placed.groupBy("col_idx", "_range").agg(F.count("*").alias("_n"))
     w = W.partitionBy("col_idx").orderBy("_range")
@@ -160,12 +160,15 @@ def _end_rows(present: DataFrame, by_type: DataFrame, samples: int, ranges: int
     after = F.coalesce(F.sum("_n").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
     wanted = counts.withColumns({"_before": before, "_after": after}).where(
         (F.col("_before") < samples) | (F.col("_after") < samples)).select("col_idx", "_range")
-    return placed.join(F.broadcast(wanted), ["col_idx", "_range"]).select("col_idx", "row_idx", "value")
+    return placed.join(wanted, ["col_idx", "_range"]).select("col_idx", "row_idx", "value")
 
 
-def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max_columns: int = 52) -> DataFrame:
-    """Per-column summary of typed cells: ends, types, and values if they are few."""
-    cells = cells.where(F.col("col_idx") <= max_columns)
+def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15) -> DataFrame:
+    """Per-column summary of typed cells: ends, types, distinct count, and values if they are few.
+
+    ``samples`` first and last values are shown; values are listed if there are
+    at most ``categories``, and counted in any case.
+    """
     present = cells.where(F.col("value").isNotNull())
     row = F.when(F.col("value").isNotNull(), F.col("row_idx"))
     by_type = (cells.groupBy("col_idx", "header", "type")
@@ -197,9 +200,11 @@ def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15, max
     few = (values.withColumn("_r", rank).where(F.col("_r") <= categories + 1)
            .groupBy("col_idx").agg(F.array_sort(F.collect_list("value")).alias("v"))
            .select("col_idx", F.when(F.size("v") <= categories, F.col("v")).alias("distinct_values")))
+    number = values.groupBy("col_idx").agg(F.count("*").alias("n_distinct"))
     return (types.join(ends(F.col("row_idx").asc(), "first_values"), "col_idx", "left")
             .join(ends(F.col("row_idx").desc(), "last_values"), "col_idx", "left")
-            .join(few, "col_idx", "left")
+            .join(few, "col_idx", "left").join(number, "col_idx", "left")
+            .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
             .withColumn("last_values", F.when(F.col("non_empty_count") > samples, F.col("last_values"))))
 
 

@@ -60,11 +60,11 @@ def _(t):
 
 
 _DETAIL = "replace(substring(text, 1, 300), chr(10), ' ')"
-_TRACE = f"""(SELECT o_custkey % 50 AS spec_id, o_orderkey AS mapping_column_id, 'source' AS kind, s AS ref, f AS raw_file_id, c_name AS original_filename, CAST(NULL AS VARCHAR) AS detail
+_TRACE = f"""(SELECT o_custkey % 50 AS spec_id, o_orderkey AS mapping_column_id, 'source' AS kind, s AS ref, f AS raw_file_id, c_name AS original_filename, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS content_sha256
  FROM (SELECT *, 'o_totalprice' AS s, 'f' || o_custkey AS f FROM orders UNION ALL SELECT *, o_orderpriority, 'g' || o_custkey FROM orders) LEFT JOIN customer ON f = 'f' || c_custkey
-UNION ALL SELECT o_custkey % 50, o_orderkey, 'evidence', 'e' || doc_id, 'f' || (doc_id * 3), coalesce(c_name, 'unknown'), {_DETAIL}
+UNION ALL SELECT o_custkey % 50, o_orderkey, 'evidence', 'e' || doc_id, 'f' || (doc_id * 3), coalesce(c_name, 'unknown'), {_DETAIL}, sha256(text)
  FROM orders JOIN documents ON doc_id = o_custkey LEFT JOIN customer ON c_custkey = doc_id * 3
-UNION ALL SELECT o_custkey % 50, o_orderkey, 'rule', 'r' || p_partkey, NULL, NULL, p_name FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderstatus = 'F')"""
+UNION ALL SELECT o_custkey % 50, o_orderkey, 'rule', 'r' || p_partkey, NULL, NULL, p_name, NULL FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderstatus = 'F')"""
 
 
 def _trace(t):
@@ -89,7 +89,7 @@ def _(t):
 
 @query("g06_provenance_counts", f"""SELECT spec_id, count(DISTINCT mapping_column_id) AS mappings, count(DISTINCT ref) FILTER (WHERE kind = 'evidence') AS evidence_cited,
  count(DISTINCT ref) FILTER (WHERE kind = 'rule') AS rules_cited, count(DISTINCT raw_file_id) FILTER (WHERE original_filename IS NOT NULL) AS source_files,
- count(DISTINCT substring(detail, 1, 200)) FILTER (WHERE kind = 'evidence') AS snippets FROM {_TRACE} GROUP BY 1""")
+ count(DISTINCT content_sha256) AS snippets FROM {_TRACE} GROUP BY 1""")
 def _(t):
     return A.provenance_counts(_trace(t))
 
@@ -145,14 +145,15 @@ def _(t):
     return third.withColumn("which", F.lit("third")).unionByName(last.withColumn("which", F.lit("last")))
 
 
-@query("g12_batch_detail", """SELECT c_custkey AS batch_id, c_name AS label, count(*) AS n_items, string_agg(o_orderkey || ' ' || o_orderstatus, ', ' ORDER BY o_orderkey) AS files
- FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+@query("g12_batch_detail", """SELECT c_custkey AS batch_id, c_name AS label, slice_no, any_value(n) AS n_items, string_agg(o_orderkey || ' ' || o_orderstatus, ', ' ORDER BY o_orderkey) AS files
+ FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS slice_no, count(*) OVER (PARTITION BY o_custkey) AS n
+  FROM customer JOIN orders ON c_custkey = o_custkey) GROUP BY 1, 2, 3""")
 def _(t):
     files = t.orders.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("status"))
-    nested = nest(files, ["batch_id"], "file_id", ["file_id", "status"], "files")
+    nested = nest(files, ["batch_id"], "file_id", ["file_id", "status"], "files", slice_rows=4)
     text = F.array_join(F.transform("files", lambda f: F.concat_ws(" ", f["file_id"].cast("string"), f["status"])), ", ")
     batches = t.customer.select(F.col("c_custkey").alias("batch_id"), F.col("c_name").alias("label"))
-    return batches.join(nested, "batch_id").select("batch_id", "label", "n_items", text.alias("files"))
+    return batches.join(nested, "batch_id").select("batch_id", "label", "slice_no", "n_items", text.alias("files"))
 
 
 @query("g13_active_rules", """SELECT o_orderkey AS spec_id, c_nationkey AS client_id, p_partkey AS rule_id, p_name AS rule_text FROM orders JOIN customer ON o_custkey = c_custkey
@@ -165,9 +166,10 @@ def _(t):
     return A.active_rules(rules, specs)
 
 
-@query("g14_text_join", """SELECT l_suppkey AS spec_id, count(*) AS n_items, string_agg('- ' || l_returnflag || ' ' || l_partkey, chr(10) ORDER BY '- ' || l_returnflag || ' ' || l_partkey) AS text
- FROM lineitem GROUP BY 1""")
+@query("g14_text_join", """SELECT spec_id, slice_no, any_value(n) AS n_items, string_agg(line, chr(10) ORDER BY line) AS text
+ FROM (SELECT *, (row_number() OVER (PARTITION BY spec_id ORDER BY line) - 1) // 50 AS slice_no, count(*) OVER (PARTITION BY spec_id) AS n
+  FROM (SELECT l_suppkey AS spec_id, '- ' || l_returnflag || ' ' || l_partkey AS line FROM lineitem)) GROUP BY 1, 2""")
 def _(t):
     lines = t.lineitem.select(F.col("l_suppkey").alias("spec_id"), "l_returnflag", "l_partkey", "l_orderkey")
     text = F.concat_ws(" ", F.lit("-"), "l_returnflag", "l_partkey")
-    return join_text(lines, ["spec_id"], "l_orderkey", text, "\n", "text").drop("slice_no")
+    return join_text(lines, ["spec_id"], "l_orderkey", text, "\n", "text", slice_rows=50)

@@ -172,15 +172,16 @@ def _(t):
 
 
 @query("c08_spec_projection", """
-SELECT c_custkey AS spec_id, c_name AS client, count(o_orderkey) AS n_items,
+SELECT c_custkey AS spec_id, c_name AS client, slice_no, any_value(n) AS n_items,
  coalesce(string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderkey), '') AS columns
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+FROM (SELECT *, (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) // 6 AS slice_no, count(o_orderkey) OVER (PARTITION BY c_custkey) AS n
+ FROM customer LEFT JOIN orders ON c_custkey = o_custkey) GROUP BY 1, 2, 3""")
 def _(t):
     children = t.orders.select(F.col("o_custkey").alias("spec_id"), "o_orderkey",
                                F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("label"))
-    nested = nest(children, ["spec_id"], "o_orderkey", ["label"], "columns")
+    nested = nest(children, ["spec_id"], "o_orderkey", ["label"], "columns", slice_rows=6)
     text = F.array_join(F.transform("columns", lambda c: c["label"]), "|")
     return (t.customer.select(F.col("c_custkey").alias("spec_id"), F.col("c_name").alias("client"))
             .join(nested, "spec_id", "left")
-            .select("spec_id", "client", F.coalesce("n_items", F.lit(0)).alias("n_items"),
+            .select("spec_id", "client", F.coalesce("slice_no", F.lit(0)).alias("slice_no"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                     F.coalesce(text, F.lit("")).alias("columns")))

@@ -79,7 +79,7 @@ n AS (SELECT doc_id, d, r, width, count(*) AS n FROM w WHERE width > 1 GROUP BY
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, width DESC, r) AS k FROM n)
 SELECT doc_id, coalesce(d, ',') AS delimiter, d IS NULL AS fallback FROM f LEFT JOIN (SELECT doc_id, d FROM b WHERE k = 1) USING (doc_id)""")
 def _(t):
-    found = L.delimiter(F.col("text"), sniff_chars=None)
+    found = L.delimiter(F.col("text"))
     return (_sql(t, _DELIMITED, "documents").select("doc_id", found.alias("d"))
             .select("doc_id", F.coalesce("d", F.lit(",")).alias("delimiter"), F.col("d").isNull().alias("fallback")))
 
@@ -104,6 +104,15 @@ def _(t):
     return odd.select("file_id", F.col("width").cast("bigint").alias("width"), "ragged", F.array_join("rows", ",").alias("rows"))
 
 
+@query("b06_all_ragged_rows", f"""WITH g AS ({_DUCK_GRID}), p AS (SELECT * FROM g WHERE len({_FILLED}) > 0),
+n AS (SELECT file_id, len(cells) AS w, count(*) AS n, min(row_idx) AS seen FROM p GROUP BY 1, 2),
+m AS (SELECT file_id, w FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, seen) AS r FROM n) WHERE r = 1)
+SELECT g.file_id, m.w AS width, row_idx, len(cells) AS row_width FROM g JOIN m ON g.file_id = m.file_id AND len(cells) <> m.w""")
+def _(t):
+    odd = G.ragged_row_numbers(_sql(t, _GRID, "orders"), ["file_id"])
+    return odd.select("file_id", F.col("width").cast("bigint").alias("width"), "row_idx", F.col("row_width").cast("bigint").alias("row_width"))
+
+
 _PLACED = f"g AS ({_DUCK_GRID}), p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_idx) - 1 AS pos FROM g WHERE len({_FILLED}) > 0)"
 _SCORED = _PLACED + f""", s AS (SELECT *, len({_FILLED}) AS n, len(list_distinct({_FILLED})) AS u FROM p WHERE pos < 15),
 f AS (SELECT *, max(n) OVER (PARTITION BY file_id ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS nx FROM s),

@@ -108,12 +108,12 @@ ty AS (SELECT col_idx, CAST(max(t) AS BIGINT) AS n, max(type) FILTER (WHERE r =
  || ') but also: ' || string_agg(type || ' (' || n || ')', ', ' ORDER BY seen) FILTER (WHERE r > 1) END AS odd FROM k2 GROUP BY 1),
 e AS (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY row_idx) AS a,
  row_number() OVER (PARTITION BY col_idx ORDER BY row_idx DESC) AS z FROM p),
-d AS (SELECT col_idx, CASE WHEN count(*) <= 15 THEN string_agg(value, '|' ORDER BY value) END AS vals
+d AS (SELECT col_idx, count(*) AS nd, CASE WHEN count(*) <= 15 THEN string_agg(value, '|' ORDER BY value) END AS vals
  FROM (SELECT DISTINCT col_idx, value FROM p) GROUP BY 1)
 SELECT h.col_idx, h.header, coalesce(ty.n, 0) AS non_empty_count, ty.dominant AS dominant_type, ty.odd AS type_inconsistencies,
  (SELECT string_agg(value, '|' ORDER BY row_idx) FROM e WHERE e.col_idx = h.col_idx AND a <= 8) AS first_values,
  CASE WHEN ty.n > 8 THEN (SELECT string_agg(value, '|' ORDER BY row_idx) FROM e WHERE e.col_idx = h.col_idx AND z <= 8) END AS last_values,
- d.vals AS distinct_values
+ d.vals AS distinct_values, coalesce(d.nd, 0) AS n_distinct
 FROM (SELECT DISTINCT col_idx, header FROM cells) h LEFT JOIN ty USING (col_idx) LEFT JOIN d USING (col_idx)""")
 def _(t):
     row = F.expr("l_orderkey * 10000000000 + l_partkey * 1000 + l_linenumber * 100 + l_suppkey % 100")
