@@ -148,9 +148,10 @@ def csv_grid(files: DataFrame) -> DataFrame:
     checked = known.withColumn("problem", F.when(F.col("encoding").isNull(), "encoding could not be detected")
                                .otherwise(quote_problem(F.col("text"), F.col("delimiter"))))
     rows = F.when(F.col("problem").isNull(), records(F.col("text"), F.col("delimiter")))
-    return (checked.select("file_id", "encoding", "delimiter", "problem",
+    quoted = F.filter(rows, lambda r: r.contains('"') & r.rlike(r"[\r\n]"))
+    return (checked.select("file_id", "encoding", "delimiter", "problem", F.coalesce(F.size(quoted) > 0, F.lit(False)).alias("multi_line"),
                            newline_style(F.col("text")).alias("newline"), F.col("found").isNull().alias("fallback"),
                            F.posexplode_outer(rows).alias("_i", "_record"))
-            .select("file_id", "encoding", "delimiter", "newline", "fallback", "problem",
+            .select("file_id", "encoding", "delimiter", "newline", "fallback", "problem", "multi_line",
                     (F.col("_i") + 1).cast("bigint").alias("row_idx"),
                     F.coalesce(cells(F.col("_record"), F.col("delimiter")), F.array().cast("array<string>")).alias("cells")))

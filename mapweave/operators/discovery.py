@@ -103,7 +103,7 @@ def discover_delimited(files: DataFrame) -> Catalog:
     """
     key = ["file_id"]
     grid = stage(L.csv_grid(files), "grid")
-    shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem").agg(F.count("*").alias("_rows")).drop("_rows")
+    shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem", "multi_line").agg(F.count("*").alias("_rows")).drop("_rows")
     rows = grid.where(G.has_text("cells"))
     width = G.modal_width(grid, key)
     padded = (join_by_range(rows, width, key, "row_idx").withColumn("cells", G.pad(F.col("cells"), F.col("width")))
@@ -118,17 +118,17 @@ def discover_delimited(files: DataFrame) -> Catalog:
     nothing = F.lit("")
     tables, columns = _assemble(tables, headers, data, dropped, key, F.col("file_sha256"), nothing, nothing, F.col("header_pos") + 1)
     noticed = [
-        _warning("ragged_rows", F.col("ragged") > 0, F.format_string("%d CSV row(s) have a different field count.", F.col("ragged"))),
-        _warning("preamble_detected", F.col("header_pos") > 0, F.format_string("Detected %d preamble/title row(s).", F.col("header_pos"))),
-        _warning("repeated_header", F.col("repeated") > 0, F.format_string("Removed %d repeated header row(s).", F.col("repeated"))),
+        _warning("ragged_rows", F.col("ragged") > 0, F.format_string("Rows of another width than the table: %d", F.col("ragged"))),
+        _warning("preamble_detected", F.col("header_pos") > 0, F.format_string("Rows above the header: %d", F.col("header_pos"))),
+        _warning("repeated_header", F.col("repeated") > 0, F.format_string("Header rows dropped further down: %d", F.col("repeated"))),
     ]
     flagged = F.size(F.filter(F.array(*noticed), lambda w: w.isNotNull()))
     of_files = _stream(
         shape.join(headers.select("file_id", F.lit(True).alias("_found")), key, "left"), key,
         _warning("malformed", F.col("problem").isNotNull(), F.col("problem")),
-        _warning("encoding_fallback", F.col("encoding") == "cp1252", F.lit("CSV was decoded using Windows-1252 after UTF-8 failed.")),
-        _warning("dialect_fallback", F.col("fallback") & F.col("problem").isNull(), F.lit("CSV delimiter could not be determined; comma is used.")),
-        _warning("empty_file", F.col("_found").isNull() & F.col("problem").isNull(), F.lit("CSV contains no table data.")))
+        _warning("encoding_fallback", F.col("encoding") == "cp1252", F.lit("Not valid UTF-8; read as Windows-1252")),
+        _warning("dialect_fallback", F.col("fallback") & F.col("problem").isNull(), F.lit("No delimiter stands out; comma assumed")),
+        _warning("empty_file", F.col("_found").isNull() & F.col("problem").isNull(), F.lit("The file holds no rows")))
     renamed = columns.where("warning IS NOT NULL").select("file_id", F.lit("duplicate_header").alias("code"), F.col("warning").alias("message"))
     warnings = of_files.unionByName(_stream(tables, key, *noticed)).unionByName(renamed)
     return Catalog(tables.withColumn("confidence", G.csv_confidence(flagged)), columns, warnings)
@@ -157,9 +157,9 @@ def discover_sheets(grid: DataFrame, hashes: DataFrame, merged: DataFrame | None
     place_name = F.concat_ws("!", "sheet", "cell_range")
     warnings = _stream(
         tables, keys,
-        _warning("preamble_detected", F.col("header_pos") > 0, F.format_string("Detected %d preamble/title row(s) at %s.", F.col("header_pos"), place_name)),
-        _warning("repeated_header", F.col("repeated") > 0, F.format_string("Removed %d repeated header row(s) at %s.", F.col("repeated"), place_name)))
-    titles = bounds.where("is_title").select(*keys, F.lit("title_row_ignored").alias("code"), F.lit("Ignored an isolated worksheet title row.").alias("message"))
+        _warning("preamble_detected", F.col("header_pos") > 0, F.format_string("Rows above the header of %2$s: %1$d", F.col("header_pos"), place_name)),
+        _warning("repeated_header", F.col("repeated") > 0, F.format_string("Header rows dropped further down in %2$s: %1$d", F.col("repeated"), place_name)))
+    titles = bounds.where("is_title").select(*keys, F.lit("title_row_ignored").alias("code"), F.lit("A lone title row was left out").alias("message"))
     renamed = columns.where("warning IS NOT NULL").select(*keys, F.lit("duplicate_header").alias("code"), F.col("warning").alias("message"))
     blank = G.empty_sources(grid.select(*sheet_keys).distinct(), numbered, sheet_keys).select(
         *sheet_keys, F.lit(None).cast("bigint").alias("region"), F.lit("empty_sheet").alias("code"),
@@ -169,6 +169,6 @@ def discover_sheets(grid: DataFrame, hashes: DataFrame, merged: DataFrame | None
         left = tables.select(*sheet_keys, F.col("region").alias("left_id"), F.col("header_row").alias("min_row"), "max_row", "min_col", "max_col")
         right = merged.withColumnRenamed("range", "right_id")
         hits = G.overlaps(left, right, sheet_keys).select(*sheet_keys, F.col("left_id").alias("region"), F.lit("merged_cells").alias("code"),
-                                                          F.concat(F.lit("Merged cells within the table region: "), "right_id").alias("message"))
+                                                          F.concat(F.lit("Merged cells inside the table: "), "right_id").alias("message"))
         warnings = warnings.unionByName(hits)
     return Catalog(tables, columns, warnings)

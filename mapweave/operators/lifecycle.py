@@ -51,7 +51,8 @@ def ingest_folder(spark: SparkSession, folder: str, client: str, batch: str) ->
     ids = F.concat_ws("/", "sha256", "original_filename")
     registry = (registry_rows(files, F.lit(client), F.lit(batch)).withColumn("file_id", ids)
                 .join(broken, "file_id", "left")
-                .withColumn("status", F.when(F.col("_failed"), "failed").otherwise("parsed")).drop("_failed"))
+                .withColumn("status", F.when(F.col("_failed"), "failed")
+                            .when(F.col("file_type").isin("csv", "txt", "md", "eml"), "parsed").otherwise("unsupported")).drop("_failed"))
     return Ingested(registry, ingest_summary(registry, "client", "batch"), catalog, evidence)
 
 

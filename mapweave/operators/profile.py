@@ -183,7 +183,7 @@ def column_summary(cells: DataFrame, samples: int = 8, categories: int = 15) ->
     types = types.select(
         "col_idx", "header", "non_empty_count", top["type"].alias("dominant_type"),
         F.when(F.size("kinds") > 1, F.concat(F.format_string(
-            "Mostly %s (%d/%d) but also: ", top["type"], top["n"], F.col("non_empty_count")), minority))
+            "%s in %d of %d cells; others: ", top["type"], top["n"], F.col("non_empty_count")), minority))
         .alias("type_inconsistencies"))
 
     near_ends = _end_rows(present, by_type, samples)

@@ -104,8 +104,8 @@ cells AS (SELECT 1 AS col_idx, 'l_returnflag' AS header, row_idx, l_returnflag A
 k AS (SELECT col_idx, type, count(*) AS n, min(row_idx) AS seen FROM p GROUP BY 1, 2),
 k2 AS (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY n DESC, seen) AS r, sum(n) OVER (PARTITION BY col_idx) AS t FROM k),
 ty AS (SELECT col_idx, CAST(max(t) AS BIGINT) AS n, max(type) FILTER (WHERE r = 1) AS dominant,
- CASE WHEN count(*) > 1 THEN 'Mostly ' || max(type) FILTER (WHERE r = 1) || ' (' || max(n) FILTER (WHERE r = 1) || '/' || max(t)
- || ') but also: ' || string_agg(type || ' (' || n || ')', ', ' ORDER BY seen) FILTER (WHERE r > 1) END AS odd FROM k2 GROUP BY 1),
+ CASE WHEN count(*) > 1 THEN max(type) FILTER (WHERE r = 1) || ' in ' || max(n) FILTER (WHERE r = 1) || ' of ' || max(t)
+ || ' cells; others: ' || string_agg(type || ' (' || n || ')', ', ' ORDER BY seen) FILTER (WHERE r > 1) END AS odd FROM k2 GROUP BY 1),
 e AS (SELECT *, row_number() OVER (PARTITION BY col_idx ORDER BY row_idx) AS a,
  row_number() OVER (PARTITION BY col_idx ORDER BY row_idx DESC) AS z FROM p),
 d AS (SELECT col_idx, count(*) AS nd, CASE WHEN count(*) <= 15 THEN string_agg(value, '|' ORDER BY value) END AS vals

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.encoding import decode_text
+from mapweave.operators.discovery import discover_delimited
+from mapweave.operators.loading import load_catalog
 from mapweave.operators.mapping import apply_spec
 from mapweave.plans.registry import query
 from mapweave.schemas import MappingColumn as MC
@@ -15,9 +20,17 @@ from mapweave.sources import tables as D
 from mapweave.sources import tabular as T
 
 
-@query("a01_folder_scan")
+@query("a01_folder_scan", """SELECT concat('part=', o_custkey % 20, '/') AS folder, count(*) AS rows, sum(length(o_orderpriority) + length(CAST(o_orderkey AS VARCHAR)) + 2)::BIGINT AS bytes
+ FROM orders GROUP BY 1""")
 def _(t):
-    return S.scan_folder(t.spark, t.folder).select("name", "length").orderBy("name")
+    """Orders written as text files below 20 folders, found again by the scan."""
+    base = shared_dir(t.spark, "scan")
+    lines = F.concat_ws("|", "o_orderkey", "o_orderpriority")
+    t.orders.select(lines.alias("value"), (F.col("o_custkey") % 20).alias("part")).write.partitionBy("part").text(base)
+    files = S.scan_folder(t.spark, base)
+    folder = F.regexp_extract("path", "(part=[0-9]+/)", 1)
+    rows = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\\n]", ""))
+    return files.groupBy(folder.alias("folder")).agg(F.sum(rows).cast("bigint").alias("rows"), F.sum("length").alias("bytes"))
 
 
 # Documents as raw files; the SQL text runs in both engines.
@@ -53,6 +66,36 @@ def _(t):
     return _files(t).select("doc_id", S.fingerprint(F.col("content")).alias("sha256"))
 
 
+_LAYOUTS = """CASE g WHEN 0 THEN concat('Customer list', chr(10), chr(10), 'id,name,note', chr(10), body)
+ WHEN 1 THEN concat(chr(10), 'id,name,note', chr(10), body) WHEN 2 THEN concat('id,name,note', chr(10), body, 'id,name,note', chr(10), body2)
+ ELSE concat('id,name,note', chr(10), body) END"""
+
+
+@query("a08_load_by_position", """SELECT c_custkey % 5 AS file_id, c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 5 = 4 THEN 'first' || chr(10) || c_mktsegment
+ ELSE c_mktsegment END AS note FROM customer""")
+def _(t):
+    """Five files of customers: title, blank first line, repeated header, UTF-16, line breaks in cells."""
+    g = F.col("c_custkey") % 5
+    note = F.when(g == 4, F.concat(F.lit('"first\n'), F.col("c_mktsegment"), F.lit('"'))).otherwise(F.col("c_mktsegment"))
+    line = F.concat_ws(",", "c_custkey", "c_name", note)
+    half = F.xxhash64("c_custkey") % 2 == 0
+    texts = t.customer.where("c_custkey % 5 <> 3").groupBy(g.alias("g")).agg(*[
+        F.concat(F.array_join(F.collect_list(F.when(c, line)), "\n"), F.lit("\n")).alias(n)
+        for n, c in (("body", half | (g != 2)), ("body2", ~half))])
+    base = shared_dir(t.spark, "layouts")
+    texts.select(F.expr(_LAYOUTS).alias("value"), F.col("g").alias("file_id")).write.partitionBy("file_id").text(base)
+    wide = t.customer.where("c_custkey % 5 = 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
+    wide.coalesce(1).write.option("header", True).option("encoding", "UTF-16").csv(f"{base}/file_id=3")
+    found = t.spark.read.format("binaryFile").load(f"{base}/file_id=*").select(
+        F.regexp_extract("path", "file_id=([0-9])", 1).cast("int").alias("file_id"), "content")
+    catalog = discover_delimited(found)
+    paths = {str(i): f"{base}/file_id={i}" for i in range(5)}
+    frames = load_catalog(t.spark, catalog, paths)
+    ids = {r.source_table_id: r.file_id for r in catalog.tables.select("source_table_id", "file_id").collect()}
+    parts = [df.select(F.lit(ids[k]).cast("bigint").alias("file_id"), "id", "name", "note") for k, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _KEY = f"concat('acme/', source, '/', substring(sha256({_TEXT}), 1, 16), '_', replace({_NAME}, '/', '_'))"
 
 

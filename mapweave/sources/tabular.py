@@ -9,13 +9,12 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.functions.encoding import cp1252_from_latin1
 from mapweave.functions.scalar import PYTHON_SPACE
+from mapweave.operators.dialect import cells, decode, records
+from mapweave.operators.grid import has_text
 from mapweave.schemas import TARGET_SCHEMA, TargetColumn, TargetTable
 from mapweave.sources.files import scan_folder
 
-# Detected encodings and the reader's names for them.
-READER_ENCODINGS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1"}
 # Where a target contract is looked for, in this order.
 CONTRACT_NAMES = ("target_schema.json", "target-schema.json", "schema.json")
 
@@ -36,38 +35,62 @@ class CsvLayout:
 def read_delimited(spark: SparkSession, path: str | Sequence[str], layout: CsvLayout) -> DataFrame:
     """Read a delimited table with its catalogued layout, all cells as text first.
 
-    Long rows are cut, short rows padded with nulls, and the catalogued load
-    types are applied with casts that give null. Files stay splittable unless
-    ``multi_line`` is set (cells with line breaks).
+    ``header_row`` is the header's line of the file as discovery counts it, blank
+    lines included. What stands above it, blank lines and repeats of the header
+    are dropped; long rows are cut, short rows padded with nulls, and the
+    catalogued load types are applied with casts that give null. UTF-8 files
+    stay splittable unless ``multi_line`` is set (cells with line breaks); the
+    other encodings are decoded file by file.
     """
-    schema = ", ".join(f"`{n}` string" for n in layout.names)
-    reader = (spark.read.schema(schema).option("sep", layout.delimiter).option("quote", layout.quote)
-              .option("escape", layout.quote).option("mode", "PERMISSIVE").option("enforceSchema", True)
-              .option("encoding", READER_ENCODINGS.get(layout.encoding, layout.encoding))
-              .option("header", layout.header_row == 1).option("multiLine", layout.multi_line))
-    rows = reader.csv(path)
-    if layout.header_row > 1:
-        rows = _skip_rows(rows, layout.header_row)
-    if layout.encoding == "cp1252":
-        rows = rows.select(*[cp1252_from_latin1(F.col(f"`{n}`")).alias(n) for n in layout.names])
-    casts = {n: F.col(f"`{n}`").try_cast(d) for n, d in zip(layout.names, layout.types) if d != "string"}
-    return rows.withColumns(casts) if casts else rows
-
-
-def _skip_rows(rows: DataFrame, n: int) -> DataFrame:
-    """Drop the first ``n`` rows of each file.
-
-    Row ids grow along a task, and a file's first rows are those of its block
-    0, so one small aggregate finds where each file starts. The split of files
-    into tasks is the same in both scans.
+    plain = layout.encoding in ("utf-8", "utf-8-sig") and not layout.multi_line
+    rows = _lines(spark, path, layout) if plain else _decoded(spark, path, layout)
+    names = layout.names
+    cells = [F.nullif(F.col("cells")[i], F.lit("")) for i in range(len(names))]
+    types = dict(zip(names, layout.types))
+    return rows.select(*[(c if types.get(n, "string") == "string" else c.try_cast(types[n])).alias(n)
+                         for n, c in zip(names, cells)])
+
+
+def _lines(spark: SparkSession, path: str | Sequence[str], layout: CsvLayout) -> DataFrame:
+    """Cells of the data lines of UTF-8 files, read line by line.
+
+    Line ids grow along a task, and a file's first lines are those of its block
+    0, so one small aggregate finds where each file starts and its header.
     """
-    names = rows.columns
-    placed = rows.select(*names, F.col("_metadata.file_path").alias("_file"),
-                         F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias("_id"))
-    starts = placed.where("_block = 0").groupBy("_file").agg(F.min("_id").alias("_start"))
-    return (placed.join(starts, "_file", "left")
-            .where((F.col("_block") > 0) | (F.col("_id") >= F.col("_start") + n)).select(*names))
+    lines = spark.read.text(list(path) if not isinstance(path, str) else path).select(
+        F.regexp_replace("value", r"\r$", "").alias("_line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    first = lines.where("_block = 0")
+    starts = first.groupBy("_file").agg(F.min("_id").alias("_start"))
+    header = (first.join(starts, "_file").where(F.col("_id") == F.col("_start") + layout.header_row - 1)
+              .select("_file", "_start", F.regexp_replace("_line", "^\ufeff", "").alias("_header")))
+    below = lines.join(header, "_file", "left").where(
+        (F.col("_block") > 0) | (F.col("_id") >= F.col("_start") + layout.header_row))
+    kept = below.select(_csv_cells(F.col("_line"), layout).alias("cells"), _csv_cells(F.col("_header"), layout).alias("_h"))
+    return kept.where(has_text("cells") & ~F.coalesce(F.col("cells") == F.col("_h"), F.lit(False))).select("cells")
+
+
+def _csv_cells(line: Column, layout: CsvLayout) -> Column:
+    """Cells of one line in the width of the layout; missing ones are null."""
+    schema = ", ".join(f"c{i} string" for i in range(len(layout.names)))
+    options = {"sep": layout.delimiter, "quote": layout.quote, "escape": layout.quote, "mode": "PERMISSIVE"}
+    row = F.from_csv(line, schema, options)
+    return F.array(*[row[f"c{i}"] for i in range(len(layout.names))])
+
+
+def _decoded(spark: SparkSession, path: str | Sequence[str], layout: CsvLayout) -> DataFrame:
+    """Cells of the data records of whole files, parsed as discovery does."""
+    files = spark.read.format("binaryFile").load(list(path) if not isinstance(path, str) else path).select(
+        F.col("path").alias("file_id"), "content")
+    text = decode(F.col("content"), F.lit(layout.encoding))
+    sep = F.lit(layout.delimiter)
+    grid = files.select("file_id", text.alias("_text")).select("file_id", F.posexplode(records(F.col("_text"), sep)).alias("_i", "_record"))
+    width = len(layout.names)
+    padded = F.slice(F.concat(cells(F.col("_record"), sep), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
+    rows = grid.select("file_id", (F.col("_i") + 1).alias("row_idx"), padded.alias("cells"))
+    header = rows.where(F.col("row_idx") == layout.header_row).select("file_id", F.col("cells").alias("_h"))
+    return (rows.where((F.col("row_idx") > layout.header_row) & has_text("cells")).join(header, "file_id", "left")
+            .where(~F.coalesce(F.col("cells") == F.col("_h"), F.lit(False))).select("cells"))
 
 
 def grid_region(grid: DataFrame, names: Sequence[str], headers: Sequence[str | None],
@@ -80,10 +103,10 @@ def grid_region(grid: DataFrame, names: Sequence[str], headers: Sequence[str | N
     width = len(names)
     cut = F.slice(F.concat(F.slice("cells", columns[0], columns[1] - columns[0] + 1),
                            F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
-    cells = (grid.where(F.col("row_idx").between(rows[0] + 1, rows[1])).select("row_idx", cut.alias("cells")))
+    picked = grid.where(F.col("row_idx").between(rows[0] + 1, rows[1])).select("row_idx", cut.alias("cells"))
     header = F.array(*[F.lit((h or "").strip()) for h in headers])
     plain = F.transform("cells", lambda c: F.coalesce(F.btrim(c, F.lit(PYTHON_SPACE)), F.lit("")))
-    kept = cells.where(F.exists("cells", lambda c: c.isNotNull() & (c != "")) & (plain != header))
+    kept = picked.where(F.exists("cells", lambda c: c.isNotNull() & (c != "")) & (plain != header))
     return kept.select("row_idx", *[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
 

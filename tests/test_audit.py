@@ -71,6 +71,6 @@ def test_column_summary_of_mixed_cells(spark):
     cells = spark.createDataFrame(rows, "col_idx int, header string, row_idx bigint, value string, type string")
     got = {r["col_idx"]: r for r in P.column_summary(cells).collect()}
     assert got[1]["first_values"] == [str(i) for i in range(8)] and got[1]["last_values"] == [str(i) for i in range(13, 20)] + ["x"]
-    assert got[1]["type_inconsistencies"] == "Mostly int (20/21) but also: str (1)" and got[1]["distinct_values"] is None
+    assert got[1]["type_inconsistencies"] == "int in 20 of 21 cells; others: str (1)" and got[1]["distinct_values"] is None
     assert got[2]["distinct_values"] == [""] and got[2]["last_values"] is None
     assert got[3]["non_empty_count"] == 0 and got[3]["dominant_type"] is None

@@ -10,9 +10,8 @@ def reference_chunks(text, size=1000, overlap=200):
     out, start = [], 0
     while start < len(text):
         chunk = text[start:start + size]
-        if not chunk.strip():
-            break
-        out.append(chunk)
+        if chunk.strip():
+            out.append(chunk)
         start += size - overlap
     return out
 

@@ -14,95 +14,94 @@ def col(table, target, source, column, expression=None, n=0, **more):
     return MC(table, target, source_columns=((source, column),), expression=expression, sort_order=n, **more)
 
 
-def test_minimal_client(spark):
-    data = spark.createDataFrame([("1", "Alice", "88.5"), ("2", "Bob", "92.0")], "id string, name string, score string")
-    spec = [col("records", "record_id", "data.csv", "id"), col("records", "full_name", "data.csv", "name", n=1),
-            col("records", "score", "data.csv", "score", n=2)]
-    contract = TargetTable("records", (TC("record_id", "Int64", True, True), TC("full_name", "String", True), TC("score", "Float64")))
-    out = M.apply_spec(spec, {"data": data}, [contract])["records"]  # file stem fallback
-    assert [tuple(r) for r in out.orderBy("record_id").collect()] == [(1, "Alice", 88.5), (2, "Bob", 92.0)]
-    results = R.run_rules(out, R.rules_of(spec, [contract])).collect()
-    assert [(r["test_name"], r["passed"]) for r in results] == [
-        ("records.record_id.not_null", True), ("records.record_id.unique", True), ("records.full_name.not_null", True)]
-
-
-PERIODS = ["2024-Q1", "Q2 2024", "2024-Q3", "Q4 2024"]
-PACKAGING = TargetTable("packaging_submission", (
-    TC("submission_id", "String", True, True), TC("reporting_period", "String", True), TC("nation", "String", True),
-    TC("packaging_material", "String", True, False, ("Plastic", "Glass")), TC("packaging_class", "String", True),
-    TC("weight_tonnes", "Float64", True), TC("submission_date", "Date")))
+SF = "/root/testdata/sf0.001"
 
 
-def packaging_rows(n):
-    for i in range(n):
-        b = i % 100
-        date = dt.date(2024, 3, 1 + i % 28)
-        fmt = ("%d/%m/%Y", "%Y-%m-%d", "%d-%b-%Y")[i % 3]
-        yield (f"R{i}", "2024Q2" if b == 0 else PERIODS[i % 4], "SITE-Z" if b == 16 else f"SITE-{i % 3}",
-               "UNKNOWN" if b == 14 else f"M{i % 2}", "PRIMARY bottle" if b == 2 else "Secondary box",
-               "" if b == 12 else "1500", "KG" if b == 4 else " kg " if i % 2 else "tonnes", date.strftime(fmt),
-               "TEST" if b == 8 else " duplicate " if b == 10 else None if i % 5 == 1 else "ok")
+def test_plain_maps_with_a_contract(spark):
+    data = spark.createDataFrame([("17", "bolt", "0.25"), ("18", "washer", "0.5")], "sku string, label string, kilos string")
+    spec = [col("items", "sku", "stock.csv", "sku"), col("items", "title", "stock.csv", "label", n=1),
+            col("items", "weight", "stock.csv", "kilos", n=2)]
+    contract = TargetTable("items", (TC("sku", "Int64", True, True), TC("title", "String", True), TC("weight", "Float64")))
+    out = M.apply_spec(spec, {"stock": data}, [contract])["items"]  # file stem fallback
+    assert [tuple(r) for r in out.orderBy("sku").collect()] == [(17, "bolt", 0.25), (18, "washer", 0.5)]
+    results = R.run_rules(out, R.rules_of(spec, [contract])).collect()
+    assert [(r["test_name"], r["passed"]) for r in results] == [
+        ("items.sku.not_null", True), ("items.sku.unique", True), ("items.title.not_null", True)]
 
 
-def test_packaging_client(spark):
+def test_orders_with_defects(spark):
+    """Orders of the given tables; every 9th is a draft, every 11th has no parsable date, every 13th no total."""
     register_mapping_functions(spark)
-    data = spark.createDataFrame(list(packaging_rows(3000)), ", ".join(f"{c} string" for c in (
-        "record_id", "period", "site_ref", "material", "packaging_type", "weight", "unit", "record_date", "data_quality_flag")))
-    sites = spark.createDataFrame([("SITE-0", "England"), ("SITE-1", "Wales"), ("SITE-2", "Scotland")], "site_ref string, nation string")
-    materials = spark.createDataFrame([("M0", "Plastic"), ("M1", "Glass")], "code string, name string")
-    t, s = "packaging_submission", "p"
-    quarter = "CASE " + " ".join(f"WHEN period RLIKE '(?i)Q{q}' THEN '2024-Q{q}'" for q in (1, 2, 3, 4)) + " END"
+    orders = spark.read.parquet(f"{SF}/orders.parquet").selectExpr(
+        "o_orderkey AS k", "concat('C', o_custkey) AS buyer", "IF(o_orderkey % 9 = 0, ' draft', o_orderstatus) AS state",
+        "IF(o_orderkey % 13 = 0, 'n/a', cast(o_totalprice AS string)) AS total",
+        "CASE WHEN o_orderkey % 11 = 0 THEN 'soon' WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') "
+        "ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS day")
+    buyers = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("concat('C', c_custkey) AS code", "c_mktsegment AS segment")
+    contract = TargetTable("sales", (TC("id", "String", True, True), TC("segment", "String", True), TC("amount", "Float64", True), TC("day", "Date")))
     spec = [
-        MC(t, "_quality", "filter", ((s, "data_quality_flag"),), sort_order=-1,
-           filter_expression="NOT coalesce(upper(strip_chars(data_quality_flag)) IN ('TEST', 'DUPLICATE'), false)"),
-        col(t, "reporting_period", s, "period", quarter, 1),
-        MC(t, "nation", "lookup", ((s, "site_ref"),), lookup_table="sites", lookup_key="site_ref", lookup_value="nation", sort_order=2),
-        col(t, "nation", s, "site_ref", "coalesce(nation, 'England')", 3),
-        MC(t, "packaging_material", "lookup", ((s, "material"),), lookup_table="materials", lookup_key="code", lookup_value="name", sort_order=4),
-        col(t, "packaging_class", s, "packaging_type", "CASE WHEN packaging_type RLIKE '(?i)primary' THEN 'Primary' "
-            "WHEN packaging_type RLIKE '(?i)secondary' THEN 'Secondary' END", 5),
-        col(t, "weight_tonnes", s, "weight", "CASE WHEN strip_chars(unit) RLIKE '(?i)^kg$' THEN try_cast(weight AS double) / 1000 "
-            "WHEN unit RLIKE '(?i)tonnes' THEN try_cast(weight AS double) END", 6, tests=("positive",)),
-        col(t, "submission_date", s, "record_date", "parse_date_any(record_date)", 7),
-        col(t, "submission_id", s, "record_id", "concat(record_id, '-', nation, '-', reporting_period)", 8),
+        MC("sales", "_real", "filter", (("orders", "state"),), sort_order=-1, filter_expression="upper(strip_chars(state)) <> 'DRAFT'"),
+        MC("sales", "segment", "lookup", (("orders", "buyer"),), lookup_table="buyers", lookup_key="code", lookup_value="segment", sort_order=1),
+        col("sales", "amount", "orders", "total", "try_cast(total AS double)", 2, tests=("positive",)),
+        col("sales", "day", "orders", "day", "parse_date_any(day)", 3),
+        col("sales", "id", "orders", "k", "concat(segment, '-', k)", 4),
     ]
-    out = M.apply_spec(spec, {"p": data, "sites": sites, "materials": materials}, [PACKAGING])[t]
-    assert out.count() == 2940
-    facts = out.selectExpr("count_if(weight_tonnes IS NULL)", "count_if(packaging_material IS NULL)", "count_if(submission_date IS NULL)",
-                           "count_if(reporting_period IS NULL)", "count_if(packaging_class = 'Primary')", "max(weight_tonnes)").head()
-    assert tuple(facts) == (30, 30, 0, 0, 30, 1500.0)
-    results = {r["test_name"].split(".", 1)[1]: r["passed"] for r in R.run_rules(out, R.rules_of(spec, [PACKAGING])).collect()}
-    assert not results["weight_tonnes.not_null"] and not results["packaging_material.not_null"]
-    assert results["submission_id.unique"] and results["weight_tonnes.positive"] and results["packaging_material.allowed_values"]
-    assert R.violations(out, R.Rule(t, "weight_tonnes", "not_null", "error")).count() == 30
-
-
-def test_retail_client(spark):
+    out = M.apply_spec(spec, {"orders": orders, "buyers": buyers}, [contract])["sales"]
+    keys = [r.k for r in orders.collect() if r.k % 9]
+    assert out.count() == len(keys)
+    bad_total = sum(k % 13 == 0 for k in keys)
+    facts = out.selectExpr("count_if(amount IS NULL)", "count_if(day IS NULL)", "count_if(segment IS NULL)").head()
+    assert tuple(facts) == (bad_total, sum(k % 11 == 0 for k in keys), 0)
+    results = {r["test_name"].split(".", 1)[1]: r["passed"] for r in R.run_rules(out, R.rules_of(spec, [contract])).collect()}
+    assert not results["amount.not_null"] and results["id.unique"] and results["amount.positive"] and results["segment.not_null"]
+    assert R.violations(out, R.Rule("sales", "amount", "not_null", "error")).count() == bad_total
+
+
+def test_suppliers_with_totals(spark):
     register_mapping_functions(spark)
-    customers = spark.createDataFrame([(1, " jane o'neil ", "NE"), (2, "Soylent Corp", "SW"), (3, "x", None)], "cust_id bigint, cust_name string, region_cd string")
-    orders = spark.createDataFrame([(1, 1, 2, 10.005), (2, 1, -1, 5.0), (3, 2, 1, None), (9999000, 2, 5, 1.0)],
-                                   "order_id bigint, cust_id bigint, qty bigint, unit_price double")
-    c = "customers"
+    firms = spark.createDataFrame([(4, " okoro & sons ", "N"), (5, "delta works", "S"), (6, "q", None)], "fid bigint, title string, side string")
+    loads = spark.createDataFrame([(71, 4, 3, 1.25), (72, 4, -2, 0.5), (73, 5, 7, None), (80_000, 5, 4, 2.0)],
+                                  "load bigint, fid bigint, crates bigint, fee double")
+    f = "firms"
     spec = [
-        col(c, "customer_id", "c", "cust_id"), col(c, "customer_name", "c", "cust_name", "titlecase(strip_chars(cust_name))", 1),
-        col(c, "region", "c", "region_cd", "CASE region_cd WHEN 'NE' THEN 'North East' ELSE region_cd END", 2),
-        MC(c, "total_revenue", "aggregation", (("c", "cust_id"),), aggregation_table="o", aggregation_key="cust_id",
-           aggregation_expression="coalesce(sum(qty * unit_price), 0)", sort_order=3),
-        MC(c, "n", "aggregation", (("c", "cust_id"),), aggregation_table="o", aggregation_key="cust_id",
+        col(f, "firm", "f", "fid"), col(f, "name", "f", "title", "titlecase(strip_chars(title))", 1),
+        col(f, "side", "f", "side", "CASE side WHEN 'N' THEN 'north' ELSE side END", 2),
+        MC(f, "fees", "aggregation", (("f", "fid"),), aggregation_table="l", aggregation_key="fid",
+           aggregation_expression="coalesce(sum(crates * fee), 0)", sort_order=3),
+        MC(f, "n", "aggregation", (("f", "fid"),), aggregation_table="l", aggregation_key="fid",
            aggregation_expression="count(*)", sort_order=4),
-        MC("orders", "_real", "filter", (("o", "order_id"),), filter_expression="NOT startswith(cast(order_id AS string), '9999')"),
-        col("orders", "order_id", "o", "order_id", n=1), col("orders", "line_total", "o", "qty", "round(qty * unit_price, 2)", 2),
+        MC("loads", "_real", "filter", (("l", "load"),), filter_expression="load < 80000"),
+        col("loads", "load", "l", "load", n=1), col("loads", "cost", "l", "crates", "round(crates * fee, 2)", 2),
     ]
-    out = M.apply_spec(spec, {"c": customers, "o": orders})
-    assert list(out) == ["customers", "orders"]
-    assert [tuple(r) for r in out["customers"].orderBy("customer_id").collect()] == [
-        (1, "Jane O'Neil", "North East", 2 * 10.005 - 5, 2), (2, "Soylent Corp", "SW", 5.0, 2), (3, "X", None, None, None)]
-    assert [r["order_id"] for r in out["orders"].orderBy("order_id").collect()] == [1, 2, 3]
+    out = M.apply_spec(spec, {"f": firms, "l": loads})
+    assert list(out) == ["firms", "loads"]
+    assert [tuple(r) for r in out["firms"].orderBy("firm").collect()] == [
+        (4, "Okoro & Sons", "north", 2.75, 2), (5, "Delta Works", "S", 8.0, 2), (6, "Q", None, None, None)]
+    assert [r["load"] for r in out["loads"].orderBy("load").collect()] == [71, 72, 73]
     # Aggregates of one source and key share one scan and one join.
-    plan = out["customers"]._jdf.queryExecution().optimizedPlan().toString()
+    plan = out["firms"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
 
 
+def test_hot_key_of_an_aggregation_join_is_spread(spark, tmp_path):
+    base = spark.range(40_000).selectExpr("id", "IF(id % 10 = 0, id, 7) AS `a.k`")
+    table = spark.range(40_000).selectExpr("id % 500 AS `a.k`", "id AS v")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("-1", "32", "false")):
+        spark.conf.set(n, v)
+    try:
+        out = M.aggregate_join(base, table, "a.k", "a.k", {"n": "count(*)"})
+        out.write.parquet(str(tmp_path / "out"))
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    per_task = [r["count"] for r in back.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(per_task) == 40_000 and max(per_task) < 12_000
+    assert back.where("`a.k` = 7 AND n = 80").count() == 36_000
+
+
 def test_lookup_edges(spark):
     base = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, k string")
     lut = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), (None, "null key")], "k string, v string")

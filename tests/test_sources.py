@@ -2,10 +2,13 @@ import email
 import os
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from mapweave.functions.encoding import decode_text
 from mapweave.operators import dialect as L
+from mapweave.operators.discovery import discover_delimited
+from mapweave.operators.loading import load_catalog
 from mapweave.session import shared_dir
 from mapweave.sources import email as E
 from mapweave.sources import files as S
@@ -15,11 +18,11 @@ from mapweave.streaming.ingest import register_folder
 
 
 def test_cp1252_csv_with_preamble(spark, tmp_path):
-    (tmp_path / "c.csv").write_bytes("Customer export\r\nid;name;note\r\n1;André;\"uses; delimiter\"\r\n2;Zoë;\r\n3;€;x;too;long\r\n".encode("cp1252"))
-    layout = T.CsvLayout(("id", "name", "note"), ";", encoding="cp1252", header_row=2, types=("bigint", "string", "string"))
-    rows = T.read_delimited(spark, str(tmp_path / "c.csv"), layout).orderBy("id").collect()
-    assert [tuple(r)[:2] for r in rows] == [(1, "André"), (2, "Zoë"), (3, "€")]
-    assert rows[0]["note"] == "uses; delimiter"
+    (tmp_path / "c.csv").write_bytes("Lagerliste Mai\r\nnr;ort;text\r\n1;Görlitz;\"a; b\"\r\n2;Plön;\r\n3;€;x;too;long\r\n".encode("cp1252"))
+    layout = T.CsvLayout(("nr", "ort", "text"), ";", encoding="cp1252", header_row=2, types=("bigint", "string", "string"))
+    rows = T.read_delimited(spark, str(tmp_path / "c.csv"), layout).orderBy("nr").collect()
+    assert [tuple(r)[:2] for r in rows] == [(1, "Görlitz"), (2, "Plön"), (3, "€")]
+    assert rows[0]["text"] == "a; b" and rows[1]["text"] is None
 
 
 def test_preamble_is_dropped_per_file_and_split(spark, tmp_path):
@@ -108,3 +111,22 @@ def test_replacing_one_partition_keeps_the_others(spark):
     D.replace_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), path, "k")
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()) == [(1, "a"), (2, "c")]
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_catalogued_files_load_as_discovered(spark, tmp_path):
+    bodies = {
+        "title": "Stock\n\nsku,label\n1,a\n2,b\n", "blank": "\nsku,label\n1,a\n2,b\n", "again": "sku,label\n1,a\nsku,label\n2,b\n",
+        "wide": "sku,label\n1,a,x\n2,b\n", "lines": 'sku,label\n1,"a\nc"\n2,b\n'}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_text(body)
+    (tmp_path / "utf16.csv").write_bytes("sku,label\n1,a\n2,b\n".encode("utf-16"))
+    files = S.scan_folder(spark, str(tmp_path)).selectExpr("name AS file_id", "content")
+    catalog = discover_delimited(files)
+    paths = {f"{n}.csv": str(tmp_path / f"{n}.csv") for n in (*bodies, "utf16")}
+    frames = load_catalog(spark, catalog, paths)
+    names = {r.source_table_id: r.file_id for r in catalog.tables.collect()}
+    got = {names[k]: sorted(map(tuple, df.collect())) for k, df in frames.items()}
+    assert got == {f"{n}.csv": [(1, "a\nc" if n == "lines" else "a"), (2, "b")] for n in (*bodies, "utf16")}
+    (tmp_path / "blank.csv").write_text("sku,label\n9,z\n")
+    with pytest.raises(ValueError, match="blank.csv"):
+        load_catalog(spark, catalog, paths)
