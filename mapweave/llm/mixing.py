@@ -193,12 +193,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: C
     else:
         table = stage(scored.drop("text"), "mix-posteriors")
         rated = with_rates(table, fit_rates(table, target, rounds))
-    shares = [F.col("_llm_posterior")[i].alias(f"p_{n}") for i, n in enumerate(names)]
-    return rated.select(*[f"`{c}`" for c in kept], F.col("_llm_tokens").alias("n_tokens"), *shares,
-                        F.col("_llm_rate").alias("rate"), _copies().alias("copies"))
+    added = {"n_tokens": F.col("_llm_tokens"), **{f"p_{n}": F.col("_llm_posterior")[i] for i, n in enumerate(names)},
+             "rate": F.col("_llm_rate"), "copies": _copies()}
+    taken = {c.lower() for c in kept}
+    # A column of the documents keeps its name; a result of that name is called mix_<name>.
+    return rated.select(*[f"`{c}`" for c in kept], *[
+        value.alias(name if name not in taken else f"mix_{name}") for name, value in added.items()])
 
 
 def _copies() -> Column:
     """Whole copies: the rate rounded up or down by a hash of the id, right on average."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    return (F.floor("_llm_rate") + (chance < F.col("_llm_rate") - F.floor("_llm_rate")).cast("long")).alias("copies")
+    return (F.floor("_llm_rate") + (chance < F.col("_llm_rate") - F.floor("_llm_rate")).cast("long"))

@@ -157,6 +157,8 @@ def test_mixing_whole(spark):
     share = [sum(r[c] * r.n_tokens * r.rate for r in got) / total for c in ("p_aa", "p_bb", "p_cc")]
     assert share == pytest.approx([0.25, 0.5, 0.25], abs=0.02)
     assert all(r.n_tokens == 0 for r in got if r.doc_id in (500, 501)) and all(r.copies >= 0 for r in got)
+    carried = mixing.mix(docs, labels, {"aa": 1, "bb": 1}, F.col("lang"), rounds=2, carry=True)
+    assert carried.columns == [*docs.columns, "n_tokens", "p_aa", "p_bb", "mix_rate", "copies"] and carried.count() == len(got)
     none = mixing.mix(docs, labels.limit(0), {"aa": 1, "bb": 1}, F.col("lang"), rounds=3).collect()
     assert all(r.p_aa == r.p_bb == 0.5 for r in none)
     assert mixing.mix(docs.limit(0), labels, {"aa": 1, "bb": 1}, F.col("lang"), rounds=2).count() == 0
