@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ HITS_PER_QUERY = 5
 # Search texts that every mapping asks for.
 COMMON_QUERIES = ("region code mapping", "revenue calculation", "total revenue", "line total",
                   "customer name misspelling", "test orders exclude")
-# Query vectors sent to every task; above this both sides are tiled.
-MAX_SHIPPED_QUERIES = 1024
+# Queries of one tile; a tile of the corpus has 64 times as many rows.
+QUERY_TILE = 1024
 _DIGITS = 12
 
 
@@ -91,46 +91,24 @@ def _nearest_in(batches, queries: np.ndarray, k: int):
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector",
-            max_shipped: int = MAX_SHIPPED_QUERIES) -> DataFrame:
+            tile: int = QUERY_TILE) -> DataFrame:
     """k nearest corpus vectors of each query by cosine distance (exact).
 
     ``queries``: query_id, vector. Result: query_id, id, distance, rank; ties
-    go to the smaller id, unknown distances (null or zero vectors) come last.
-    Each task keeps the k best per query while it streams over Arrow batches,
-    so k rows per query and task are shuffled, never a pair of each.
+    go to the smaller id. Unknown distances come last: those of null, empty and
+    zero vectors, and between vectors of different width. Tiles of both sides,
+    cut by a hash of the id, meet once; a tile holds about ``tile`` queries and
+    64 times as many corpus rows. k rows per query and tile are shuffled, never
+    a pair of each. The tiles are laid out from the row counts of both sides.
     """
     corpus = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    head = queries.select("query_id", "vector").limit(max_shipped + 1).collect()
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, distance double"
-    if len(head) <= max_shipped:
-        if not head:
-            return corpus.sparkSession.createDataFrame([], schema + ", rank int")
-        dim = len(head[0]["vector"])
-        names = [r["query_id"] for r in head]
-        matrix = _unit(_matrix([r["vector"] for r in head], dim))
-        query_type, id_type = (df.limit(0).toArrow().schema.field(0).type for df in (queries.select("query_id"), corpus))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pairs = ((b.column(0).to_numpy(zero_copy_only=False), b.column(1)) for b in batches)
-            best = _nearest_in(pairs, matrix, k)
-            for name, (ids, distances) in zip(names, best):
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array([name] * len(ids), query_type), "id": pa.array(ids, id_type),
-                    "distance": pa.array(distances, from_pandas=True)})
-
-        partial = corpus.mapInArrow(scan, schema)
-    else:
-        partial = _tiled(corpus, queries.select("query_id", "vector"), k, schema, max_shipped)
+    partial = _tiled(corpus, queries.select("query_id", "vector"), k, schema, tile)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _tiled(corpus: DataFrame, queries: DataFrame, k: int, schema: str, tile: int) -> DataFrame:
-    """Partial k best for any number of queries: tiles of both sides meet once.
-
-    Tiles are cut by a hash of the id and hold about ``tile`` queries and 64
-    times as many corpus rows, whatever the sizes of the two sides.
-    """
     q_tiles = max(1, -(-queries.count() // tile))
     c_tiles = max(1, -(-corpus.count() // (64 * tile)))
     q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)).cast("int")).withColumn(
@@ -140,13 +118,18 @@ def _tiled(corpus: DataFrame, queries: DataFrame, k: int, schema: str, tile: int
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         query_type, id_type = right.schema.field("query_id").type, left.schema.field("id").type
-        names = right.column("query_id").to_pylist()
-        best = []
+        names, best = [], []
         if left.num_rows and right.num_rows:
             vectors = right.column("vector").to_pylist()
+            asked = right.column("query_id").to_pylist()
             ids = left.column("id").combine_chunks().to_numpy(zero_copy_only=False)
-            best = _nearest_in([(ids, left.column("vector").combine_chunks())],
-                               _unit(_matrix(vectors, len(vectors[0]))), k)
+            stored = left.column("vector").combine_chunks()
+            # Queries of one width at a time; a null one has no width and no known distance.
+            width = [len(v) if v else 0 for v in vectors]
+            for w in sorted(set(width)):
+                mine = [i for i, n in enumerate(width) if n == w]
+                names += [asked[i] for i in mine]
+                best += _nearest_in([(ids, stored)], _unit(_matrix([vectors[i] for i in mine], max(w, 1))), k)
         return pa.table({
             "query_id": pa.array([n for n, (ids, _) in zip(names, best) for _ in ids], query_type),
             "id": pa.array([i for ids, _ in best for i in ids], id_type),
@@ -157,10 +140,25 @@ def _tiled(corpus: DataFrame, queries: DataFrame, k: int, schema: str, tile: int
 
 def search(corpus: DataFrame, vector: Sequence[float], k: int = HITS_PER_QUERY, condition: Column | None = None,
            id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """k nearest vectors of one query, optionally within one client's rows."""
+    """k nearest vectors (id, distance, rank) of one query, optionally within one client's rows.
+
+    The query is a literal and the distance a built-in expression, so this is one
+    scan with an ordered limit. Unknown distances come last, as in ``nearest``.
+    """
     rows = corpus if condition is None else corpus.where(condition)
-    query = corpus.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id int, vector array<double>")
-    return nearest(rows, query, k, id_col, vector_col).drop("query_id")
+    stored = F.col(vector_col).cast("array<double>")
+    asked = F.array(*[F.lit(float(x)) for x in vector]).cast("array<double>")
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    norms = F.sqrt(total(F.transform(stored, lambda x: x * x))) * float(np.linalg.norm(np.asarray(vector, float)))
+    product = total(F.zip_with(stored, asked, lambda a, b: a * b))
+    distance = F.when((F.size(stored) == len(vector)) & (norms > 0), F.round(1 - product / norms, _DIGITS))
+    best = rows.select(F.col(id_col).alias("id"), distance.alias("distance")).orderBy(
+        F.col("distance").asc_nulls_last(), "id").limit(k)
+    # At most k rows are numbered.
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("distance").asc_nulls_last(), "id")))
 
 
 def gather(hits: DataFrame, max_total: int | None = None) -> DataFrame:

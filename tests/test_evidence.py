@@ -45,7 +45,7 @@ def test_nearest_matches_brute_force_on_both_paths(spark):
     rows, corpus = vectors(spark, 120)
     queries = spark.createDataFrame([(f"q{i}", rows[i][1]) for i in range(9)], "query_id string, vector array<float>")
     shipped = {(r["query_id"], r["rank"]): r["id"] for r in E.nearest(corpus, queries, 6).collect()}
-    tiled = {(r["query_id"], r["rank"]): r["id"] for r in E.nearest(corpus, queries, 6, max_shipped=2).collect()}
+    tiled = {(r["query_id"], r["rank"]): r["id"] for r in E.nearest(corpus, queries, 6, tile=2).collect()}
     want = {}
     for i in range(9):
         best = sorted(rows, key=lambda r: (round(distance(r[1], rows[i][1]), 6), r[0]))[:6]
