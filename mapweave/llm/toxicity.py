@@ -263,7 +263,7 @@ def fit_words(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, landmark
     return across @ (project @ w[:-1]), float(w[-1])
 
 
-def fit_documents(signs: np.ndarray, label: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def fit_documents(signs: np.ndarray, label: np.ndarray, ridge: float = 1e-4, rounds: int = 50) -> np.ndarray:
     x = np.hstack([signs, np.ones((len(signs), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
