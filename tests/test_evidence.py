@@ -87,3 +87,15 @@ def test_text_search_finds_the_right_text(spark):
 def test_choose_text_prefers_full_text(spark):
     df = spark.createDataFrame([("f", "t", "b"), (None, "t", "b"), (None, None, "b")], "f string, t string, b string")
     assert [r[0] for r in df.select(E.choose_text(F.col("f"), F.col("t"), F.col("b"))).collect()] == ["f", "t", "b"]
+
+
+def test_null_and_ragged_queries_keep_their_rows(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, None)], "id bigint, vector array<double>")
+    queries = spark.createDataFrame([("none", None), ("empty", []), ("two", [1.0, 0.1]), ("three", [2.0, 2.0, 2.0])],
+                                    "query_id string, vector array<double>")
+    got = {}
+    for r in E.nearest(corpus, queries, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["distance"] is None))
+    unknown = [(1, True), (2, True), (3, True), (4, True)]
+    assert got == {"none": unknown, "empty": unknown, "two": [(1, False), (2, False), (3, True), (4, True)],
+                   "three": [(3, False), (1, True), (2, True), (4, True)]}
