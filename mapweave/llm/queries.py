@@ -43,7 +43,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", """
+with d as (select row_number() over () as r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
+s as (select r, ws, unnest(range(1, len(ws) - 33)) as s from d where len(ws) >= 35),
+w as (select r, s, md5(array_to_string(ws[s:s + 34], ' ')) as k from s),
+twice as (select r, s from w where k in (select k from w group by k having count(*) > 1)),
+gone as (select distinct r, unnest(range(s, s + 35)) as p from twice),
+words as (select r, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as p from d),
+kept as (select words.r, count(gone.p)::bigint as n_removed, string_agg(w, ' ' order by words.p) filter (where gone.p is null) as t
+  from words left join gone on gone.r = words.r and gone.p = words.p group by words.r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
