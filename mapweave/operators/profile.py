@@ -7,8 +7,6 @@ neither a column with most of the values nor a repeated value makes a hot task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +28,17 @@ def first_values(df: DataFrame, columns: list[str], order: list[Column], n: int,
                  blank: bool = False) -> DataFrame:
     """First ``n`` present values of each column in an explicit order.
 
-    One bounded top-n per column (a heap per partition, no sort of the data);
-    each reads only its own column and the order key. Blanks count as present
-    only if ``blank``.
+    One scan for all columns; the rank limit prunes each partition to ``n`` rows
+    per column before the shuffle. Blanks count as present only if ``blank``.
     """
-    def one(c: str) -> DataFrame:
-        value = F.col(f"`{c}`").cast("string")
-        present = value.isNotNull() if blank else value.isNotNull() & (value != "")
-        return (df.where(present).orderBy(*order).limit(n)
-                .select(F.lit(c).alias("column"), value.alias("value"),
-                        F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order")))
-
-    rows = reduce(DataFrame.unionByName, [one(c) for c in columns])
+    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    cells = df.select(key.alias("_order"), F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]).alias("_cells"))
+    cells = cells.select("_order", F.inline("_cells"))
+    present = F.col("value").isNotNull() if blank else F.col("value").isNotNull() & (F.col("value") != "")
+    rank = F.row_number().over(W.partitionBy("column").orderBy("_order"))
     # At most n rows per column are left here.
-    return rows.groupBy("column").agg(F.transform(
+    return cells.where(present).withColumn("_r", rank).where(F.col("_r") <= n).groupBy("column").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_order", "value"))), lambda x: x["value"]).alias("examples"))
 
 
