@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def ship(spark, model):
+    """Broadcast a model with its code, so that executors need no installed copy."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpack(shipped):
+    """The model of `ship`, in a task."""
+    return pickle.loads(shipped.value)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the id and the text, so that other columns cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mapweave.llm.automaton import SuffixAutomaton
-from mapweave.llm.common import binary_texts
+from mapweave.llm.common import binary_texts, ship, unpack
 from mapweave.sources.tables import stage
 
 WINDOW = 10
@@ -173,7 +173,7 @@ def mark_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     spark = docs.sparkSession
     marked = docs
     for b, block in enumerate(_item_blocks(items, window)):
-        shipped = spark.sparkContext.broadcast(ItemIndex(block, window))
+        shipped = ship(spark, ItemIndex(block, window))
         if b and b % BLOCKS_PER_JOB == 0:
             marked = stage(marked, "benchmark-marks")
         marked = marked.mapInArrow(_marker(shipped, at, len(fields)), out_schema)
@@ -184,7 +184,7 @@ def mark_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
 
 def _marker(shipped, at: int, n_fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shipped.value if shipped else None
+        index = unpack(shipped) if shipped else None
         for batch in batches:
             texts = binary_texts(batch.column(at))
             before = ([c.to_pylist() for c in batch.columns[n_fields + 1:]] if batch.num_columns > n_fields

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.llm.common import binary_texts
+from mapweave.llm.common import binary_texts, ship, unpack
 from mapweave.llm.features import DIMS, SAMPLE_ROWS, feature_rows, hashed
 from mapweave.sources.tables import stage
 
@@ -88,10 +88,10 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int) -> DataF
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("_llm_tokens", T.LongType()),
                            T.StructField("_llm_posterior", T.ArrayType(T.DoubleType()))])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shipped.value
+        fitted = unpack(shipped)
         for batch in batches:
             texts = binary_texts(batch.column(at))
             p = np.full((len(texts), n), 1.0 / n)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.llm.common import binary_texts
+from mapweave.llm.common import binary_texts, ship, unpack
 from mapweave.llm.features import DIMS, SAMPLE_ROWS, feature_rows, hashed, labelled_sample
 
 #: A document is kept if it reaches `KEEP_GRADE` with at least this probability.
@@ -99,10 +99,10 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("_llm_expected_grade", T.DoubleType()),
                            T.StructField("_llm_tail_probability", T.DoubleType())])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shipped.value
+        fitted = unpack(shipped)
         for batch in batches:
             if fitted is None:
                 grade = tail = pa.nulls(batch.num_rows, pa.float64())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import Powers, binary_texts, prefix_hash, range_hash, slices, word_bounds
+from mapweave.llm.common import Powers, binary_texts, prefix_hash, range_hash, ship, slices, unpack, word_bounds
 from mapweave.llm.features import labelled_sample
 from mapweave.sources.tables import stage
 
@@ -290,11 +290,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicM
     if not toxic.sum() or not clean.sum():
         return None
     model = ToxicModel(*fit_words(table["word"].to_pylist(), toxic, clean), np.zeros(5))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = unpack(shipped)
         for batch in batches:
-            x = shipped.value.signs(binary_texts(batch.column(0)))
+            x = fitted.signs(binary_texts(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1)], names=[*"abcd", "label"])
 
     signs = sample.mapInArrow(run, "a double, b double, c double, d double, label int").limit(rows).toArrow()
@@ -305,11 +306,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicM
 
 def score_documents(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
     """(doc_id, score) of every document row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = unpack(shipped)
         for batch in batches:
-            fitted = shipped.value
             score = fitted.scores(binary_texts(batch.column(1))) if fitted else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
