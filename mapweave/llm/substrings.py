@@ -17,7 +17,8 @@ are known to repeat from the run itself. Keys are hashes of 96 bits of the whole
 word sequence.
 
 Defined cases: null text has no words; texts shorter than the window lose
-nothing; repeated rows are occurrences like any other; a null doc_id is kept.
+nothing; repeated rows are occurrences like any other; a null doc_id is kept,
+and marks belong to a text (128 bits of hash), however many rows share an id.
 """
 
 from __future__ import annotations
@@ -37,13 +38,14 @@ from mapweave.sources.tables import stage
 WINDOW = 35
 #: Size of the table of symbols, as a power of two (2**27 bits are 16 MB).
 TABLE_BITS = 27
-_START_BITS, _COUNT_BITS = 30, 6
+_COUNT_BITS = 6
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("key"),
-                       F.xxhash64(text).alias("print"), text.alias("text"), F.col("doc_id"))
+    # Two hashes of the whole text name its marks; the id in one of them only spreads copies over tasks.
+    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.xxhash64(F.lit("text"), text).alias("print"),
+                       text.alias("text"), F.col("doc_id"))
 
 
 def _ab(blocks: rc.Blocks) -> np.ndarray:
@@ -90,16 +92,16 @@ def _shared_blocks(shipped, window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(1).to_numpy(zero_copy_only=False)
-            prints = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            prints = batch.column(2).to_numpy(zero_copy_only=False)
             for a, words, _, blocks in _parsed(batch, window):
                 keep = np.flatnonzero(_hit(shipped.value, _slot(blocks.anchor, bits)))
                 text = blocks.text[keep]
                 start = blocks.start[keep] - words.first[text]
-                at = (prints[a + text] << np.uint64(_START_BITS + _COUNT_BITS)
-                      | start.astype(np.uint64) << np.uint64(_COUNT_BITS) | blocks.count[keep].astype(np.uint64))
+                at = start.astype(np.uint64) << np.uint64(_COUNT_BITS) | blocks.count[keep].astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[a + text]), pa.array(signed(at)), pa.array(signed(blocks.key[0][keep])),
-                     pa.array(signed(_ab(blocks)[keep]))], names=["key", "at", "b1", "ab"])
+                    [pa.array(key[a + text]), pa.array(prints[a + text]), pa.array(signed(at)),
+                     pa.array(signed(blocks.key[0][keep])), pa.array(signed(_ab(blocks)[keep]))],
+                    names=["key", "print", "at", "b1", "ab"])
 
     return run
 
@@ -124,7 +126,7 @@ def _border_windows(shipped, window: int, bits: int):
 
 
 def repeated_blocks(docs: DataFrame, window: int = WINDOW, table_bits: int = TABLE_BITS) -> DataFrame:
-    """(key, at, mask): per block with repeated windows, a bit for each of them."""
+    """(key, print, at, mask): per block with repeated windows, a bit for each of them."""
     context = docs.sparkSession.sparkContext
     keyed = _keyed(docs)
     texts = keyed.select("text")
@@ -132,7 +134,7 @@ def repeated_blocks(docs: DataFrame, window: int = WINDOW, table_bits: int = TAB
     often = chosen.groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
     table = context.broadcast(_bit_table(often, table_bits))
     blocks = stage(keyed.select("text", "key", "print").mapInArrow(
-        _shared_blocks(table, window, table_bits), "key long, at long, b1 long, ab long"), "repeat-blocks")
+        _shared_blocks(table, window, table_bits), "key long, print long, at long, b1 long, ab long"), "repeat-blocks")
     contents = stage(blocks.groupBy("b1", "ab").count(), "repeat-contents")
     slot = F.shiftrightunsigned("ab", 32).bitwiseAND((1 << min(table_bits, 32)) - 1).alias("slot")
     mixed = contents.groupBy(slot).agg(F.count("*").alias("n")).filter("n > 1")
@@ -148,15 +150,22 @@ def repeated_blocks(docs: DataFrame, window: int = WINDOW, table_bits: int = TAB
         F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     wholly = contents.filter("count > 1").select("b1", "ab", F.lit(-1).cast("long").alias("mask"))
     verdict = stage(wholly.union(partly).groupBy("b1", "ab").agg(F.bit_or("mask").alias("mask")), "repeat-verdict")
-    return blocks.join(verdict, ["b1", "ab"]).select("key", "at", "mask")
+    return blocks.join(verdict, ["b1", "ab"]).select("key", "print", "at", "mask")
+
+
+def marks(found: DataFrame) -> DataFrame:
+    """(key, print, at, mask): the marks of one text, once for all its copies.
+
+    Equal texts have equal marks, and sets of them are merged before the shuffle.
+    """
+    return found.groupBy("key", "print").agg(F.collect_set(F.struct("at", "mask")).alias("marks")).select(
+        "key", "print", F.col("marks.at").alias("at"), F.col("marks.mask").alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, table_bits: int = TABLE_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left, joined by one space."""
-    found = repeated_blocks(docs, window, table_bits)
-    per_doc = found.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks")).select(
-        "key", F.col("marks.at").alias("at"), F.col("marks.mask").alias("mask"))
-    joined = _keyed(docs).join(per_doc, "key", "left").select("text", "doc_id", "print", "at", "mask")
+    per_text = marks(repeated_blocks(docs, window, table_bits))
+    joined = _keyed(docs).join(per_text, ["key", "print"], "left").select("text", "doc_id", "at", "mask")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_remover(window), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
@@ -165,19 +174,15 @@ def _remover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_texts(batch.column(0))
-            prints = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             n_words, n_removed, kept = [], [], []
             for a, b in slices(texts):
                 words = rc.words_of(texts[a:b])
                 starts = rc.in_run(words, window)
-                at, mask = (batch.column(i).slice(a, b - a) for i in (3, 4))
+                at, mask = (batch.column(i).slice(a, b - a) for i in (2, 3))
                 size = np.nan_to_num(at.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 at, mask = (x.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for x in (at, mask))
                 text = np.repeat(np.arange(b - a), size)
-                low = np.uint64(_START_BITS + _COUNT_BITS)
-                mine = at >> low == prints[a + text] << low >> low
-                at, mask, text = at[mine], mask[mine], text[mine]
-                first = words.first[text] + (at >> np.uint64(_COUNT_BITS) & np.uint64((1 << _START_BITS) - 1)).astype(np.int64)
+                first = words.first[text] + (at >> np.uint64(_COUNT_BITS)).astype(np.int64)
                 count = (at & np.uint64((1 << _COUNT_BITS) - 1)).astype(np.int64)
                 for i in range(int(count.max(initial=0))):
                     set_ = (count > i) & (mask >> np.uint64(i) & np.uint64(1)).astype(bool)

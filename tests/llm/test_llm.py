@@ -244,6 +244,26 @@ def test_repeated_words_match_brute_force(spark, table_bits):
     assert substrings.remove_repeats(docs.limit(0), table_bits=table_bits).count() == 0
 
 
+def test_marks_stay_with_their_text_when_many_rows_have_no_id(spark):
+    rng = random.Random(30)
+    passage = " ".join("p%d" % i for i in range(40))
+    seen, pair = {}, None
+    while pair is None:  # a text with a repeat and one without, whose hashes end in the same 28 bits
+        twice = len(seen) % 2
+        tail = "t%d" % rng.getrandbits(40)
+        text = f"{passage} {passage} {tail}" if twice else " ".join("q%d" % i for i in range(60)) + " " + tail
+        low = xxhash.xxh64_intdigest(text, seed=42) & (1 << 28) - 1
+        other = seen.setdefault((low, twice), text) and seen.get((low, 1 - twice))
+        pair = other and (text, other)
+    texts = list(pair) + [text_of(rng, 40) for _ in range(400)] * 2 + [text_of(rng, 40) for _ in range(400)]
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        docs = frame(spark, list(zip(ids, texts))).repartition(4)
+        got = sorted((r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, table_bits=16).collect())
+        assert got == plain_repeats(texts)
+        sizes = substrings.marks(substrings.repeated_blocks(docs, table_bits=16)).select(F.size("at").alias("n")).collect()
+        assert len(sizes) == 401 and max(r.n for r in sizes) <= 81
+
+
 def test_parse_is_local():
     rng = random.Random(10)
     shared = text_of(rng, 60)
