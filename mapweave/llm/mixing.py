@@ -5,9 +5,12 @@ the labelled table, gives each document a posterior over the domains. Documents
 then get nonnegative rates r (expected copies) such that the expected tokens of
 each domain, the sum of r * tokens * posterior, meet the target shares of all
 tokens. The rates minimise the squared miss of the shares plus a small penalty
-on leaving rate 1, by projected gradient steps with momentum. A step needs the
-current domain totals only: a sum over the documents in Spark, one short row per
-step. Rates are a function of posterior and past totals, so each step recomputes
+on leaving rate 1, by projected gradient steps with momentum. Misses are scaled
+by the inverse of the domains' second moments, so that a rare domain moves as
+fast as a common one, and the penalty falls with the steps. Steps end when each
+share is within TOLERANCE of its target; if ROUNDS steps or STALLED steps without
+progress come first, a warning gives the misses. A step needs the current domain
+totals only: a sum over the documents in Spark, one short row per step. Rates are a function of posterior and past totals, so each step recomputes
 them from a staged table of posteriors and nothing is held in executors.
 
 Defined cases: null and empty texts have no tokens, so they weigh nothing, and a
@@ -19,6 +22,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +38,14 @@ from mapweave.sources.tables import stage
 
 #: Target shares of tokens by language, for the registered query and the pipeline.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
-ROUNDS = 40
-#: Weight of the penalty on rates away from 1.
+#: Steps end at a miss of at most this part of each target (of 0.01 for smaller ones).
+TOLERANCE = 1e-3
+#: Steps at most, and steps in which the miss must fall by a hundredth.
+ROUNDS, STALLED = 300, 30
+#: Weight of the penalty on rates away from 1, in the first step; one n-th of it in step n.
 KEEP_NEAR = 1e-3
+#: Added to the second moments: domains with hardly any document stay unmet instead of making rates explode.
+_RIDGE = 1e-6
 _SCALE = 10.0
 
 
@@ -107,7 +116,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int) -> DataF
 
 @dataclass
 class Rates:
-    """The rule of the rates: the misses of the shares at each step so far."""
+    """The rule of the rates: the scaled misses of the shares at each step so far."""
 
     misses: list[np.ndarray] = field(default_factory=list)
     keep_near: float = KEEP_NEAR
@@ -115,32 +124,44 @@ class Rates:
     def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates after all steps; ``ahead`` gives the point of the next gradient.
 
-        A row's step is r <- max(0, y - step * (p . miss + keep_near * (y - 1)))
+        A row's step n is r <- max(0, y - step * (p . miss + keep_near / n * (y - 1)))
         from y, the rates moved on along their last change.
         """
         rate = np.ones(len(p))
         point, t = rate, 1.0
-        step = 1 / (1 + self.keep_near)
-        for miss in self.misses:
-            new = np.maximum(point - step * (p @ miss + self.keep_near * (point - 1)), 0)
+        for n, miss in enumerate(self.misses, 1):
+            near = self.keep_near / n
+            new = np.maximum(point - (p @ miss + near * (point - 1)) / (1 + near), 0)
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             point, rate, t = new + (t - 1) / t_new * (new - rate), new, t_new
         return point if ahead else rate
 
 
-def domain_shares(table: DataFrame, rates: Rates, total: float, ahead: bool) -> np.ndarray:
-    """Sum of rate * tokens * posterior over all rows, by domain, over all tokens."""
+def domain_shares(table: DataFrame, rates: Rates, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rate * tokens * posterior over all rows, by domain, over all tokens: now and ahead."""
+    sums = _summed(table, lambda tokens, p: p.T @ np.stack([tokens * rates.of(p), tokens * rates.of(p, True)], 1))
+    return tuple(sums.reshape(-1, 2).T / total)
+
+
+def second_moments(table: DataFrame, total: float) -> np.ndarray:
+    """Sums of tokens * posterior * posterior for each two domains, over all tokens."""
+    sums = _summed(table, lambda tokens, p: (p * tokens[:, None]).T @ p)
+    return sums.reshape(2 * (round(len(sums) ** 0.5),)) / total
+
+
+def _summed(table: DataFrame, part_of) -> np.ndarray:
+    """The sum over all batches of ``part_of(tokens, posteriors)``, as one row of numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in batches:
-            tokens, p = _matrix(batch)
-            part = p.T @ (tokens * rates.of(p, ahead))
-            out = part if out is None else out + part
+            if batch.num_rows:
+                part = part_of(*_matrix(batch)).ravel()
+                out = part if out is None else out + part
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "v"])
 
     sums = table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    return np.array([r.v for r in sorted(sums, key=lambda r: r.i)]) / total
+    return np.array([r.v for r in sorted(sums, key=lambda r: r.i)])
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +176,19 @@ def fit_rates(table: DataFrame, target: np.ndarray, rounds: int = ROUNDS) -> Rat
     rates = Rates()
     if not total:
         return rates
-    for _ in range(rounds):
-        rates.misses.append(domain_shares(table, rates, float(total), True) - target)
-    return rates
+    scale = np.linalg.inv(second_moments(table, float(total)) + _RIDGE * np.eye(len(target)))
+    allowed = TOLERANCE * np.maximum(target, 0.01)
+    best, since = np.inf, 0
+    while True:
+        now, ahead = domain_shares(table, rates, float(total))
+        worst = np.max(np.abs(now - target) / allowed)
+        if worst <= 1:
+            return rates
+        best, since = (worst, 0) if worst < 0.99 * best else (best, since + 1)
+        if len(rates.misses) >= rounds or since >= STALLED:
+            warnings.warn(f"targets {target.tolist()} are not met: shares are {now.round(5).tolist()}", stacklevel=2)
+            return rates
+        rates.misses.append(scale @ (ahead - target))
 
 
 def with_rates(table: DataFrame, rates: Rates) -> DataFrame:

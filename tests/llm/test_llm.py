@@ -139,6 +139,25 @@ def test_rates_meet_the_targets_and_match_exact_least_squares(spark):
     assert np.abs(plain - rates).max() < 0.05
 
 
+@pytest.mark.parametrize("sure", [1.0, 0.94])
+def test_rates_meet_the_targets_of_rare_domains(spark, sure):
+    counts = (897, 100, 2, 1)
+    p = np.repeat(np.full((4, 4), (1 - sure) / 3) + np.eye(4) * (sure - (1 - sure) / 3), counts, axis=0)
+    table = spark.createDataFrame([(100, [float(x) for x in row]) for row in p],
+                                  "_llm_tokens long, _llm_posterior array<double>")
+    target = np.array([0.4, 0.2, 0.2, 0.2])
+    rates = mixing.fit_rates(table, target).of(p)
+    assert (rates >= 0).all()
+    assert np.abs((p * rates[:, None]).mean(axis=0) - target).max() < 0.0005
+
+
+def test_a_target_without_documents_is_told(spark):
+    table = spark.createDataFrame([(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0])], "_llm_tokens long, _llm_posterior array<double>")
+    with pytest.warns(UserWarning, match="not met"):
+        rates = mixing.fit_rates(table, np.array([0.3, 0.3, 0.4]), rounds=5)
+    assert rates.of(np.eye(3)[:2]) == pytest.approx([0.6, 0.6], abs=0.01)
+
+
 def languages(rng):
     rows = []
     for i in range(120):
