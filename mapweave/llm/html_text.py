@@ -41,6 +41,10 @@ BOILERPLATE = frozenset(
     "pagination popup promo promoted recommend recommended related replies reply respond search share sharing "
     "shoutbox sidebar sidenav signup skyscraper social sponsor sponsored subscribe taboola toolbar topbar widget".split())
 
+#: Words that name content, and words that make a mark of the page's features of a boilerplate word.
+CONTENT = frozenset("article body content entry main page post story text".split())
+MODIFIERS = frozenset("closed enabled has no open with without".split())
+
 #: Ancestors that get points from a block: half as many for each further one.
 REACH = 20
 
@@ -54,24 +58,54 @@ _SCOPES = frozenset("ul ol dl table tbody thead tfoot select body article sectio
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parent", "parts", "points", "length", "linked")
+    __slots__ = ("tag", "marks", "parent", "parts", "points", "length", "linked", "main")
 
     def __init__(self, tag: str, marks: str, parent: Node | None) -> None:
         self.tag, self.marks, self.parent = tag, marks, parent
         self.parts: list = []
         self.points = 0.0
         self.length = self.linked = 0
+        self.main = False
 
     def is_boilerplate(self) -> bool:
         if self.tag in NEVER_TEXT:
             return True
         if self.tag == "header":
             return not _within(self.parent, "article")
-        if self.tag in KEPT_ROOTS and self.tag != "article" or not self.marks:
+        if self.main or self.tag in KEPT_ROOTS and self.tag != "article" or not self.marks:
             return False
         return not BOILERPLATE.isdisjoint(_PART.split(self.marks))
 
 
+def _mark_main(root: Node) -> None:
+    """Exempt from their marks the containers with over half of the unlinked text of the page.
+
+    Text of marked elements inside them does not count, and their marks must name
+    content as well or only say what the page has: comments alone can be long.
+    """
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(p for p in node.parts if isinstance(p, Node) and p.tag not in NEVER_TEXT)
+    clean, size = {}, {}
+    for node in reversed(nodes):
+        texts = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        below = [p for p in node.parts if id(p) in size]
+        size[id(node)] = 0 if node.tag == "a" else texts + sum(size[id(p)] for p in below)
+        clean[id(node)] = 0 if node.tag == "a" else texts + sum(clean[id(p)] for p in below if not p.is_boilerplate())
+    for node in nodes:
+        node.main = clean[id(node)] > 0.5 * max(size[id(root)], 1) and node.is_boilerplate() and (
+            node.tag not in NEVER_TEXT | {"header"} and _names_content(node.marks))
+
+
+def _names_content(marks: str) -> bool:
+    """A mark of content words only, or marks like has-sidebar and comments-open only."""
+    plain = [words for m in marks.split() if MODIFIERS.isdisjoint(words := _PART.split(m))]
+    return not any(not BOILERPLATE.isdisjoint(w) for w in plain) or any(
+        BOILERPLATE.isdisjoint(w) and not CONTENT.isdisjoint(w) for w in plain)
+
+
 def _within(node: Node | None, tag: str) -> bool:
     while node:
         if node.tag == tag:
@@ -198,19 +232,18 @@ def _kept(best: Node) -> list[Node]:
             break
     if not best.parent or best.tag == "body":
         return [best]
-    out, before = [], True
+    out = []
     for part in best.parent.parts:
         if part is best:
             out.append(part)
-            before = False
         elif isinstance(part, Node) and not part.is_boilerplate():
             texts = list(_blocks(part))
             size = sum(len(t) for _, t, _ in texts)
             dense = sum(n for *_, n in texts) / max(size, 1)
             alike = part.tag == best.tag and part.marks == best.marks and part.points >= 0.2 * best.points
-            title = part.tag in HEADINGS and before and best.tag not in ("article", "main")
-            paragraph = part.tag == "p" and size > 80 and dense < 0.25 and best.tag not in ("article", "main")
-            if size and dense < 0.5 and (alike or title or paragraph):
+            # Beside an article or main only more of the same; else any block that is not mostly links.
+            beside = best.tag not in ("article", "main") and part.tag not in INLINE
+            if size and dense < 0.5 and (alike or beside):
                 out.append(part)
     return out
 
@@ -221,6 +254,7 @@ def main_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    _mark_main(builder.root)
     best = _score(builder.root)
     if best is None:
         return ""

@@ -489,6 +489,22 @@ def test_main_text_of_odd_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+LONG = ", ".join("word%d and more" % i for i in range(40))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div id=a><p>{LONG}</p></div><div id=b><p>Short, b.</p></div>", [LONG, "Short, b."]),
+    (f"<div id=a><p>{LONG}</p></div><h2>More</h2><ul><li>one<li>two</ul><table><tr><td>cell</table><blockquote>said</blockquote>"
+     "<pre>x = 1</pre><p>End.</p><ul><li><a href=x>Elsewhere</a></ul><div class=related><p>not, this</p></div>",
+     [LONG, "More", "one", "two", "cell", "said", "x = 1", "End."]),
+    (f"<article class='post comments-open'><p>{LONG}</p></article><div class=comments><p>me, too</p></div>", [LONG]),
+    (f"<div><p>Brief, it, is.</p></div><div class=post-comments><p>{LONG}</p></div>", ["Brief, it, is."]),
+    (f"<div class='content has-sidebar'><p>{LONG}</p><div class=sidebar><p>side, bar</p></div></div>", [LONG]),
+])
+def test_main_text_keeps_what_stands_beside_and_in_marked_containers(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
 # ---- 10 top-k ----------------------------------------------------------------------------------------------------
 
 def test_top_k_matches_brute_force(spark):
