@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import decontamination, html_text, licenses, mixing, personal_data, quality, simhash, substrings, topk, toxicity
+from mapweave.llm import (
+    decontamination, html_text, licenses, merkle, mixing, personal_data, quality, simhash, substrings, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +160,55 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
+def _merkle_sql(levels: int = 8) -> str:
+    """Leaves and their siblings level by level; a tree of one node stays as it is (up to 16**levels leaves)."""
+    # The table of the CRC-32 polynomial, worked out by the query.
+    table = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i))"
+    crc = ("xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint),"
+           " lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)")
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def digest(text: str) -> str:
+        parts = [f"coalesce(octet_length(encode(({c})::varchar))::varchar || ':' || ({c})::varchar, '-')"
+                 for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def up(prefix: str, start: str) -> str:
+        out = [f"{prefix}0 as ({start})"]
+        for k in range(levels):
+            out.append(f"{prefix}r{k} as (select tree, pos // 16 as run, list(digest order by pos) as ds, any_value(n) as n from {prefix}{k} group by all)")
+            out.append(f"{prefix}{k + 1} as (select tree, run as pos, (n + 15) // 16 as n, case when n > 1 then sha256(array_to_string(ds, '')) else ds[1] end as digest from {prefix}r{k})")
+        return ", ".join(out)
+
+    def climb(prefix: str, leaf: str) -> str:
+        """Columns left and right of each level below, and the fold, as nested subqueries."""
+        query = leaf
+        for k in range(levels):
+            slot = f"(place // {16 ** k}) % 16"
+            query = (f"select q.* exclude (proof, folded), proof || case when r.n > 1 then array_to_string(r.ds[1:{slot}], '') || array_to_string(r.ds[{slot} + 2:], '') else '' end as proof,"
+                     f" case when r.n > 1 then sha256(array_to_string(r.ds[1:{slot}], '') || folded || array_to_string(r.ds[{slot} + 2:], '')) else folded end as folded"
+                     f" from ({query}) q join {prefix}r{k} r on r.tree = q.at and r.run = q.place // {16 ** (k + 1)}")
+        return query
+
+    return f"""
+with crc as materialized (select {table} as t),
+docs as (select doc_id, coalesce('=' || source, '') as tree, {digest('text')} as leaf,
+  case when {crc} % 5 = 0 then {digest(low)} else {digest('text')} end as shown from documents, crc),
+placed as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from docs),
+{up("a", "select tree, pos, n, leaf as digest from placed")},
+subroots as materialized (select tree, digest as subroot, row_number() over (order by encode(tree)) - 1 as pos, count(*) over () as n from a{levels}),
+{up("b", "select 0 as tree, pos, n, subroot as digest from subroots")},
+inner_proof as ({climb("a", "select doc_id, tree as at, pos as place, leaf, '' as proof, shown as folded from placed")}),
+outer_proof as ({climb("b", "select doc_id, leaf, subroot, 0 as at, s.pos as place, proof, folded from inner_proof i join subroots s on s.tree = i.at")})
+select doc_id, leaf, subroot, b.digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = b.digest as verified
+from outer_proof, b{levels} b"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_table(spark, folder, "documents")).drop("steps")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
