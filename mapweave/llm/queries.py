@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import (
-    decontamination, html_text, licenses, merkle, mixing, personal_data, quality, simhash, substrings, topk, toxicity)
+    conversations, decontamination, html_text, licenses, merkle, mixing, personal_data, quality, simhash, substrings, topk,
+    toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +210,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(_table(spark, folder, "documents")).drop("steps")
 
 
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(_table(spark, folder, "conversations"), damage=True)[0]
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
