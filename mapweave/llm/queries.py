@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import (
-    conversations, decontamination, html_text, licenses, merkle, mixing, personal_data, quality, simhash, substrings, topk,
-    toxicity)
+    byte_repeats, conversations, decontamination, html_text, licenses, merkle, mixing, personal_data, quality, simhash,
+    substrings, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +210,27 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(_table(spark, folder, "documents")).drop("steps")
 
 
+@query("op12_suffix_array_dedup", """
+with d as materialized (select row_number() over () as r, coalesce(doc_id, -9223372036854775808) as place, doc_id,
+    hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as materialized (select r, place, s, md5_number(substr(h, 2 * s + 1, 200)) as k
+  from (select r, place, h, unnest(range(0, n - 99)) as s from d where n >= 100)),
+firsts as (select k, min(struct_pack(place, s)) as f from w group by k having count(*) > 1),
+late as (select r, s from w join firsts using (k) where struct_pack(place, s) > f),
+cut as (select r, s, sum(new) over (partition by r order by s) as run
+  from (select r, s, (s > coalesce(lag(s) over (partition by r order by s) + 100, -1))::int as new from late)),
+runs as (select r, run, min(s) as a, max(s) + 100 as b from cut group by r, run),
+gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as done from runs),
+kept as (select r, count(*) as n_spans, sum(b - a)::bigint as n_removed,
+    string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as rest
+  from gaps join d using (r) group by r)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(rest, h))) as kept_sha256 from d left join kept using (r)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = byte_repeats.remove_repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(_table(spark, folder, "conversations"), damage=True)[0]
