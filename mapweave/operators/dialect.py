@@ -17,18 +17,21 @@ from mapweave.functions.encoding import cp1252_from_latin1, has_undefined_cp1252
 DELIMITERS = (",", ";", "\t", "|")
 
 # Stands for a well-formed quoted cell; from the private use area.
-_QUOTED = chr(0xE000)
+QUOTED = chr(0xE000)
 # UTF-16 text as hex units, without lone surrogates.
 _UTF16_LE = r"^(?:..(?!D[89A-F])..|..D[89AB]..D[C-F])*+$"
 _UTF16_BE = r"^(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*+$"
 
 
+def is_utf16(units: Column, head: Column) -> Column:
+    """Whether bytes in hex are UTF-16 in the byte order of a mark."""
+    return (head.startswith("FFFE") & units.rlike(_UTF16_LE)) | (head.startswith("FEFF") & units.rlike(_UTF16_BE))
+
+
 def encoding(content: Column) -> Column:
     """utf-8-sig, utf-16, utf-8 or cp1252; null if none decodes the bytes."""
     head = F.hex(F.substring(content, 1, 3))
-    units = F.hex(content)
-    utf16 = ((head.startswith("FFFE") & units.rlike(_UTF16_LE))
-             | (head.startswith("FEFF") & units.rlike(_UTF16_BE)))
+    utf16 = is_utf16(F.hex(content), head)
     valid = F.is_valid_utf8(content.cast("string"))
     return (F.when((head == "EFBBBF") & valid, "utf-8-sig")
             .when(head.rlike("^(FFFE|FEFF)") & utf16, "utf-16").when(valid, "utf-8")
@@ -48,38 +51,38 @@ def newline_style(text: Column) -> Column:
     return F.when(text.contains("\r\n"), "CRLF").when(text.contains("\r"), "CR").otherwise("LF")
 
 
-def _escaped(delimiter: str) -> str:
+def escaped(delimiter: str) -> str:
     return {"\t": r"\t", "|": r"\|"}.get(delimiter, delimiter)
 
 
-def _opening_quote(delimiter: str) -> str:
+def opening_quote(delimiter: str) -> str:
     """A quote at the start of a cell; quotes within a bare cell are plain text."""
-    return rf'"(?<![^{_escaped(delimiter)}\r\n]")'
+    return rf'"(?<![^{escaped(delimiter)}\r\n]")'
 
 
 def _quoted_cell(delimiter: str) -> str:
-    return _opening_quote(delimiter) + r'[^"]*+(?:""[^"]*+)*+"'
+    return opening_quote(delimiter) + r'[^"]*+(?:""[^"]*+)*+"'
 
 
-def _masked(text: Column, delimiter: str) -> Column:
+def masked(text: Column, delimiter: str) -> Column:
     """Text with every well-formed quoted cell as one stand-in character."""
-    return F.when(text.contains('"'), F.regexp_replace(text, _quoted_cell(delimiter), _QUOTED)).otherwise(text)
+    return F.when(text.contains('"'), F.regexp_replace(text, _quoted_cell(delimiter), QUOTED)).otherwise(text)
 
 
 def _problem(masked: Column, delimiter: str) -> Column:
-    d = _escaped(delimiter)
-    return (F.when(masked.contains('"') & masked.rlike(_opening_quote(delimiter)),
+    d = escaped(delimiter)
+    return (F.when(masked.contains('"') & masked.rlike(opening_quote(delimiter)),
                    "unexpected end of data in a quoted cell")
-            .when(masked.contains(_QUOTED) & masked.rlike(rf"{_QUOTED}[^{d}\r\n]"), "text after a closing quote")
+            .when(masked.contains(QUOTED) & masked.rlike(rf"{QUOTED}[^{d}\r\n]"), "text after a closing quote")
             .when(masked.contains("\r") & masked.rlike(r"\r(?![\r\n]|\z)"), "new-line character in an unquoted cell"))
 
 
 def quote_problem(text: Column, delimiter: Column) -> Column:
     """Why the text is not well-formed in a delimiter, null if it is."""
-    return _by_delimiter(delimiter, lambda d: _problem(_masked(text, d), d))
+    return _by_delimiter(delimiter, lambda d: _problem(masked(text, d), d))
 
 
-def _once(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     """``body(value)`` with the value computed once; a lambda would redo it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -103,10 +106,10 @@ def delimiter(text: Column) -> Column:
 
         def of_masked(masked: Column) -> Column:
             lines = F.filter(F.split(masked, r"[\r\n]+"), lambda x: x != "")
-            widths = F.filter(F.transform(lines, lambda x: F.size(F.split(x, _escaped(d)))), lambda w: w > 1)
-            return F.when(_problem(masked, d).isNull(), _once(widths, mode))
+            widths = F.filter(F.transform(lines, lambda x: F.size(F.split(x, escaped(d)))), lambda w: w > 1)
+            return F.when(_problem(masked, d).isNull(), once(widths, mode))
 
-        return _once(_masked(text, d), of_masked)
+        return once(masked(text, d), of_masked)
 
     return F.array_max(F.array(*[score(i, d) for i, d in enumerate(DELIMITERS)]))["d"]
 
@@ -126,7 +129,7 @@ def cells(record: Column, delimiter: Column) -> Column:
     def make(d: str) -> Column:
         raw = F.regexp_extract_all(
             F.concat(F.lit(d), record),
-            F.lit(rf'{_escaped(d)}("[^"]*+(?:""[^"]*+)*+"|[^{_escaped(d)}]*+)'), F.lit(1))
+            F.lit(rf'{escaped(d)}("[^"]*+(?:""[^"]*+)*+"|[^{escaped(d)}]*+)'), F.lit(1))
         return F.transform(raw, lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
             F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))

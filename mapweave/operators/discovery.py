@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mapweave.functions.ids import column_id, table_id
 from mapweave.operators import dialect as L
 from mapweave.operators import grid as G
+from mapweave.operators import transducer as T
 from mapweave.operators.ordered import join_by_range, running_count
+from mapweave.sources import blocks as B
 from mapweave.sources.tables import stage
 
 _BOOLEAN = r"(?i)^\s*(true|false)\s*$"
@@ -101,8 +104,24 @@ def discover_delimited(files: DataFrame) -> Catalog:
     the others. The parsed grid, the placed rows and the headers are staged:
     every file is parsed once.
     """
+    return _catalog(stage(L.csv_grid(files), "grid"), files.select("file_id", F.sha2("content", 256).alias("file_sha256")))
+
+
+def discover_paths(spark: SparkSession, paths: str | Sequence[str]) -> Catalog:
+    """Catalog of the delimited files below some paths; the file_id is a file's path.
+
+    Files are read and parsed in blocks by many tasks (`sources.blocks`,
+    `operators.transducer`), so one of any size makes no large row. Spark's
+    readers list no file without bytes, so such a file is not in the catalog.
+    """
+    files, lines = stage(B.list_files(spark, paths), "listing"), stage(B.read_bytes(spark, paths), "lines")
+    about, text = B.describe(files, lines)
+    return _catalog(stage(T.block_grid(about, text), "grid"), stage(B.hash_lines(about, lines), "hashes"))
+
+
+def _catalog(grid: DataFrame, hashes: DataFrame) -> Catalog:
+    """Catalog of parsed files from their staged cell grid and hashes."""
     key = ["file_id"]
-    grid = stage(L.csv_grid(files), "grid")
     shape = grid.groupBy("file_id", "encoding", "delimiter", "newline", "fallback", "problem", "multi_line").agg(F.count("*").alias("_rows")).drop("_rows")
     rows = grid.where(G.has_text("cells"))
     width = G.modal_width(grid, key)
@@ -113,7 +132,6 @@ def discover_delimited(files: DataFrame) -> Catalog:
     data = G.data_rows(placed, headers, key, "pos", keep_blank=True)
     dropped = G.dropped_rows(placed, headers, key, "pos").select("file_id", "repeated")
     ragged = G.ragged_rows(grid, key).select("file_id", "ragged", F.col("rows").alias("ragged_rows"))
-    hashes = files.select("file_id", F.sha2("content", 256).alias("file_sha256"))
     tables = (shape.join(headers, key).join(hashes, key).join(ragged, key, "left"))
     nothing = F.lit("")
     tables, columns = _assemble(tables, headers, data, dropped, key, F.col("file_sha256"), nothing, nothing, F.col("header_pos") + 1)

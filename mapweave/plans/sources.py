@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.encoding import decode_text
-from mapweave.operators.discovery import discover_delimited
+from mapweave.operators.discovery import discover_paths
 from mapweave.operators.loading import load_catalog
 from mapweave.operators.mapping import apply_spec
+from mapweave.operators.transducer import block_grid
 from mapweave.plans.registry import query
 from mapweave.schemas import MappingColumn as MC
 from mapweave.session import shared_dir
+from mapweave.sources import blocks as B
 from mapweave.sources import email as E
 from mapweave.sources import files as S
 from mapweave.sources import tables as D
@@ -66,36 +69,50 @@ def _(t):
     return _files(t).select("doc_id", S.fingerprint(F.col("content")).alias("sha256"))
 
 
-_LAYOUTS = """CASE g WHEN 0 THEN concat('Customer list', chr(10), chr(10), 'id,name,note', chr(10), body)
- WHEN 1 THEN concat(chr(10), 'id,name,note', chr(10), body) WHEN 2 THEN concat('id,name,note', chr(10), body, 'id,name,note', chr(10), body2)
- ELSE concat('id,name,note', chr(10), body) END"""
-
-
 @query("a08_load_by_position", """SELECT c_custkey % 5 AS file_id, c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 5 = 4 THEN 'first' || chr(10) || c_mktsegment
  ELSE c_mktsegment END AS note FROM customer""")
 def _(t):
-    """Five files of customers: title, blank first line, repeated header, UTF-16, line breaks in cells."""
+    """Five files of customers, read in blocks: title, blank first line, repeated header, UTF-16, line breaks in cells."""
     g = F.col("c_custkey") % 5
     note = F.when(g == 4, F.concat(F.lit('"first\n'), F.col("c_mktsegment"), F.lit('"'))).otherwise(F.col("c_mktsegment"))
-    line = F.concat_ws(",", "c_custkey", "c_name", note)
-    half = F.xxhash64("c_custkey") % 2 == 0
-    texts = t.customer.where("c_custkey % 5 <> 3").groupBy(g.alias("g")).agg(*[
-        F.concat(F.array_join(F.collect_list(F.when(c, line)), "\n"), F.lit("\n")).alias(n)
-        for n, c in (("body", half | (g != 2)), ("body2", ~half))])
+    # In the third file half of the customers stand below a second header.
+    place = F.when(g == 2, F.xxhash64("c_custkey") % 2 + 1).otherwise(F.lit(2))
+    rows = t.customer.where("c_custkey % 5 <> 3").select(
+        g.alias("file_id"), place.cast("long").alias("place"), F.col("c_custkey").alias("seq"), F.concat_ws(",", "c_custkey", "c_name", note).alias("value"))
+    top = t.spark.createDataFrame([(0, -3, 0, "Customer list"), (0, -2, 0, ""), (1, -2, 0, ""), *((i, -1, 0, "id,name,note") for i in (0, 1, 2, 4)),
+                                   (2, 1, 1 << 62, "id,name,note")], "file_id long, place long, seq long, value string")
     base = shared_dir(t.spark, "layouts")
-    texts.select(F.expr(_LAYOUTS).alias("value"), F.col("g").alias("file_id")).write.partitionBy("file_id").text(base)
+    lines = rows.union(top).repartition("file_id").sortWithinPartitions("file_id", "place", "seq")
+    lines.select("file_id", "value").write.partitionBy("file_id").text(base)
     wide = t.customer.where("c_custkey % 5 = 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
-    wide.coalesce(1).write.option("header", True).option("encoding", "UTF-16").csv(f"{base}/file_id=3")
-    found = t.spark.read.format("binaryFile").load(f"{base}/file_id=*").select(
-        F.regexp_extract("path", "file_id=([0-9])", 1).cast("int").alias("file_id"), "content")
-    catalog = discover_delimited(found)
-    paths = {str(i): f"{base}/file_id={i}" for i in range(5)}
-    frames = load_catalog(t.spark, catalog, paths)
-    ids = {r.source_table_id: r.file_id for r in catalog.tables.select("source_table_id", "file_id").collect()}
-    parts = [df.select(F.lit(ids[k]).cast("bigint").alias("file_id"), "id", "name", "note") for k, df in frames.items()]
+    wide.repartition(1).write.option("header", True).option("encoding", "UTF-16").csv(f"{base}/file_id=3")
+    catalog = discover_paths(t.spark, f"{base}/file_id=*")
+    files = {r.source_table_id: r.file_id for r in catalog.tables.select("source_table_id", "file_id").toLocalIterator()}
+    frames = load_catalog(t.spark, catalog, {path: path for path in files.values()})
+    number = {k: int(re.search("file_id=([0-9])", path)[1]) for k, path in files.items()}
+    parts = [df.select(F.lit(number[k]).cast("bigint").alias("file_id"), "id", "name", "note") for k, df in frames.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("b03_block_encoding", """WITH d AS (SELECT doc_id % 3 AS k, text, regexp_matches(text, '[^\x00-\x7F]') AS wide FROM documents)
+SELECT k, CASE k WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' ELSE CASE WHEN bool_or(wide) THEN 'cp1252' ELSE 'utf-8' END END AS encoding,
+ CASE WHEN bool_or(contains(text, chr(13) || chr(10))) THEN 'CRLF' WHEN bool_or(contains(text, chr(13))) THEN 'CR' ELSE 'LF' END AS newline,
+ count(*) + 1 AS records, sum(length(text))::BIGINT AS chars FROM d GROUP BY k""")
+def _(t):
+    """Documents as three delimited files in three encodings: what a file is, told from its blocks, and its records."""
+    base = shared_dir(t.spark, "encodings")
+    for k, encoding in enumerate(("UTF-8", "UTF-16", "ISO-8859-1")):
+        (t.documents.where(F.col("doc_id") % 3 == k).select("doc_id", "text").repartition(1).write.option("header", True)
+         .option("escape", '"').option("quoteAll", True).option("encoding", encoding)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/k={k}"))
+    files, lines = B.list_files(t.spark, f"{base}/k=*"), D.stage(B.read_bytes(t.spark, f"{base}/k=*"), "lines")
+    about, text = B.describe(files, lines)
+    grid = block_grid(about, text)
+    k = F.regexp_extract("file_id", "k=([0-9])", 1).cast("bigint").alias("k")
+    chars = F.when(F.col("row_idx") > 1, F.length(F.get("cells", F.lit(1))))
+    return grid.groupBy(k, "encoding", "newline").agg(F.count("*").alias("records"), F.sum(chars).alias("chars"))
+
+
 _KEY = f"concat('acme/', source, '/', substring(sha256({_TEXT}), 1, 16), '_', replace({_NAME}, '/', '_'))"
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mapweave.functions.scalar import PYTHON_SPACE
-from mapweave.operators.dialect import cells, decode, records
+from mapweave.operators import transducer as T
 from mapweave.operators.grid import has_text
 from mapweave.schemas import TARGET_SCHEMA, TargetColumn, TargetTable
+from mapweave.sources import blocks as B
 from mapweave.sources.files import scan_folder
+from mapweave.sources.tables import stage
 
 # Where a target contract is looked for, in this order.
 CONTRACT_NAMES = ("target_schema.json", "target-schema.json", "schema.json")
@@ -38,9 +42,9 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], layout: CsvLa
     ``header_row`` is the header's line of the file as discovery counts it, blank
     lines included. What stands above it, blank lines and repeats of the header
     are dropped; long rows are cut, short rows padded with nulls, and the
-    catalogued load types are applied with casts that give null. UTF-8 files
-    stay splittable unless ``multi_line`` is set (cells with line breaks); the
-    other encodings are decoded file by file.
+    catalogued load types are applied with casts that give null. Files are read
+    in blocks; those with line breaks in cells (``multi_line``) or another
+    encoding than UTF-8 are parsed as a transducer over their lines.
     """
     plain = layout.encoding in ("utf-8", "utf-8-sig") and not layout.multi_line
     rows = _lines(spark, path, layout) if plain else _decoded(spark, path, layout)
@@ -55,39 +59,43 @@ def _lines(spark: SparkSession, path: str | Sequence[str], layout: CsvLayout) ->
     """Cells of the data lines of UTF-8 files, read line by line.
 
     Line ids grow along a task, and a file's first lines are those of its block
-    0, so one small aggregate finds where each file starts and its header.
+    0, so one small aggregate finds where each file starts and its header. A
+    line is parsed once, by a generator, and so is the header of a file.
     """
     lines = spark.read.text(list(path) if not isinstance(path, str) else path).select(
         F.regexp_replace("value", r"\r$", "").alias("_line"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     first = lines.where("_block = 0")
-    starts = first.groupBy("_file").agg(F.min("_id").alias("_start"))
-    header = (first.join(starts, "_file").where(F.col("_id") == F.col("_start") + layout.header_row - 1)
-              .select("_file", "_start", F.regexp_replace("_line", "^\ufeff", "").alias("_header")))
-    below = lines.join(header, "_file", "left").where(
+    header = first.groupBy("_file").agg(F.min("_id").alias("_start"), F.min_by("_line", "_id").alias("_header"))
+    if layout.header_row > 1:
+        header = (first.join(header.drop("_header"), "_file").where(F.col("_id") == F.col("_start") + layout.header_row - 1)
+                  .select("_file", "_start", F.col("_line").alias("_header")))
+    header = header.withColumn("_header", F.regexp_replace("_header", "^\ufeff", ""))
+    below = lines.join(_with_cells(header, "_header", "_h", layout), "_file", "left").where(
         (F.col("_block") > 0) | (F.col("_id") >= F.col("_start") + layout.header_row))
-    kept = below.select(_csv_cells(F.col("_line"), layout).alias("cells"), _csv_cells(F.col("_header"), layout).alias("_h"))
+    kept = _with_cells(below, "_line", "cells", layout)
     return kept.where(has_text("cells") & ~F.coalesce(F.col("cells") == F.col("_h"), F.lit(False))).select("cells")
 
 
-def _csv_cells(line: Column, layout: CsvLayout) -> Column:
-    """Cells of one line in the width of the layout; missing ones are null."""
-    schema = ", ".join(f"c{i} string" for i in range(len(layout.names)))
+def _with_cells(rows: DataFrame, line: str, out: str, layout: CsvLayout) -> DataFrame:
+    """``rows`` with the cells of a line in the width of the layout; missing ones are null."""
+    names = [f"_{out}{i}" for i in range(len(layout.names))]
     options = {"sep": layout.delimiter, "quote": layout.quote, "escape": layout.quote, "mode": "PERMISSIVE"}
-    row = F.from_csv(line, schema, options)
-    return F.array(*[row[f"c{i}"] for i in range(len(layout.names))])
+    parsed = F.from_csv(line, ", ".join(f"{n} string" for n in names), options)
+    return rows.select("*", F.inline_outer(F.array(parsed))).withColumn(out, F.array(*names)).drop(*names)
 
 
 def _decoded(spark: SparkSession, path: str | Sequence[str], layout: CsvLayout) -> DataFrame:
-    """Cells of the data records of whole files, parsed as discovery does."""
-    files = spark.read.format("binaryFile").load(list(path) if not isinstance(path, str) else path).select(
-        F.col("path").alias("file_id"), "content")
-    text = decode(F.col("content"), F.lit(layout.encoding))
-    sep = F.lit(layout.delimiter)
-    grid = files.select("file_id", text.alias("_text")).select("file_id", F.posexplode(records(F.col("_text"), sep)).alias("_i", "_record"))
+    """Cells of the data records of files in blocks, parsed as discovery does.
+
+    The lines and the records are written, so that each is parsed once.
+    """
+    text = stage(B.decoded_as(B.read_bytes(spark, path), layout.encoding), "text")
+    told = stage(T.with_states(T.line_functions(text, (layout.delimiter,)), ["w0"]), "states")
+    grid = stage(T.record_cells(told, "w0", F.lit(layout.delimiter)), "records")
     width = len(layout.names)
-    padded = F.slice(F.concat(cells(F.col("_record"), sep), F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
-    rows = grid.select("file_id", (F.col("_i") + 1).alias("row_idx"), padded.alias("cells"))
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
+    rows = grid.select("file_id", "row_idx", padded.alias("cells"))
     header = rows.where(F.col("row_idx") == layout.header_row).select("file_id", F.col("cells").alias("_h"))
     return (rows.where((F.col("row_idx") > layout.header_row) & has_text("cells")).join(header, "file_id", "left")
             .where(~F.coalesce(F.col("cells") == F.col("_h"), F.lit(False))).select("cells"))
@@ -123,13 +131,23 @@ def load_sources(spark: SparkSession, layouts: Mapping[str, CsvLayout],
 
 
 def load_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Lazy frame per CSV file of a folder, by file stem, when there is no catalog.
+    """Lazy frame per CSV file (or folder of part files) by file stem, when there is no catalog.
 
-    Only the file listing is brought to the driver.
+    One job finds the header line of every file; the driver gets one row for
+    each file, and no further job runs before a frame is used.
     """
-    listing = scan_folder(spark, folder).where(F.lower("name").endswith(".csv")).select("path", "name")
-    return {PurePosixPath(r["name"]).stem: spark.read.option("header", True).option("escape", '"').csv(r["path"])
-            for r in listing.orderBy("name").toLocalIterator()}
+    listing = scan_folder(spark, folder).where(F.lower("name").endswith(".csv")).select(F.col("path").alias("_file"), "name")
+    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(folder).select(
+        F.col("value"), B.file_path().alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    first = lines.where("_block = 0").withColumn("_id", F.monotonically_increasing_id())
+    headers = first.groupBy("_file").agg(F.min_by("value", "_id").alias("header"))
+    frames = {}
+    for row in listing.join(headers, "_file", "left").orderBy("name").toLocalIterator():
+        line = (row.header or "").removeprefix("\ufeff").removesuffix("\r")
+        names = [n or f"_c{i}" for i, n in enumerate(next(csv.reader([line]), []))]
+        schema = StructType([StructField(n, StringType()) for n in names])
+        frames[PurePosixPath(row.name).stem] = spark.read.schema(schema).option("header", True).option("escape", '"').csv(row._file)
+    return frames
 
 
 def write_targets(targets: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
