@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mapweave.functions.scalar import parse_date
+from mapweave.operators.heavy import HOT_ROWS, join_grouped
 from mapweave.schemas import MappingColumn, TargetTable, ordered
 
 # Target type names and their Spark types.
@@ -25,10 +26,6 @@ _UNSIGNED_BITS = {"UInt8": 8, "UInt16": 16, "UInt32": 32, "UInt64": 64}
 _DATE_LAYOUTS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy")
 
 
-#: Salts that a hot key of an aggregation join is spread over.
-FAN_OUT = 16
-
-
 def _named(column: str) -> Column:
     """Column by its plain name, dots included."""
     return F.col(f"`{column}`")
@@ -81,24 +78,18 @@ def duplicate_lookup_keys(table: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def aggregate_join(df: DataFrame, table: DataFrame, base_key: str, key: str,
-                   aggregates: Mapping[str, str], fan_out: int = FAN_OUT) -> DataFrame:
+                   aggregates: Mapping[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Group another source by one key and left join all aggregates at once.
 
-    The grouped side is already dealt out by the key, so AQE could not split a
-    hot one in the join back. Base rows are therefore spread over ``fan_out``
-    salts by a hash of the row, and each grouped row is repeated for every salt.
+    Base rows of hot keys, which a sketch names, and of null keys are joined
+    where they lie (`heavy.join_grouped`); nothing is copied for the others.
     """
     names = {target: f"_agg_{i}" for i, target in enumerate(aggregates)}
     grouped = (table.where(_named(key).isNotNull())
                .groupBy(_named(key).alias("_agg_key"))
-               .agg(*[F.expr(text).alias(names[target]) for target, text in aggregates.items()])
-               .withColumn("_agg_salt", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1)))))
-    hashable = [_named(n) for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(fan_out)).cast("int")
-    salted = df.withColumn("_salt", salt)
-    joined = salted.join(grouped, (_named(base_key) == F.col("_agg_key")) & (F.col("_salt") == F.col("_agg_salt")), "left")
-    return (joined.withColumns({target: F.col(n) for target, n in names.items()})
-            .drop("_agg_key", "_agg_salt", "_salt", *names.values()))
+               .agg(*[F.expr(text).alias(names[target]) for target, text in aggregates.items()]))
+    joined = join_grouped(df, grouped, _named(base_key), "_agg_key", hot_rows)
+    return joined.withColumns({target: F.col(n) for target, n in names.items()}).drop("_agg_key", *names.values())
 
 
 def _value(col: MappingColumn) -> Column:

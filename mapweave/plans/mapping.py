@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mapweave.functions.scalar import register_mapping_functions
+from mapweave.operators import heavy
 from mapweave.operators import mapping as M
 from mapweave.plans.registry import query
 from mapweave.schemas import MappingColumn as MC
@@ -113,6 +114,31 @@ def _(t):
     return M.apply_spec(spec, sources, [contract])["customers"]
 
 
+@query("d07_hot_key_join", """
+SELECT l_orderkey, l_linenumber, a.n, CAST(a.total AS DOUBLE) AS total FROM lineitem LEFT JOIN (SELECT k, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,4))) AS total
+ FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k, o_totalprice FROM orders) GROUP BY k) a
+ ON CASE WHEN l_linenumber IN (1, 2) THEN 0 WHEN l_linenumber = 3 THEN NULL ELSE l_suppkey END = a.k""")
+def _(t):
+    """Line items of which a third share one key and others have none, with orders grouped by a hot key."""
+    base = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_linenumber IN (1, 2) THEN 0 WHEN l_linenumber = 3 THEN NULL ELSE l_suppkey END AS k")
+    orders = t.orders.selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k", "o_totalprice")
+    joined = M.aggregate_join(base, orders, "k", "k", {"n": "count(*)", "total": "cast(sum(cast(o_totalprice AS decimal(18,4))) AS double)"}, hot_rows=1000)
+    return joined.select("l_orderkey", "l_linenumber", "n", "total")
+
+
+@query("d07_hot_keys", """WITH k AS (SELECT user_id % 50 AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1
+ UNION ALL SELECT -1, count(*) FROM events WHERE event_id % 2 = 1)
+SELECT k, n AS rows FROM k WHERE n > (SELECT count(*) // 8 FROM events)""")
+def _(t):
+    """Keys with over an eighth of the events, from the merged sketches of two parts (exact here: fewer keys than counters)."""
+    keys = t.events.selectExpr("event_id % 2 AS part", "CASE WHEN event_id % 2 = 1 THEN -1 ELSE user_id % 50 END AS k")
+    parts = [heavy.sketch(keys.where(F.col("part") == p), F.col("k")) for p in (0, 1)]
+    named = heavy.hot_keys(heavy.merged(parts[0].union(parts[1])), hot_rows=0)
+    share = t.events.agg(F.floor(F.count("*") / 8).alias("share"))
+    labels = keys.select("k", F.xxhash64("k").alias("key_hash")).distinct()
+    return (labels.join(named, "key_hash").join(F.broadcast(share), F.col("rows") > F.col("share")).select("k", "rows"))
+
+
 @query("d08_final_projection", "SELECT l_shipdate AS shipped, l_orderkey AS order_id FROM lineitem WHERE l_tax > 0.04")
 def _(t):
     spec = [_expr("ship", "order_id", "lineitem", "l_orderkey", n=2),
