@@ -6,16 +6,15 @@ import math
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from mapweave.functions.scalar import snippet
+from mapweave.session import shared_dir
 from mapweave.sources.tables import append, append_by_day
 
 MAX_LISTED = 500
-# Rows that one ordered limit may skip before the page is located by key.
-DIRECT_OFFSET = 100_000
 
 
 def write_audit(entries: DataFrame, path: str) -> None:
@@ -145,32 +144,52 @@ def active_rules(rules: DataFrame, specs: DataFrame) -> DataFrame:
     return specs.select("spec_id", "client_id").join(approved, "client_id")
 
 
-def page(df: DataFrame, order: str, number: int, size: int, direct: int = DIRECT_OFFSET) -> tuple[DataFrame, dict[str, int]]:
-    """Page ``number`` (1-based, clamped to the last) of rows in order of a unique key.
+class Pages:
+    """A result kept in order of a key, with a directory of its parts: any page reads few files.
 
-    Near the start or end this is one ordered limit. A deep page of a numeric
-    or time key is located first: approximate quantiles bound a key range
-    around it, exact counts fix the offset within the range, and the range is
-    narrowed until the offset is small. Nothing sorts the whole table.
+    The result is cut and sorted by ranges of the key, nulls first; rows of one
+    key keep the order of the input and are split over parts like any others.
+    The directory has one row for each part, with the number of rows before it.
+    A page looks up which parts hold its rows and reads those rows of them.
     """
-    total = df.count()
-    pages = max(1, math.ceil(total / size))
-    number = min(max(1, number), pages)
-    start = (number - 1) * size
-    count = min(size, total - start)
-    facts = {"page": number, "total_pages": pages, "total_rows": total, "start_row": start + 1, "end_row": start + count}
-    if start > direct and total - start <= direct:
-        tail = df.orderBy(F.col(order).desc()).limit(total - start)
-        return tail.orderBy(order).limit(size), facts
-    key = F.col(order)
-    if isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        rows, offset, left = df, start, total
-        while offset > direct:
-            wanted = F.percentile_approx(key, [max(0.0, offset / left - 1e-3), min(1.0, (offset + size) / left + 1e-3)], 10_000)
-            low, high = rows.agg(wanted.alias("q")).head()["q"]
-            below, inside = rows.agg(F.count_if(key < low), F.count_if(key.between(low, high))).head()
-            if below > offset or below + inside < offset + count or inside == left:
-                break
-            rows, offset, left = rows.where(key.between(low, high)), offset - below, inside
-        return rows.orderBy(order).offset(offset).limit(size), facts
-    return df.orderBy(order).offset(start).limit(size), facts
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        schema = spark.read.parquet(f"{path}/schema").schema
+        self.rows = spark.read.schema(schema).parquet(f"{path}/rows")
+        self.directory = spark.read.parquet(f"{path}/directory")
+        self.total = self.directory.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+    @classmethod
+    def write(cls, df: DataFrame, order: str, path: str) -> Pages:
+        by = [F.col(order).asc_nulls_first(), F.col("_at")]
+        cut = df.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+        row = F.monotonically_increasing_id()
+        placed = cut.drop("_at").withColumn("_row", row.bitwiseAND((1 << 33) - 1)).withColumn("_part", F.shiftright(row, 33))
+        placed.write.partitionBy("_part").parquet(f"{path}/rows")
+        # The rows of an empty result have no files to tell their columns.
+        placed.where("false").coalesce(1).write.parquet(f"{path}/schema")
+        # One row for each part, so one window over them is small.
+        counts = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/rows").groupBy("_part").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+        counts.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.parquet(f"{path}/directory")
+        return cls(df.sparkSession, path)
+
+    def page(self, number: int, size: int) -> tuple[DataFrame, dict[str, int]]:
+        """Page ``number`` (1-based, clamped to the last), in order, and where it stands."""
+        pages = max(1, math.ceil(self.total / size))
+        number = min(max(1, number), pages)
+        start = (number - 1) * size
+        count = min(size, self.total - start)
+        facts = {"page": number, "total_pages": pages, "total_rows": self.total, "start_row": start + 1, "end_row": start + count}
+        held = self.directory.where((F.col("before") < start + count) & (F.col("before") + F.col("n") > start)).collect()
+        wanted = F.lit(False)
+        for part in held:
+            low, high = max(start - part.before, 0), min(start + count - part.before, part.n)
+            wanted = wanted | ((F.col("_part") == part._part) & (F.col("_row") >= low) & (F.col("_row") < high))
+        parts = F.col("_part").isin([part._part for part in held])
+        return self.rows.where(parts & wanted).orderBy("_part", "_row").drop("_part", "_row"), facts
+
+
+def page(df: DataFrame, order: str, number: int, size: int) -> tuple[DataFrame, dict[str, int]]:
+    """One page of rows in order of a key, as `Pages` gives it; to turn pages, keep the `Pages`."""
+    return Pages.write(df, order, shared_dir(df.sparkSession, "pages")).page(number, size)

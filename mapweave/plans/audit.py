@@ -140,11 +140,25 @@ def _(t):
 UNION ALL SELECT 'last', o_orderkey, o_totalprice FROM (SELECT * FROM orders WHERE o_orderkey >= (SELECT CAST(floor((count(*) - 1) / 25) * 25 AS BIGINT) FROM orders) ORDER BY o_orderkey)""")
 def _(t):
     orders = t.orders.select("o_orderkey", "o_totalprice")
-    third, _facts = A.page(orders, "o_orderkey", 3, 25)
-    last, _facts = A.page(orders, "o_orderkey", 10**9, 25)
+    kept = A.Pages.write(orders, "o_orderkey", shared_dir(t.spark, "pages"))
+    third, last = kept.page(3, 25)[0], kept.page(10**9, 25)[0]
     return third.withColumn("which", F.lit("third")).unionByName(last.withColumn("which", F.lit("last")))
 
 
+@query("g11_pages_of_text_keys", """WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name || c_custkey END AS k FROM customer),
+r AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, c_custkey) - 1 AS place, count(*) OVER () AS n FROM k)
+SELECT CASE WHEN place BETWEEN 100 AND 149 THEN 'nulls' ELSE 'middle' END AS which, count(*) AS n, count(k) AS present, min(k) AS first, max(k) AS last
+FROM r WHERE place BETWEEN 100 AND 149 OR place // 50 = (n // 2) // 50 GROUP BY 1""")
+def _(t):
+    """Pages by a text key of which a third is null: one among the nulls, one in the middle."""
+    keyed = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", "c_custkey")).alias("k"))
+    kept = A.Pages.write(keyed, "k", shared_dir(t.spark, "pages"))
+    parts = [kept.page(number, 50)[0].withColumn("which", F.lit(which))
+             for which, number in (("nulls", 3), ("middle", kept.total // 2 // 50 + 1))]
+    return parts[0].union(parts[1]).groupBy("which").agg(
+        F.count("*").alias("n"), F.count("k").alias("present"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
 @query("g12_batch_detail", """SELECT c_custkey AS batch_id, c_name AS label, slice_no, any_value(n) AS n_items, string_agg(o_orderkey || ' ' || o_orderstatus, ', ' ORDER BY o_orderkey) AS files
  FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS slice_no, count(*) OVER (PARTITION BY o_custkey) AS n
   FROM customer JOIN orders ON c_custkey = o_custkey) GROUP BY 1, 2, 3""")

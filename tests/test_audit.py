@@ -7,22 +7,47 @@ from mapweave.operators import audit as A
 from mapweave.operators import profile as P
 
 
-@pytest.mark.parametrize("number,size,direct", [(1, 10, 50), (7, 10, 5), (50, 10, 5), (99, 10, 5), (10**6, 10, 5), (3, 7, 5), (61, 16, 3)])
-def test_pages(spark, number, size, direct):
-    rows = spark.range(991).select((F.col("id") * 7 % 991 * 3).alias("k"))
-    got, facts = A.page(rows, "k", number, size, direct=direct)
-    pages = -(-991 // size)
-    n = min(number, pages)
-    want = [i * 3 for i in range(991)][(n - 1) * size:n * size]
-    assert [r["k"] for r in got.collect()] == want
-    assert (facts["page"], facts["total_pages"], facts["total_rows"], facts["end_row"]) == (n, pages, 991, (n - 1) * size + len(want))
-
-
-def test_page_of_text_key_and_empty_frame(spark):
-    names = spark.createDataFrame([(f"n{i:03}",) for i in range(30)], "k string")
-    assert [r["k"] for r in A.page(names, "k", 3, 10, direct=2)[0].collect()] == [f"n{i:03}" for i in range(20, 30)]
-    got, facts = A.page(names.where("false"), "k", 4, 10)
-    assert got.count() == 0 and facts["page"] == 1 and facts["total_pages"] == 1
+def test_pages(spark, tmp_path):
+    kept = A.Pages.write(spark.range(991).select((F.col("id") * 7 % 991 * 3).alias("k")).repartition(5), "k", str(tmp_path / "p"))
+    for number, size in [(1, 10), (7, 10), (50, 10), (99, 10), (10**6, 10), (3, 7), (61, 16), (0, 5), (1, 5000)]:
+        got, facts = kept.page(number, size)
+        pages = -(-991 // size)
+        n = min(max(number, 1), pages)
+        want = [i * 3 for i in range(991)][(n - 1) * size:n * size]
+        assert [r["k"] for r in got.collect()] == want
+        assert facts == {"page": n, "total_pages": pages, "total_rows": 991, "start_row": (n - 1) * size + 1, "end_row": (n - 1) * size + len(want)}
+
+
+def test_pages_read_few_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        kept = A.Pages.write(spark.range(8000).selectExpr("cast(id % 4000 AS string) AS k", "id"), "k", str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert kept.directory.count() == 16
+    got, _ = kept.page(200, 20)
+    assert len(got.select(F.input_file_name().alias("f")).distinct().collect()) <= 2
+    want = sorted((str(i % 4000), i) for i in range(8000))[3980:4000]
+    assert [tuple(r) for r in got.collect()] == want  # text order, equal keys in order of the input
+    assert [tuple(r) for r in A.Pages(spark, str(tmp_path / "p")).page(200, 20)[0].collect()] == want
+
+
+def test_pages_with_null_keys_and_one_hot_key(spark, tmp_path):
+    keys = [None] * 301 + ["same"] * 400 + [f"t{i:04}" for i in range(299)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int").repartition(4)
+    kept = A.Pages.write(rows, "k", str(tmp_path / "p"))
+    seen = [r for n in range(1, 21) for r in kept.page(n, 50)[0].collect()]
+    assert sorted(r.i for r in seen) == list(range(1000))
+    assert [r.k for r in seen] == keys
+
+
+def test_page_of_numbers_with_a_null_and_empty_frame(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    assert [r["k"] for r in A.page(rows, "k", 50, 10)[0].collect()] == list(range(490, 500))
+    got, facts = A.page(rows.where("false"), "k", 4, 10)
+    assert got.count() == 0 and got.columns == ["k"] and facts["page"] == 1 and facts["total_pages"] == 1
 
 
 def test_audit_limits(spark):
