@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer, VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -111,9 +109,10 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
 def _tiled(corpus: DataFrame, queries: DataFrame, k: int, schema: str, tile: int) -> DataFrame:
     q_tiles = max(1, -(-queries.count() // tile))
     c_tiles = max(1, -(-corpus.count() // (64 * tile)))
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)).cast("int")).withColumn(
+    # Dealt by id and vector, so that many rows of one id are spread; any tile of a row is right.
+    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id", "vector"), F.lit(q_tiles)).cast("int")).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))))
-    c = corpus.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_tiles)).cast("int")).withColumn(
+    c = corpus.withColumn("_c", F.pmod(F.xxhash64("id", "vector"), F.lit(c_tiles)).cast("int")).withColumn(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -189,37 +188,3 @@ def query_terms(contract: DataFrame, catalog: DataFrame) -> DataFrame:
                    F.concat(F.lit("column "), "column_name"))
     fixed = contract.sparkSession.createDataFrame([(q,) for q in COMMON_QUERIES], "query string")
     return target.unionByName(source).unionByName(fixed).distinct()
-
-
-class TextIndex:
-    """TF-IDF vectors of texts in a fixed number of dimensions.
-
-    The weights are one vector of ``dimensions`` numbers, whatever the size of
-    the corpus; everything else is row-local.
-    """
-
-    def __init__(self, corpus: DataFrame, id_col: str, text_col: str, dimensions: int = 1 << 18) -> None:
-        self._words = Tokenizer(inputCol="_text", outputCol="_words")
-        self._counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions)
-        self._unit = Normalizer(inputCol="_weights", outputCol="_vector")
-        self.rows = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-        self._weights = IDF(inputCol="_counts", outputCol="_weights").fit(self._count(self.rows))
-
-    def _count(self, rows: DataFrame) -> DataFrame:
-        return self._counts.transform(self._words.transform(rows))
-
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        return self._unit.transform(self._weights.transform(self._count(rows)))
-
-    def search(self, text: str, k: int = HITS_PER_QUERY) -> DataFrame:
-        """k texts nearest to ``text``: only the query's dimensions are compared."""
-        session = self.rows.sparkSession
-        query = self._vectors(session.createDataFrame([(text,)], "_text string")).head()["_vector"]
-        used = [(int(i), float(v)) for i, v in zip(query.indices, query.values) if v]
-        if not used:
-            return self.rows.select("id", F.lit(None).cast("double").alias("distance")).orderBy("id").limit(k)
-        picked = VectorSlicer(inputCol="_vector", outputCol="_picked", indices=[i for i, _ in used])
-        products = F.zip_with(vector_to_array(F.col("_picked")), F.array(*[F.lit(v) for _, v in used]), lambda a, b: a * b)
-        similarity = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-        scored = picked.transform(self._vectors(self.rows)).select("id", F.round(1 - similarity, _DIGITS).alias("distance"))
-        return scored.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)

@@ -1,9 +1,12 @@
 import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from mapweave.operators import evidence as E
+from mapweave.operators.textindex import TextIndex
 
 
 def reference_chunks(text, size=1000, overlap=200):
@@ -64,24 +67,40 @@ def test_gather_keeps_first_seen(spark):
     assert [r["id"] for r in E.gather(hits, 3).collect()] == ["a", "b", "c"]
 
 
-def test_text_search_finds_the_right_text(spark):
-    texts = ["region code mapping for the north", "total revenue per customer", "line total and unit price", "customer name misspelling list"]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    index = E.TextIndex(df, "i", "t")
-    hits = index.search("revenue of a customer", 4).collect()
-
-    def weights(text):
-        words = text.lower().split()
-        return {w: words.count(w) * math.log((len(texts) + 1) / (sum(w in t.lower().split() for t in texts) + 1)) for w in set(words)}
-
-    def cosine(a, b):
-        return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-
-    q = weights("revenue of a customer")
-    for h in hits:
-        assert abs(1 - cosine(q, weights(texts[h["id"]])) - h["distance"]) < 1e-9
-    assert hits[0]["id"] == 1
-    assert index.search("...", 2).count() == 2
+def plain_distances(texts, asked):
+    """Cosine distances of TF-IDF vectors over exact terms, by id."""
+    words = {i: [w for w in re.split("[\t\n\x0B\f\r ]+", (t or "").lower()) if w] for i, t in texts.items()}
+    seen = Counter(w for ws in words.values() for w in set(ws))
+
+    def vector(ws):
+        return {w: c * math.log((len(texts) + 1) / (seen[w] + 1)) for w, c in Counter(ws).items()}
+
+    def size(v):
+        return math.sqrt(sum(x * x for x in v.values()))
+
+    q = vector([w for w in re.split("[\t\n\x0B\f\r ]+", asked.lower()) if w])
+    if not size(q):
+        return {i: None for i in texts}
+    vectors = {i: vector(ws) for i, ws in words.items()}
+    return {i: 1 - (sum(x * v.get(w, 0) for w, x in q.items()) / size(v) / size(q) if size(v) else 0) for i, v in vectors.items()}
+
+
+def test_text_search_is_exact(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    texts = {i: "everywhere " + " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))) for i in range(300)}
+    texts |= {300: None, 301: "", 302: "Rare  RARE\trare", 303: texts[5], 304: texts[5]}
+    index = TextIndex(spark.createDataFrame(list(texts.items()), "i bigint, t string"), "i", "t", block=8, hot_rows=100)
+    for asked, k in [("w1 w2 rare", 5), ("rare unknown", 4), (texts[5], 7), ("everywhere w1", 400), ("w3 w3 w9 w12", 1)]:
+        want = plain_distances(texts, asked)
+        hits = [(h.id, h.distance) for h in index.search(asked, k).collect()]
+        assert [i for i, _ in hits] == sorted(want, key=lambda i: (round(want[i], 10), i))[:k]
+        assert all(abs(want[i] - d) < 1e-9 for i, d in hits)
+    # The best blocks leave most others out.
+    leading, adding = index.leading(index.query("everywhere rare"), 1)
+    assert leading.count() == 1 and adding.count() > 10
+    assert [(h.id, h.distance) for h in index.search("...", 2).collect()] == [(0, 1.0), (1, 1.0)]
+    assert [(h.id, h.distance) for h in index.search("  ", 2).collect()] == [(0, None), (1, None)]
 
 
 def test_choose_text_prefers_full_text(spark):
