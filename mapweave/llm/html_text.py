@@ -5,7 +5,10 @@ ancestors, most to the nearest. A container's points are discounted by the share
 of its text inside links. The best container, widened to the article or main
 element around it, is kept with those siblings that look like more of the same.
 Elements that are never article text (menus, forms, scripts, and those whose
-class, id or role says advert, notice, comment and so on) are left out before.
+class, id or role says advert, notice, comment and so on) are left out before,
+unless their content says otherwise: a form or fieldset around most of the page's
+prose, a menu or sidebar that is never closed and so runs over the article, and a
+marked element with nearly all of the prose that is not about readers' comments.
 
 Defined cases: null or empty html gives an empty text and 0 characters; pages
 without any marked-up block use the body text; repeated rows stay repeated;
@@ -45,6 +48,16 @@ BOILERPLATE = frozenset(
 CONTENT = frozenset("article body content entry main page post story text".split())
 MODIFIERS = frozenset("closed enabled has no open with without".split())
 
+#: Words of readers' remarks, which can hold most of a page's text.
+REMARKS = frozenset("comment comments commentlist disqus feedback replies reply respond shoutbox".split())
+
+#: Elements that may stand around an article: whole pages in a form, and menus whose end is missing.
+WRAPPERS = frozenset("form fieldset".split())
+UNCLOSED = frozenset("aside nav".split())
+
+#: A paragraph of prose has at least this many characters.
+PROSE = 80
+
 #: Ancestors that get points from a block: half as many for each further one.
 REACH = 20
 
@@ -58,16 +71,20 @@ _SCOPES = frozenset("ul ol dl table tbody thead tfoot select body article sectio
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parent", "parts", "points", "length", "linked", "main")
+    __slots__ = ("tag", "marks", "parent", "parts", "points", "length", "linked", "main", "closed", "menu")
 
     def __init__(self, tag: str, marks: str, parent: Node | None) -> None:
         self.tag, self.marks, self.parent = tag, marks, parent
         self.parts: list = []
         self.points = 0.0
         self.length = self.linked = 0
-        self.main = False
+        self.main = self.closed = self.menu = False
 
     def is_boilerplate(self) -> bool:
+        if self.menu:
+            return True
+        if self.main and self.tag in WRAPPERS | UNCLOSED:
+            return False
         if self.tag in NEVER_TEXT:
             return True
         if self.tag == "header":
@@ -82,21 +99,50 @@ def _mark_main(root: Node) -> None:
 
     Text of marked elements inside them does not count, and their marks must name
     content as well or only say what the page has: comments alone can be long.
+    Other marks are overruled by nine tenths of the text. Forms and menus that
+    were never closed are exempt if most of the prose stands in them.
     """
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
-        stack.extend(p for p in node.parts if isinstance(p, Node) and p.tag not in NEVER_TEXT)
-    clean, size = {}, {}
+        stack.extend(p for p in node.parts if isinstance(p, Node) and (
+            p.tag not in NEVER_TEXT or p.tag in WRAPPERS or p.tag in UNCLOSED and not p.closed))
+    clean, size, prose, linked = {}, {}, {}, {}
     for node in reversed(nodes):
         texts = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
         below = [p for p in node.parts if id(p) in size]
         size[id(node)] = 0 if node.tag == "a" else texts + sum(size[id(p)] for p in below)
-        clean[id(node)] = 0 if node.tag == "a" else texts + sum(clean[id(p)] for p in below if not p.is_boilerplate())
+        clean[id(node)] = 0 if node.tag == "a" else texts + sum(
+            clean[id(p)] for p in below if not p.is_boilerplate() or p.tag in WRAPPERS | UNCLOSED)
+        linked[id(node)] = sum(linked[id(p)] for p in below) + (texts if node.tag == "a" else 0)
+        own = size[id(node)] if node.tag == "p" else texts
+        inside = 0 if node.tag == "p" else sum(prose[id(p)] for p in below if p.tag not in INLINE)
+        prose[id(node)] = inside + (own if own >= PROSE else 0)
+    whole = max(size[id(root)], 1)
     for node in nodes:
-        node.main = clean[id(node)] > 0.5 * max(size[id(root)], 1) and node.is_boilerplate() and (
-            node.tag not in NEVER_TEXT | {"header"} and _names_content(node.marks))
+        if not node.is_boilerplate() or node.tag == "header":
+            continue
+        if node.tag in WRAPPERS | UNCLOSED:
+            node.main = clean[id(node)] > 0.5 * whole and prose[id(node)] > 0.5 * prose[id(root)] > 0
+            if node.main and node.tag in UNCLOSED:
+                # What the menu itself held: links, and lists and other parts that are mostly links.
+                for part in node.parts:
+                    if id(part) in size:
+                        part.menu = part.tag == "a" or linked[id(part)] > size[id(part)]
+            elif node.main:
+                _mark_labels(node)
+        elif node.tag not in NEVER_TEXT:
+            node.main = clean[id(node)] > 0.5 * whole and _names_content(node.marks) or (
+                clean[id(node)] > 0.9 * whole and REMARKS.isdisjoint(_PART.split(node.marks)) and prose[id(node)] > 0)
+
+
+def _mark_labels(form: Node) -> None:
+    stack = [form]
+    while stack:
+        node = stack.pop()
+        node.menu = node.tag == "label"
+        stack.extend(p for p in node.parts if isinstance(p, Node))
 
 
 def _names_content(marks: str) -> bool:
@@ -160,6 +206,7 @@ class TreeBuilder(HTMLParser):
         node = self.at
         while node.tag != tag:
             node = node.parent
+        node.closed = True
         self._close(node)
 
     def handle_data(self, data: str) -> None:
@@ -233,7 +280,9 @@ def _kept(best: Node) -> list[Node]:
     if not best.parent or best.tag == "body":
         return [best]
     out = []
-    for part in best.parent.parts:
+    # Beside an article or main only more of the same; else any block that is not mostly links, and bare text.
+    beside = best.tag not in ("article", "main")
+    for part in _with_bare_text(best.parent) if beside else best.parent.parts:
         if part is best:
             out.append(part)
         elif isinstance(part, Node) and not part.is_boilerplate():
@@ -241,13 +290,24 @@ def _kept(best: Node) -> list[Node]:
             size = sum(len(t) for _, t, _ in texts)
             dense = sum(n for *_, n in texts) / max(size, 1)
             alike = part.tag == best.tag and part.marks == best.marks and part.points >= 0.2 * best.points
-            # Beside an article or main only more of the same; else any block that is not mostly links.
-            beside = best.tag not in ("article", "main") and part.tag not in INLINE
-            if size and dense < 0.5 and (alike or beside):
+            if size and dense < 0.5 and (alike or beside and part.tag not in INLINE):
                 out.append(part)
     return out
 
 
+def _with_bare_text(parent: Node) -> list[Node]:
+    """The parts of an element, with each stretch of text and inline elements between blocks as one part."""
+    out: list[Node] = []
+    for part in parent.parts:
+        if isinstance(part, Node) and part.tag not in INLINE:
+            out.append(part)
+            continue
+        if not out or out[-1].tag != "#bare":
+            out.append(Node("#bare", "", parent))
+        out[-1].parts.append(part)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""

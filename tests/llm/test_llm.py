@@ -526,3 +526,22 @@ def test_top_k_matches_brute_force(spark):
     assert got == sorted(want)
     few = made.filter("vec_id < 3")
     assert topk.top_k(few.filter("vec_id = 0"), few).count() == 2 and topk.top_k(few.limit(0), few.limit(0)).count() == 0
+
+
+PROSE = "A paragraph of an article, with commas, and it goes on for more than eighty characters, as they do."
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<form><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><label>Name</label><input></form>", ["T", PROSE, PROSE]),
+    (f"<form><label>Mail</label><input></form><p>{PROSE}</p>", [PROSE]),
+    (f"<fieldset><p>{PROSE}</p></fieldset>", [PROSE]),
+    (f"<nav><ul><li><a>Home</a></li><li><a>About</a></li></ul><div><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+    (f"<nav><a>Home</a><p>{PROSE}</p><p>{PROSE}</p>", [PROSE, PROSE]),
+    (f"<nav><ul><li><a>Home</a></li></ul></nav><p>{PROSE}</p>", [PROSE]),
+    (f"Intro <b>text</b>. <div><p>{PROSE}</p><p>{PROSE}</p></div>Closing<script>x</script> words", ["Intro text.", PROSE, PROSE, "Closing", "words"]),
+    (f"<div class=widget><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE, PROSE]),
+    (f"<div class=comments><p>{PROSE}</p><p>{PROSE}</p></div><p>A short article, yes.</p>", ["A short article, yes."]),
+    (f"<div class=sidebar><p>{PROSE}</p></div><div><p>{PROSE} 1</p><p>{PROSE} 2</p></div>", [PROSE + " 1", PROSE + " 2"]),
+])
+def test_article_text_in_unusual_places(body, want):
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want)
