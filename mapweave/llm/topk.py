@@ -8,14 +8,19 @@ stands in slices from the most to the least significant. Rows are then selected
 from the top slice downward; rows that tie at the boundary are resolved by exact
 scores and by the smaller id.
 
-Candidates and queries are cut into blocks by hash. Each pair of blocks is one
-task that returns k rows per query; these are merged per query.
+Rows that agree in id and vector are merged first and repeated in the result.
+Candidates and queries are then cut into blocks by hash, of up to 65,536 rows
+each. Each pair of blocks is one task, which builds the index of its candidates
+once and returns k rows per query; these are merged per query. Rows with a
+component whose score might not fit 64 bits by way of the bitmaps are compared
+by exact integers instead.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite
 component take no part, nor do rows without an id; vectors of different length
 are compared as if padded with zeros; repeated rows of an id are all candidates
-of other queries, a query id that is repeated answers once per distinct vector;
-empty tables give no rows.
+of other queries; a repeated query id has one list, the best of all its vectors
+together; scores are ranked exactly, and one beyond 64 bits is shown as the
+greatest or least long; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,23 +32,25 @@ from pyspark.sql import functions as F
 
 TOP = 20
 SCALE = 64
-#: Rows of one candidate block and of one query block, about.
-CANDIDATE_ROWS = 65_536
-QUERY_ROWS = 1024
+#: Rows of one candidate block and of one query block at most; small tables get as many blocks as there are cores.
+BLOCK_ROWS = 65_536
+LEAST_ROWS = 4096
+#: Components below this, in vectors of at most as many attributes as fit, cannot overflow a score of 64 bits.
+SMALL, SMALL_WIDTH = 1 << 26, 1 << 10
 
 Bitmaps = list  # of packed uint64 arrays
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * component) of the finite vectors."""
+    """(vec_id, v, large): floor(scale * component) of the finite vectors; large ones are doubles in ``large``."""
     x = F.col(vector_column).cast("array<double>")
-    limit = float(1 << 31) / scale
     fits = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    large = F.exists(x, lambda e: F.abs(e) >= limit)
-    v = F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("int"))
+    large = F.exists(x, lambda e: F.abs(e) >= SMALL / scale) | (F.size(x) > SMALL_WIDTH)
+    small = F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("int"))
+    # A double from 2**53 on has no fraction, so nothing is lost where floor would leave the longs.
+    whole = F.transform(x, lambda e: F.when(F.abs(e) < float(1 << 53), F.floor(e * F.lit(float(scale))).cast("double")).otherwise(e * float(scale)))
     return vectors.filter(F.col(id_column).isNotNull() & (F.size(x) > 0) & fits).select(
-        F.col(id_column).cast("long").alias("vec_id"),
-        F.when(large, F.raise_error(F.lit("a component is too large for a 64-bit score"))).otherwise(v).alias("v"))
+        F.col(id_column).cast("long").alias("vec_id"), F.when(~large, small).alias("v"), F.when(large, whole).alias("large"))
 
 
 class SlicedBlock:
@@ -115,13 +122,13 @@ class SlicedBlock:
         return np.flatnonzero(rows)
 
     def best(self, query: np.ndarray, own: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, other than the query's own id."""
+        """Indexes and scores of the k best rows, other than those of the query's own id."""
         own_rows = int((ids == own).sum())
         at = self.candidates(query, k + own_rows)
         at = at[ids[at] != own]
         score = self.rows[at] @ query
         order = np.lexsort((ids[at], -score))[:k]
-        return ids[at][order], score[order]
+        return at[order], score[order]
 
 
 def _padded(vectors: pd.Series, width: int) -> np.ndarray:
@@ -131,33 +138,85 @@ def _padded(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _integers(rows: pd.DataFrame) -> list[list[int]]:
+    """Exact components of rows, small or large."""
+    return [[int(e) for e in (v if large is None else large)] for v, large in zip(rows.v, rows.large)]
+
+
+Pairs = list  # of (query id, index of the row, score)
+
+
+def _exact_pairs(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> Pairs:
+    """The k best rows of each query that have another id, by integers of any size."""
+    if not len(rows) or not len(asked):
+        return []
+    out, vectors, ids, places = [], _integers(rows), rows.vec_id.tolist(), rows.index.tolist()
+    for own, query in zip(asked.vec_id.tolist(), _integers(asked)):
+        scored = [(-sum(a * b for a, b in zip(query, v)), i, at) for i, v, at in zip(ids, vectors, places) if i != own]
+        out += [(own, at, -score) for score, _, at in sorted(scored)[:k]]
+    return out
+
+
+def _sliced_pairs(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> Pairs:
+    """The same by the bit-sliced index, for small vectors."""
+    if not len(rows) or not len(asked):
+        return []
+    width = max(rows.v.map(len).max(), asked.v.map(len).max())
+    index, ids, places, out = SlicedBlock(_padded(rows.v, width)), rows.vec_id.to_numpy(), rows.index.to_numpy(), []
+    for own, query in zip(asked.vec_id.tolist(), _padded(asked.v, width)):
+        found, score = index.best(query, own, ids, k)
+        out += zip([own] * len(found), places[found].tolist(), score.tolist())
+    return out
+
+
+def _beyond(score: int) -> str | None:
+    """Nothing for a score of 64 bits; for others a text in the order of the numbers of one sign."""
+    if -(1 << 63) <= score < 1 << 63:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):05}{digits}"
+    return f"{99999 - len(digits):05}" + "".join(str(9 - int(d)) for d in digits)
+
+
+def _blocks(n: int, cores: int) -> int:
+    return max(-(-n // BLOCK_ROWS), min(cores, n // LEAST_ROWS), 1)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP,
-          candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (vec_id, v) queries against candidates."""
+          blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of `quantised` queries against candidates.
+
+    ``blocks``: of candidates and of queries; by default from their row counts.
+    """
     queries = queries.distinct()
-    n_rows, n_queries = candidates.count(), queries.count()
-    c_blocks, q_blocks = -(-n_rows // candidate_rows) or 1, -(-n_queries // query_rows) or 1
-    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    left = candidates.select("vec_id", "v", block(c_blocks).alias("c"),
-                             F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
-    right = queries.select("vec_id", "v", block(q_blocks).alias("q"),
-                           F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c"))
+    merged = candidates.groupBy("vec_id", "v", "large").agg(F.count("*").alias("n"))
+    if blocks is None:
+        cores = candidates.sparkSession.sparkContext.defaultParallelism
+        blocks = _blocks(candidates.count(), cores), _blocks(queries.count(), 1)
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v", "large"), F.lit(n)).cast("int")
+    left = merged.select("vec_id", "v", "large", "n", block(blocks[0]).alias("c"),
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"))
+    right = queries.select("vec_id", "v", "large", block(blocks[1]).alias("q"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("c"))
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(asked):
-            width = max(rows.v.map(len).max(), asked.v.map(len).max())
-            index = SlicedBlock(_padded(rows.v, width))
-            ids = rows.vec_id.to_numpy()
-            for own, query in zip(asked.vec_id.to_numpy(), _padded(asked.v, width)):
-                found, score = index.best(query, own, ids, k)
-                out["query_id"].append(np.full(len(found), own))
-                out["vec_id"].append(found)
-                out["score"].append(score)
-        return pd.DataFrame({n: np.concatenate([np.zeros(0, np.int64), *v]) for n, v in out.items()})
+        small, plain = rows.large.isna(), asked.large.isna()
+        found = (_sliced_pairs(rows[small], asked[plain], k) + _exact_pairs(rows[~small], asked[plain], k)
+                 + _exact_pairs(rows, asked[~plain], k))
+        query, place, score = (list(x) for x in zip(*found)) if found else ([], [], [])
+        low, high = -(1 << 63), (1 << 63) - 1
+        return pd.DataFrame({
+            "query_id": np.array(query, np.int64), "vec_id": rows.vec_id.loc[place].to_numpy(np.int64),
+            "score": np.array([min(max(s, low), high) for s in score], np.int64),
+            "beyond": pd.Series([_beyond(s) for s in score], dtype=object),
+            "n": np.minimum(rows.n.loc[place].to_numpy(np.int64), k)})
 
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        search, "query_id long, vec_id long, score long, beyond string, n long")
+    # More than k repeats of a row change nothing.
+    listed = found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("_i", "n")
+    far = F.when(F.col("beyond").isNull(), 0).otherwise(F.signum("score").cast("int"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(far), F.desc("beyond"), F.desc("score"), "vec_id")
+    return listed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

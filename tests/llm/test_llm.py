@@ -1,9 +1,11 @@
 """Text operators against brute force on small fixtures, with the defined cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -515,7 +517,7 @@ def test_top_k_matches_brute_force(spark):
            (920, [1.0, -2.0])]
     rows = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("?"))
     made = topk.quantised(rows, "vec_id", "embedding")
-    got = sorted(tuple(r) for r in topk.top_k(made.filter("vec_id % 20 = 0"), made, candidate_rows=100, query_rows=5).collect())
+    got = sorted(tuple(r) for r in topk.top_k(made.filter("vec_id % 20 = 0"), made, blocks=(3, 4)).collect())
     pad = lambda v: np.floor(64 * np.array(v + [0.0] * (8 - len(v)))).astype(int)
     ints = [(i, pad(v)) for i, v in vectors + [odd[-1]]]
     want = []
@@ -528,6 +530,24 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(few.filter("vec_id = 0"), few).count() == 2 and topk.top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_repeats(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    vectors += [(100 + i, [float(x) * 10 ** int(e) for x, e in zip(rng.normal(size=4), rng.integers(0, 12, 4))]) for i in range(40)]
+    vectors += [(180, [1e300, -1e300, 1.5, 0.0]), (200, [-1e300, 1.0, 0.0, 0.0]), (201, [2.0 ** 53 + 2, 0.0, 0.0, 1.0])]
+    vectors += [(40, [1.0, 2.0, 3.0, 4.0])] * 2 + [(40, [-4.0, 3.0, 0.0, 1.0])]  # a query id that is repeated, with two more vectors
+    vectors += [(300, [0.5, 0.5, 0.5, 0.5])] * 50  # a third of the rows alike
+    made = topk.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in topk.top_k(made.filter("vec_id % 20 = 0"), made, blocks=(3, 2)).collect())
+    ints = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in vectors]
+    want = []
+    for q in {i for i, _ in ints if i % 20 == 0}:
+        asked = {tuple(v) for i, v in ints if i == q}
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for a in asked for i, b in ints if i != q)[:20]
+        want += [(q, r, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 PROSE = "A paragraph of an article, with commas, and it goes on for more than eighty characters, as they do."
 
 
