@@ -216,7 +216,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: C
     target = target / target.sum()
     model = train(docs, labels, domain, names)
     kept = docs.columns if carry else ["doc_id"]
-    scored = with_posteriors(docs if carry else docs.select("doc_id", "text"), model, len(names))
+    # Rounds the rate of a row: by id and text, and by place, since rows can agree in both.
+    place = F.xxhash64("doc_id", F.col("text").cast("string"), F.monotonically_increasing_id())
+    scored = with_posteriors((docs if carry else docs.select("doc_id", "text")).withColumn("_llm_place", place), model, len(names))
     if carry:
         # Rates need two passes; the texts are scored again in the second instead of being copied.
         table = stage(with_posteriors(docs.select("text"), model, len(names)).drop("text"), "mix-posteriors")
@@ -233,6 +235,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: C
 
 
 def _copies() -> Column:
-    """Whole copies: the rate rounded up or down by a hash of the id, right on average."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    """Whole copies: the rate rounded up or down by a hash of the row, right on average."""
+    chance = F.pmod("_llm_place", F.lit(1 << 20)) / float(1 << 20)
     return (F.floor("_llm_rate") + (chance < F.col("_llm_rate") - F.floor("_llm_rate")).cast("long"))
+
+
+def mixed_corpus(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column) -> DataFrame:
+    """The documents as often as their rates say, with the columns of `mix` and ``copy``, the number of a repeat."""
+    rated = mix(docs, labels, targets, domain, carry=True)
+    taken = {c.lower() for c in docs.columns}
+    copies, copy = (n if n not in taken else f"mix_{n}" for n in ("copies", "copy"))
+    return rated.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))

@@ -169,6 +169,26 @@ def languages(rng):
     return rows + [(500, None, "aa"), (501, "", None), (502, "kaka", "other"), (502, "kaka", "other"), (None, "kaka", "aa")]
 
 
+def test_mixed_corpus_has_the_target_shares(spark):
+    rng = random.Random(12)
+    words = {"aa": ["ana", "ava", "alma"], "bb": ["bob", "ebb", "blab"], "cc": ["coc", "cic", "click"]}
+    rows = []
+    for i in range(6000):
+        lang = "aa" if i % 100 < 86 else "bb" if i % 100 < 98 else "cc"
+        rows.append((i if i % 4 else None, lang, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(5, 30)))))
+    rows += [(None, "aa", "ana ava alma ana ava alma")] * 1000  # rows that agree in everything
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("copy", F.lit("own"))
+    labels = docs.filter("doc_id is not null").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    mixed = mixing.mixed_corpus(docs, labels, {"aa": 5, "bb": 3, "cc": 2}, F.col("lang"))
+    assert mixed.filter("copy = 'own' and mix_copy between 1 and copies").count() == mixed.count()
+    tokens = {r.lang: r.n for r in mixed.groupBy("lang").agg(F.sum("n_tokens").alias("n")).collect()}
+    shares = {k: n / sum(tokens.values()) for k, n in tokens.items()}
+    assert all(abs(shares[k] - want) < 0.01 for k, want in (("aa", 0.5), ("bb", 0.3), ("cc", 0.2))), shares
+    same = mixed.filter("doc_id is null and text = 'ana ava alma ana ava alma'")
+    rate = same.first().rate
+    assert 0.85 * rate < same.count() / 1000 < 1.15 * rate
+
+
 def test_mixing_whole(spark):
     docs = frame(spark, languages(random.Random(6)), "doc_id long, text string, lang string").withColumn("rate", F.lit("?"))
     labels = frame(spark, [(i, 1, 0) for i in range(90)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")

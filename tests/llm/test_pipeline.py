@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert names == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert names == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert set(queries.QUERIES) <= set(entry.queries())
 
 
@@ -25,5 +25,8 @@ def test_pipeline_keeps_columns_and_rows_of_clean_documents(spark):
             good = [i for i, r in labels.items() if r.quality == 1]
             assert sum(i in kept for i in good) >= 0.98 * len(good)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == before and set(names) < set(last.columns)
+    assert set(names) < set(last.columns)
+    # Each document stands in the mixed corpus as often as its rate says, rounded up or down.
+    for row in last.groupBy("doc_id", "copies", "rate").count().collect():
+        assert row["count"] == row.copies and abs(row.copies - row.rate) < 1
     assert docs.filter("text like '%@mail%'").count() == 0
