@@ -41,8 +41,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, with their rate and copies towards the target shares."""
-    return mixing.mix(docs, _table(spark, sf_dir, "labels"), mixing.TARGETS, F.col("lang"), carry=True)
+    """The mixed corpus: each document as often as its rate towards the target shares says."""
+    return mixing.mixed_corpus(docs, _table(spark, sf_dir, "labels"), mixing.TARGETS, F.col("lang"))
 
 
 STAGES = [
