@@ -10,7 +10,8 @@ scores and by the smaller id.
 
 Rows that agree in id and vector are merged first and repeated in the result.
 Candidates and queries are then cut into blocks by hash, of up to 65,536 rows
-each. Each pair of blocks is one task, which builds the index of its candidates
+each; the work of a query hardly grows with a block, so only queries are cut
+finer, into as many blocks as there are cores. Each pair of blocks is one task, which builds the index of its candidates
 once and returns k rows per query; these are merged per query. Rows with a
 component whose score might not fit 64 bits by way of the bitmaps are compared
 by exact integers instead.
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 
 TOP = 20
 SCALE = 64
-#: Rows of one candidate block and of one query block at most; small tables get as many blocks as there are cores.
+#: Rows of one candidate block and of one query block at most.
 BLOCK_ROWS = 65_536
-LEAST_ROWS = 4096
+#: Queries that are worth a block of their own while there are idle cores.
+LEAST_QUERIES = 1024
 #: Components below this, in vectors of at most as many attributes as fit, cannot overflow a score of 64 bits.
 SMALL, SMALL_WIDTH = 1 << 26, 1 << 10
 
@@ -179,10 +181,6 @@ def _beyond(score: int) -> str | None:
     return f"{99999 - len(digits):05}" + "".join(str(9 - int(d)) for d in digits)
 
 
-def _blocks(n: int, cores: int) -> int:
-    return max(-(-n // BLOCK_ROWS), min(cores, n // LEAST_ROWS), 1)
-
-
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP,
           blocks: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of `quantised` queries against candidates.
@@ -192,8 +190,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP,
     queries = queries.distinct()
     merged = candidates.groupBy("vec_id", "v", "large").agg(F.count("*").alias("n"))
     if blocks is None:
-        cores = candidates.sparkSession.sparkContext.defaultParallelism
-        blocks = _blocks(candidates.count(), cores), _blocks(queries.count(), 1)
+        cores, n = candidates.sparkSession.sparkContext.defaultParallelism, queries.count()
+        blocks = (max(-(-candidates.count() // BLOCK_ROWS), 1),
+                  max(-(-n // BLOCK_ROWS), min(cores, -(-n // LEAST_QUERIES)), 1))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "v", "large"), F.lit(n)).cast("int")
     left = merged.select("vec_id", "v", "large", "n", block(blocks[0]).alias("c"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"))
