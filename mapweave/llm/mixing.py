@@ -92,11 +92,12 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str],
     return fit_domains(x, y, len(names)) if len(y) else None
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int) -> DataFrame:
-    """The documents with ``_llm_tokens`` and ``_llm_posterior``."""
+def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int, rates: Rates | None = None) -> DataFrame:
+    """The documents with ``_llm_tokens`` and ``_llm_posterior``, and ``_llm_rate`` where the rule of the rates is known."""
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("_llm_tokens", T.LongType()),
-                           T.StructField("_llm_posterior", T.ArrayType(T.DoubleType()))])
+                           T.StructField("_llm_posterior", T.ArrayType(T.DoubleType())),
+                           *([T.StructField("_llm_rate", T.DoubleType())] if rates else [])])
     shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,8 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int) -> DataF
                     p[s:s + 1000] = fitted.posteriors(hashed(texts[s:s + 1000], len(fitted.weights)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n, pa.int32()), pa.array(p.ravel()))
             tokens = pa.array([len(t.split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, tokens, lists], names=schema.names)
+            rate = [pa.array(rates.of(p))] if rates else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens, lists, *rate], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -218,13 +220,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: C
     kept = docs.columns if carry else ["doc_id"]
     # Rounds the rate of a row: by id and text, and by place, since rows can agree in both.
     place = F.xxhash64("doc_id", F.col("text").cast("string"), F.monotonically_increasing_id())
-    scored = with_posteriors((docs if carry else docs.select("doc_id", "text")).withColumn("_llm_place", place), model, len(names))
+    placed = (docs if carry else docs.select("doc_id", "text")).withColumn("_llm_place", place)
     if carry:
         # Rates need two passes; the texts are scored again in the second instead of being copied.
         table = stage(with_posteriors(docs.select("text"), model, len(names)).drop("text"), "mix-posteriors")
-        rated = with_rates(scored, fit_rates(table, target, rounds))
+        rated = with_posteriors(placed, model, len(names), fit_rates(table, target, rounds))
     else:
-        table = stage(scored.drop("text"), "mix-posteriors")
+        table = stage(with_posteriors(placed, model, len(names)).drop("text"), "mix-posteriors")
         rated = with_rates(table, fit_rates(table, target, rounds))
     added = {"n_tokens": F.col("_llm_tokens"), **{f"p_{n}": F.col("_llm_posterior")[i] for i, n in enumerate(names)},
              "rate": F.col("_llm_rate"), "copies": _copies()}
