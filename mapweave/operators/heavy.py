@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Counters of a sketch; a key with over about this share of the rows is always named.
-TRACKED = 4096
+#: Counters of a sketch; a key with over about 1/12,000 of the rows is always named.
+TRACKED = 1 << 14
 #: Hot keys at most, the most frequent ones; what is broadcast for them is this many rows.
-HOT_KEYS = 1000
-#: A key with more rows than this is hot.
-HOT_ROWS = 1 << 17
+HOT_KEYS = 1 << 12
+#: A key with more rows than this, and with more than one row in `HOT_KEYS`, is hot.
+HOT_ROWS = 10_000
 
 
 def sketch(rows: DataFrame, key: Column, tracked: int = TRACKED) -> DataFrame:
-    """(n, state) of the keys: one row that can be stored and merged with others; null is no key."""
+    """(n, keyless, state): one row that can be stored and merged with others; null is no key, and rows of it are ``keyless``."""
     hashed = F.when(key.isNotNull(), F.xxhash64(key)).alias("_hash")
-    return rows.select(hashed).agg(F.count("_hash").alias("n"), F.expr(f"approx_top_k_accumulate(_hash, {tracked})").alias("state"))
+    return rows.select(hashed).agg(F.count("_hash").alias("n"), F.count_if(F.col("_hash").isNull()).alias("keyless"),
+                                   F.expr(f"approx_top_k_accumulate(_hash, {tracked})").alias("state"))
 
 
 def merged(sketches: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """One sketch of the rows of several."""
-    return sketches.agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
+    return sketches.agg(F.sum("n").alias("n"), F.sum("keyless").alias("keyless"), F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
 
 
 def hot_keys(state: DataFrame, hot_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
@@ -38,16 +39,19 @@ def hot_keys(state: DataFrame, hot_rows: int = HOT_ROWS, most: int = HOT_KEYS) -
 def join_grouped(rows: DataFrame, grouped: DataFrame, key: Column, grouped_key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of rows with a frame that has one row for each ``grouped_key``.
 
-    Rows of hot keys and of none meet at most `HOT_KEYS` broadcast rows where they
-    lie; all others are dealt out by their key. A frame that was grouped by the
-    key is already dealt out, so the join could not split a hot key by itself.
+    A sketch of the keys is taken first (one scan of the key, one row to the
+    driver). Without a hot key this is a plain join. Else rows of hot keys meet
+    at most `HOT_KEYS` broadcast rows where they lie, as do rows without a key
+    if they are many; all others are dealt out by their key. A frame that was
+    grouped by the key is already dealt out, so the join could not split a hot
+    key by itself.
     """
-    named = F.broadcast(hot_keys(sketch(rows, key), hot_rows).select("key_hash"))
-    tagged = rows.withColumn("_key_hash", F.xxhash64(key)).join(
-        named.withColumn("_hot", F.lit(True)), F.col("_key_hash") == F.col("key_hash"), "left").drop("key_hash", "_key_hash")
-    apart = F.col("_hot").isNotNull() | key.isNull()
-    few = F.broadcast(grouped.withColumn("_key_hash", F.xxhash64(grouped_key)).join(
-        named, F.col("_key_hash") == F.col("key_hash"), "left_semi").drop("_key_hash"))
-    here = tagged.where(apart).drop("_hot").join(few, key == F.col(grouped_key), "left")
-    dealt = tagged.where(~apart).drop("_hot").join(grouped, key == F.col(grouped_key), "left")
-    return here.union(dealt)
+    state = sketch(rows, key).select("n", "keyless", F.expr(f"approx_top_k_estimate(state, {HOT_KEYS})").alias("top")).head()
+    least = max(hot_rows, (state.n + state.keyless) // HOT_KEYS)
+    hot = [x["item"] for x in state.top if x["item"] is not None and x["count"] > least]
+    if not hot and state.keyless <= least:
+        return rows.join(grouped, key == F.col(grouped_key), "left")
+    apart = key.isNull() | F.xxhash64(key).isin(hot)
+    few = F.broadcast(grouped.where(F.xxhash64(grouped_key).isin(hot)))
+    here = rows.where(apart).join(few, key == F.col(grouped_key), "left")
+    return here.union(rows.where(~apart).join(grouped, key == F.col(grouped_key), "left"))
