@@ -15,6 +15,7 @@ from mapweave.functions.scalar import PYTHON_SPACE, normalize_name
 from mapweave.functions.text import nfkc
 from mapweave.operators.ordered import islands, join_by_range, running_count
 
+# Rows that can be a header, and rows below one that speak for it.
 HEADER_CANDIDATES = 10
 HEADER_LOOKAHEAD = 5
 LISTED_ROWS = 20
@@ -122,17 +123,18 @@ def row_score(cells: Column, following: Column, types: Column | None = None) ->
     return F.when(n == 0, F.lit(-1.0)).otherwise(0.5 * text + 0.3 * unique + 0.2 * width)
 
 
-def header_rows(grid: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Best header candidate of each table.
+def header_rows(grid: DataFrame, keys: list[str], pos: str, candidates: int = HEADER_CANDIDATES,
+                lookahead: int = HEADER_LOOKAHEAD) -> DataFrame:
+    """Best header candidate of each table: of the first ``candidates`` rows, by the ``lookahead`` rows below each.
 
-    ``pos`` is the 0-based place of a row in its table. Only the first 15
-    places take part, so a table of any length costs 15 rows here.
+    ``pos`` is the 0-based place of a row in its table. Only so many first
+    places take part, so a table of any length costs few rows here.
     """
-    near = grid.where(F.col(pos) < HEADER_CANDIDATES + HEADER_LOOKAHEAD)
+    near = grid.where(F.col(pos) < candidates + lookahead)
     types = F.col("types") if "types" in grid.columns else None
     following = F.max(F.size(F.filter("cells", filled))).over(
-        W.partitionBy(*keys).orderBy(pos).rangeBetween(1, HEADER_LOOKAHEAD))
-    scored = near.withColumn("score", row_score(F.col("cells"), following, types)).where(F.col(pos) < HEADER_CANDIDATES)
+        W.partitionBy(*keys).orderBy(pos).rangeBetween(1, lookahead))
+    scored = near.withColumn("score", row_score(F.col("cells"), following, types)).where(F.col(pos) < candidates)
     best = F.max_by(F.struct(F.col(pos).alias("header_pos"), F.col("row_idx").alias("header_row"), "score",
                              F.col("cells").alias("header")), F.struct("score", -F.col(pos)))
     return scored.groupBy(*keys).agg(best.alias("_h")).select(*keys, "_h.*")
