@@ -90,7 +90,7 @@ def catalog_profile(df: DataFrame, order: list[Column], columns: list[str] | Non
     score = F.when(F.col("present") > 0, F.bround(F.try_divide(F.col("cardinality").cast("decimal(20,0)"), n), 4))
     stats = stats.select(
         "column", "ordinal", (F.col("n") - F.col("present")).alias("null_count"),
-        F.coalesce(F.try_divide(n - present, n).cast("double"), F.lit(0.0)).alias("null_rate"),
+        F.coalesce(F.try_divide((n - present).cast("double"), n.cast("double")), F.lit(0.0)).alias("null_rate"),
         "cardinality", F.coalesce(score.cast("double"), F.lit(0.0)).alias("candidate_key_score"))
     return stats.join(first_values(df, columns, order, examples), "column", "left")
 
