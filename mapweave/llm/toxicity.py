@@ -4,8 +4,10 @@ The kernel compares two words by the subsequences of three and of five letters
 that they share (a mark stands before the first letter), each weighted by
 decay ** span, so inserted letters and gaps weaken a match instead of breaking
 it. Words are first folded to letters: look-alike digits and signs become
-letters, other signs inside a word go, and letters spelled out one by one are
-joined. Landmark words span a Nyström approximation of the kernel space, in
+letters, accents over Latin letters go, other signs inside a word go, and letters
+spelled out one by one are joined. A letter of another script is its own letter, by
+its lower-case code point. Text without spaces is cut into overlapping pieces like a
+long word. Landmark words span a Nyström approximation of the kernel space, in
 which a squared-hinge SVM is trained on the words of labelled sentences: a word
 weighs as often as it stands in toxic and in clean sentences. The landmark
 expansion of the SVM is one weight per subsequence, which makes scoring linear
@@ -20,8 +22,10 @@ repeated; a null doc_id is not held out.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -39,7 +43,7 @@ LENGTHS = ((3, 5), (5, 6))
 #: Subsequences are hashed to so many features.
 FEATURES = 1 << 15
 THRESHOLD = 0.3
-#: Labelled documents for training, words for the SVM and landmarks, at most.
+#: Labelled documents for training, words for the SVM and landmarks, at most (arguments of `train`).
 SAMPLE_ROWS, TRAINING_WORDS, LANDMARKS = 20_000, 8_000, 256
 #: Letters of one word that are kept as they are; longer ones are cut into overlapping pieces.
 PIECE, OVERLAP = 32, 16
@@ -50,8 +54,6 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 _CODE = np.zeros(256, np.int64)
 for _c in range(26):
     _CODE[65 + _c] = _CODE[97 + _c] = _c + 1
-_CODE[128:192] = 0
-_CODE[192:] = 27  # first byte of any other letter
 for _sign in "2689":
     _CODE[ord(_sign)] = 27
 for _sign, _letter in LOOKALIKES.items():
@@ -62,9 +64,38 @@ _START = 28
 #: Places of the letters of each kind of subsequence, counted from its first.
 _SHAPES = [(0, *inner, span - 1) for n, longest in LENGTHS for span in range(n, longest + 1)
            for inner in combinations(range(1, span - 1), n - 2)]
+#: Letters to features: an odd multiplier wide enough for any code.
+_STEP = np.uint32(0x01000193)
 _HASH = Powers(0x9E3779B97F4A7C15)
 
 
+@cache
+def letter_code(point: int) -> int:
+    """Code of a letter outside ASCII: that of its ASCII base, or one of its own; 0 for other characters."""
+    char = chr(point)
+    base, *marks = unicodedata.normalize("NFKD", char)
+    if base.isascii() and all(unicodedata.combining(m) for m in marks):
+        return int(_CODE[ord(base)])
+    if not char.isalpha():
+        return 0
+    lower = char.lower()
+    point = ord(lower) if len(lower) == 1 else point
+    # Codes have 16 bits; code points beyond them share the private area.
+    return point if point < 1 << 16 else 0xE000 + point % 0x1900
+
+
+def wide_codes(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Codes of the UTF-8 characters whose first bytes stand at ``lead``."""
+    first = data[lead].astype(np.int64)
+    more = 1 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0x3F >> more)
+    for k in range(1, 4):
+        inside = np.flatnonzero(more >= k)
+        point[inside] = point[inside] << 6 | data[np.minimum(lead[inside] + k, len(data) - 1)] & 0x3F
+    values, inverse = np.unique(np.minimum(point, 0x10FFFF), return_inverse=True)
+    return np.fromiter(map(letter_code, values.tolist()), np.int64, len(values))[inverse]
+
+
 @dataclass
 class Units:
     """Folded words: letter codes in a row, bounds, the text and sentence of each."""
@@ -84,6 +115,9 @@ def units_of(texts: list[bytes]) -> Units:
     follows = np.append(_ALNUM[data[1:]], False)
     codes = np.where(_ALNUM[data] | follows, _CODE[data], 0)
     codes[(data == 64) & ~follows] = 0
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        codes[lead] = wide_codes(data, lead)
     letters = np.concatenate(([0], np.cumsum(codes > 0)))
     stops = np.concatenate(([0], np.cumsum(np.isin(data, (10, 33, 46, 63)))))
     size = letters[end] - letters[start]
@@ -92,7 +126,8 @@ def units_of(texts: list[bytes]) -> Units:
     text = np.searchsorted(offsets, start, side="right") - 1
     # Three or more single letters in a row are one spelled-out word.
     single = size == 1
-    follow = np.append(False, (single[1:] & single[:-1]) & (text[1:] == text[:-1]))
+    follow = np.zeros(len(single), bool)
+    follow[1:] = (single[1:] & single[:-1]) & (text[1:] == text[:-1])
     run = np.cumsum(~follow) - 1
     joined = np.bincount(run, minlength=1)[run] >= 3 if len(run) else np.zeros(0, bool)
     head = ~(follow & joined)
@@ -131,8 +166,9 @@ def subsequences(codes: np.ndarray, start: np.ndarray, end: np.ndarray):
         p = np.flatnonzero(left > shape[-1])
         feature = np.zeros(len(p), np.uint32)
         for place in shape:
-            feature = feature * np.uint32(29) + marked[p + place]
-        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761) >> np.uint32(17)
+            feature = feature * _STEP + marked[p + place]
+        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761)
+        feature = (feature ^ feature >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(17)
         yield unit[p], feature, DECAY ** shape[-1]
 
 
@@ -218,7 +254,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 toxic = label[a + once[2]] > 0
                 n_toxic = np.bincount(once[0], toxic, minlength=len(first)).astype(np.int64)
                 n_clean = np.bincount(once[0], ~toxic, minlength=len(first)).astype(np.int64)
-                words = [units.codes[s:e].astype(np.uint8).tobytes() for s, e in zip(units.start[first], units.end[first])]
+                words = [units.codes[s:e].astype(np.uint16).tobytes() for s, e in zip(units.start[first], units.end[first])]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n_toxic), pa.array(n_clean)],
                                                  names=["word", "toxic", "clean"])
 
@@ -228,10 +264,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 def fit_words(words: list[bytes], toxic: np.ndarray, clean: np.ndarray, landmarks: int = LANDMARKS,
               ridge: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights of the subsequences and the bias of the word SVM."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    """Weights of the subsequences and the bias of the word SVM; words are 16-bit letter codes."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) // 2
     end = np.cumsum(size)
-    codes = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    codes = np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
     start = end - size
     # Half of the landmarks are the words most bound to toxic sentences, half the most frequent.
     bound = np.argsort(-toxic / (toxic + clean + 3.0), kind="stable")
@@ -277,19 +313,23 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicModel | None:
-    """Fit on at most ``rows`` labelled documents outside the held-out quarter."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, words: int = TRAINING_WORDS,
+          landmarks: int = LANDMARKS) -> ToxicModel | None:
+    """Fit on at most ``rows`` labelled documents outside the held-out quarter.
+
+    The SVM takes at most ``words`` of their words and ``landmarks`` landmarks.
+    """
     sample = labelled_sample(docs, labels.filter(~held_out()), F.col("toxic").cast("int"), rows)
     counts = stage(_word_counts(sample), "toxicity-words")
     both = F.col("toxic") + F.col("clean")
-    half = TRAINING_WORDS // 2
+    half = words // 2
     # The most frequent words, and those that stand in toxic sentences more than others do.
     table = counts.orderBy(F.desc(both), "word").limit(half).union(
         counts.orderBy(F.desc(F.col("toxic") - 0.3 * both), "word").limit(half)).distinct().toArrow().sort_by("word")
     toxic, clean = (table[n].to_numpy().astype(float) for n in ("toxic", "clean"))
     if not toxic.sum() or not clean.sum():
         return None
-    model = ToxicModel(*fit_words(table["word"].to_pylist(), toxic, clean), np.zeros(5))
+    model = ToxicModel(*fit_words(table["word"].to_pylist(), toxic, clean, landmarks), np.zeros(5))
     shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -246,6 +247,54 @@ def test_kernel_is_the_same_by_words_and_by_weights():
     assert fold(b"N1tw!t, c-l.o i d i o t a b") == [b"nitwt", b"clo", b"idiotab"]
 
 
+def test_letters_of_every_script_keep_their_identity(spark):
+    codes = lambda w: toxicity.units_of([w.encode()]).codes.tolist()
+    assert codes("naïve") == codes("NAIVE") == codes("nai\u0308ve") == codes("ｎａｉｖｅ")
+    assert codes("“nitwit”…") == codes("nitwit") and codes("😀 ‘’") == []
+    words = ["идиот", "дурак", "добро", "стена", "混蛋", "朋友", "naéve", "naïve", "βλάκα", "がき", "かき", "𐐀𐐁", "𐐂𐐃"]
+    assert len({tuple(codes(w)) for w in words}) == len(words) and codes("ИДИОТ") == codes("идиот")
+    rng, rows, labels = random.Random(17), [], []
+    clean = ["добро", "стена", "книга", "город", "весна", "朋友", "老师", "天空", "学生", "花园"]
+    for i in range(400):
+        words = [rng.choice(clean) for _ in range(12)] + text_of(rng, 12).split()
+        if i % 4 == 0:
+            words.insert(rng.randrange(20), rng.choice(["дурак", "混蛋"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    rows += [(1000, "добро весна ДУР-АК"), (1001, "老师 混蛋"), (1002, "город стена слово"), (1003, "老师 电影 时间")]
+    tags = frame(spark, labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, rows), tags).collect()}
+    assert all(r.predicted == (i % 4 == 0) for i, r in got.items() if i < 400 and r.held_out)
+    assert [got[i].predicted for i in range(1000, 1004)] == [1, 1, 0, 0]
+    # A slice without a single letter.
+    empty = frame(spark, [(1, "…"), (2, "😀 !!"), (3, None)]).coalesce(1)
+    model = toxicity.ToxicModel(np.zeros(toxicity.FEATURES), -1.0, np.zeros(5))
+    assert [r.score for r in toxicity.score_documents(empty, model).collect()] == [0.5] * 3
+
+
+def test_kernel_against_a_plain_one():
+    """Every subsequence of 3 letters over at most 5 places and of 5 over at most 6, one by one."""
+    def plain(word):
+        marked, out = "^" + word, Counter()
+        for size, widest in ((3, 5), (5, 6)):
+            for places in combinations(range(len(marked)), size):
+                span = places[-1] - places[0]
+                if span < widest:
+                    # A feature is a subsequence with its places filled from the left.
+                    out["".join(marked[p] for p in places)] += toxicity.DECAY ** span
+        return out
+
+    words = ["clodpate", "clodxpate", "clod", "nitwit", "дурак", "дураки", "混蛋", "ab", "anna"]
+    units = toxicity.units_of([" ".join(words).encode()])
+    rows = toxicity.kernel_rows(units.codes, units.start, units.end)
+    norms = toxicity._norms(units.end - units.start)
+    bags = [plain(w) for w in words]
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            want = sum(v * b[k] for k, v in a.items()) / norms[i] / norms[j]
+            assert abs(want - rows[i] @ rows[j]) < 1e-4  # hashed features may meet
+
+
 # ---- 4 substrings ------------------------------------------------------------------------------------------------
 
 def plain_repeats(texts, window=35):
