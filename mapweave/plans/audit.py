@@ -1,13 +1,16 @@
-"""Audit, lineage and run metadata (G1-G14) over whole tables."""
+"""Audit, lineage, run metadata and kept state (G1-G14) over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from mapweave.operators import audit as A
+from mapweave.operators import lineage as L
 from mapweave.operators.nesting import join_text, nest
 from mapweave.plans.registry import query
 from mapweave.session import shared_dir
+from mapweave.sources.versions import VersionedTable
+from mapweave.streaming.state import keep_state
 
 _LOG = """SELECT event_id AS id, event_type, concat('user', CAST(user_id % 7 AS STRING)) AS entity_type, user_id AS entity_id, ts AS recorded_at FROM events"""
 
@@ -59,6 +62,34 @@ def _(t):
     return A.lineage_of(_sql(t, _EDGES, "lineitem"), 77)
 
 
+# Orders come from customers, these from nations, these from the next nation of their region (a cycle) and the region.
+_HOPS = """SELECT 'order' AS source_type, o_orderkey AS source_id, 'customer' AS target_type, o_custkey AS target_id FROM orders
+UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer
+UNION ALL SELECT 'nation', n_nationkey, 'nation', coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey),
+ min(n_nationkey) OVER (PARTITION BY n_regionkey)) FROM nation
+UNION ALL SELECT 'nation', n_nationkey, 'region', n_regionkey FROM nation WHERE n_nationkey % 5 < 2"""
+# The longest way without a repeated node has 3 + 24 hops.
+_REACHED = f"""WITH RECURSIVE e AS ({_HOPS}), r AS (SELECT *, 1 AS hops FROM e
+ UNION SELECT r.source_type, r.source_id, e.target_type, e.target_id, hops + 1 FROM r JOIN e ON r.target_type = e.source_type AND r.target_id = e.source_id WHERE hops < 28),
+c AS (SELECT source_type, source_id, target_type, target_id, min(hops) AS hops FROM r GROUP BY ALL)"""
+
+
+@query("g04_lineage_closure", f"""{_REACHED} SELECT source_type, CAST(source_id AS VARCHAR) AS source_id, target_type, CAST(target_id AS VARCHAR) AS target_id, hops FROM c""")
+def _(t):
+    """All pairs of nodes with a way between them, through any number of hops."""
+    edges = L.typed_edges(_sql(t, _HOPS, "orders", "customer", "nation"))
+    return L.closure(edges).select(F.col("source.type").alias("source_type"), F.col("source.id").alias("source_id"),
+                                   F.col("target.type").alias("target_type"), F.col("target.id").alias("target_id"), "hops")
+
+
+@query("g04_lineage_trace", f"""{_REACHED} SELECT target_id AS region, source_type AS derived, hops, count(*) AS n FROM c WHERE target_type = 'region' GROUP BY ALL""")
+def _(t):
+    """How many nodes of each type come from each region, by hops."""
+    edges = L.typed_edges(_sql(t, _HOPS, "orders", "customer", "nation"))
+    regions = t.nation.select(F.struct(F.lit("region").alias("type"), F.col("n_regionkey").cast("string").alias("id")).alias("node")).distinct()
+    return L.trace(edges, regions).groupBy(F.col("start.id").cast("long").alias("region"), F.col("node.type").alias("derived"), "hops").agg(F.count("*").alias("n"))
+
+
 _DETAIL = "replace(substring(text, 1, 300), chr(10), ' ')"
 _TRACE = f"""(SELECT o_custkey % 50 AS spec_id, o_orderkey AS mapping_column_id, 'source' AS kind, s AS ref, f AS raw_file_id, c_name AS original_filename, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS content_sha256
  FROM (SELECT *, 'o_totalprice' AS s, 'f' || o_custkey AS f FROM orders UNION ALL SELECT *, o_orderpriority, 'g' || o_custkey FROM orders) LEFT JOIN customer ON f = 'f' || c_custkey
@@ -116,6 +147,35 @@ def _(t):
     return A.current_state(changes, "user_id", F.struct("at", "event_id")).drop("event_id")
 
 
+@query("g09_state_kept_by_a_stream", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, arg_max(value, (ts, event_id)) AS value, max(ts) AS at FROM events GROUP BY 1""")
+def _(t):
+    """The current state again, from changes that arrive in shuffled micro-batches."""
+    path = shared_dir(t.spark, "state")
+    changes = t.events.select("user_id", F.col("event_type").alias("status"), "value", F.col("ts").alias("at"), "event_id")
+    changes.repartition(4, F.crc32(F.col("event_id").cast("string"))).write.parquet(f"{path}/changes")
+    table = VersionedTable.create(changes.where("false"), f"{path}/table", "user_id", 8)
+    stream = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/changes")
+    query = keep_state(stream, table, ["at", "event_id"], f"{path}/checkpoint")
+    query.awaitTermination()
+    return table.read().drop("event_id")
+
+
+@query("g10_versioned_changes", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'new ' || c_name ELSE c_name END AS c_name,
+ CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS version FROM customer WHERE c_custkey % 4 <> 2
+UNION ALL SELECT -c_custkey, c_name, 2 FROM customer WHERE c_custkey % 4 = 3""")
+def _(t):
+    """Upsert, patch, delete and replace, each as one version."""
+    stored = t.customer.select("c_custkey", "c_name", F.lit(0).alias("version"))
+    table = VersionedTable.create(stored, shared_dir(t.spark, "versioned"), "c_custkey", 16)
+    table.upsert(stored.where("c_custkey % 4 = 1").withColumn("version", F.lit(1)), ["version"])
+    table.patch(stored.where("c_custkey % 4 = 1").select("c_custkey", F.array(F.lit("c_name")).alias("given"),
+                                                         F.concat(F.lit("new "), "c_name").alias("c_name")), ["c_name"])
+    table.delete(stored.where("c_custkey % 4 = 2"))
+    table.replace(stored.where("c_custkey % 4 = 3").select((-F.col("c_custkey")).alias("c_custkey"), "c_name", F.lit(2).alias("version")))
+    table.expire(keep=1)
+    return table.read()
+
+
 @query("g10_upsert", """SELECT coalesce(o.o_custkey, c_custkey) AS file_id, coalesce(o.label, c_mktsegment) AS profile, coalesce(o.v, 0) AS version FROM customer
  FULL JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS label, max(o_orderkey) AS v FROM orders GROUP BY 1) o ON c_custkey = o_custkey""")
 def _(t):

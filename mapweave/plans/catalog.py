@@ -8,6 +8,7 @@ from mapweave.operators import catalog as C
 from mapweave.operators.nesting import nest
 from mapweave.plans.registry import query
 from mapweave.session import shared_dir
+from mapweave.sources.versions import VersionedTable
 
 # Catalog columns from part: tables of 20 columns, some sharing file and sheet.
 # The texts are SQL that both engines run.
@@ -171,6 +172,19 @@ def _(t):
     return t.spark.read.schema("target_column string, sort_order bigint, spec_id int").parquet(path)
 
 
+@query("c07_atomic_replace", """
+SELECT c_nationkey AS spec_id, c_name AS target_column, CAST(c_custkey AS BIGINT) AS sort_order FROM customer WHERE c_nationkey % 5 > 0
+UNION ALL SELECT c_nationkey, 'new ' || c_name, c_custkey FROM customer WHERE c_nationkey % 5 = 0""")
+def _(t):
+    """The columns of a fifth of all specs replaced in one step that no reader sees in part."""
+    rows = t.customer.select(F.col("c_nationkey").alias("spec_id"), F.col("c_name").alias("target_column"),
+                             F.col("c_custkey").alias("sort_order"))
+    table = VersionedTable.create(rows, shared_dir(t.spark, "spec-versions"), "spec_id", 8)
+    fresh = rows.where("spec_id % 5 = 0").withColumn("target_column", F.concat(F.lit("new "), "target_column"))
+    table.replace(fresh)
+    return table.read()
+
+
 @query("c08_spec_projection", """
 SELECT c_custkey AS spec_id, c_name AS client, slice_no, any_value(n) AS n_items,
  coalesce(string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderkey), '') AS columns

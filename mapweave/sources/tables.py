@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.session import shared_dir
@@ -30,11 +35,68 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path))
 
 
+class Folders:
+    """The folders of a path's file system, through Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._jvm, self._context = spark.sparkContext._jvm, spark.sparkContext
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def _system(self, path: str):
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self._conf)
+
+    def names(self, path: str) -> list[str]:
+        """Names of what lies in a folder; none if it does not exist."""
+        where, system = self._system(path)
+        return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+    def delete(self, path: str) -> None:
+        where, system = self._system(path)
+        system.delete(where, True)
+
+    def claim(self, source: str, target: str) -> bool:
+        """Rename a folder, unless the target exists; says whether it was renamed."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        start, system = self._system(source)
+        end = hadoop.Path(target)
+        system.mkdirs(end.getParent())
+        option = getattr(hadoop, "Options$Rename")
+        options = self._context._gateway.new_array(option, 1)
+        options[0] = option.NONE
+        try:
+            hadoop.FileContext.getFileContext(start.toUri(), self._conf).rename(start, end, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what was staged within; results must be written by then."""
+    token = _STAGED.set([])
+    try:
+        yield
+    finally:
+        folders = Folders(spark)
+        for path in _STAGED.get():
+            folders.delete(path)
+        _STAGED.reset(token)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate that several plans use, and read it back.
 
-    It lives below ``spark.checkpoint.dir``, so it outlasts lost executors.
+    It lives below ``spark.checkpoint.dir``, so it outlasts lost executors, and
+    stays until the `scratch` around it ends, if there is one.
     """
     path = shared_dir(df.sparkSession, name)
+    if (staged := _STAGED.get()) is not None:
+        staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
