@@ -7,7 +7,9 @@ texts and notices. Units match in full or not at all.
 
 Defined cases: null and empty texts match nothing; a unit that is only
 copyright lines is empty and matches nothing; a text that is both a line and the
-whole document counts once per scope; repeated rows stay repeated.
+whole document counts once per scope; repeated rows stay repeated; a line end of
+two characters parts paragraphs like an empty line; a digest known under two names
+counts for both.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.sources.tables import stage
+
 # Licence notices and full texts, by SPDX-style name.
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -82,12 +86,14 @@ def _java(replacement: str) -> str:
     return replacement.replace("\\", "$")
 
 
-def canonical_line(line: Column) -> Column:
-    c = F.translate(line, _UPPER, _LOWER)
-    c = F.when(c.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(c)
+def folded_lines(paragraph: Column) -> Column:
+    """The non-empty lines of a paragraph, folded all at once by the rules for one line."""
+    c = F.translate(paragraph, _UPPER + "\r", _LOWER + "\n")
+    # The rules hold within lines: line ends part them and are not punctuation.
+    c = F.regexp_replace(c, "(?md)" + COPYRIGHT_LINE.replace("[^a-z0-9]", r"[^a-z0-9\n]"), "")
     for pattern, to in LINE_RULES:
-        c = F.regexp_replace(c, pattern, _java(to))
-    return F.trim(c)
+        c = F.regexp_replace(c, pattern.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), _java(to))
+    return F.filter(F.transform(F.split(c, "\n", -1), F.trim), lambda line: line != "")
 
 
 def canonical_words(words: Column) -> Column:
@@ -98,45 +104,62 @@ def canonical_words(words: Column) -> Column:
     return F.trim(c)
 
 
-def units(text: Column) -> Column:
-    """(scope, canonical text) of the lines, paragraphs and the whole of a text."""
-    lines = F.transform(F.split(text, "\r?\n|\r", -1), canonical_line)
+def paragraphs(text: Column) -> Column:
+    """The folded lines of each paragraph of a text."""
+    return F.transform(F.split(text, r"(?:\r?\n|\r)[\x20\t]*(?:\r?\n|\r)+", -1), folded_lines)
+
+
+def _whole(parts: Column) -> Column:
+    return F.array_join(F.flatten(parts), " ")
+
+
+def first_words(canonical: list[str]) -> list[str]:
+    """First words that a unit needs, before spellings, to become one of the canonical texts.
+
+    A word that begins no spelling stays as it is; those that do may become any.
+    """
+    heads = [pattern.split(" ")[0] for pattern, _ in SPELLINGS]
+    forms = [form for h in heads for form in ((h[:-2], h[:-1]) if h.endswith("?") else (h,))]
+    return sorted({text.split(" ")[0] for text in canonical} | set(forms))
 
-    def joined(parts: Column) -> Column:
-        return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
-    def unit(scope: str):
-        return lambda c: F.struct(F.lit(scope).alias("scope"), canonical_words(c).alias("canonical"))
+def units(parts: Column, first: list[str]) -> Column:
+    """(scope, digest) of the lines, paragraphs and the whole that begin with one of the first words."""
+    def unit(scope: str, texts: Column) -> Column:
+        able = F.filter(texts, lambda c: F.substring_index(c, " ", 1).isin(first))
+        return F.transform(able, lambda c: F.struct(F.lit(scope).alias("scope"), F.sha2(canonical_words(c), 256).alias("digest")))
 
-    paragraphs = F.transform(F.split(text, r"(?:\r?\n|\r)[\x20\t]*(?:\r?\n|\r)+", -1),
-                             lambda p: joined(F.transform(F.split(p, "\r?\n|\r", -1), canonical_line)))
-    whole = F.array(joined(lines))
-    return F.concat(F.transform(F.filter(lines, lambda c: c != ""), unit("line")),
-                    F.transform(F.filter(paragraphs, lambda c: c != ""), unit("paragraph")),
-                    F.transform(F.filter(whole, lambda c: c != ""), unit("text")))
+    return F.concat(unit("line", F.flatten(parts)),
+                    unit("paragraph", F.transform(parts, lambda lines: F.array_join(lines, " "))),
+                    unit("text", F.array(_whole(parts))))
 
 
-def digests(spark, known=KNOWN) -> DataFrame:
-    """(digest, license) of the known texts in canonical form."""
+def canonical_texts(spark, known=KNOWN) -> DataFrame:
+    """(license, canonical) of the known texts."""
     rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select("license", F.explode(units(F.col("text"))).alias("u")).filter("u.scope = 'text'").select(
-        F.sha2("u.canonical", 256).alias("digest"), "license").distinct()
+    return rows.select("license", canonical_words(_whole(paragraphs(F.col("text")))).alias("canonical")).where("canonical <> ''")
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, n_matches, licenses, is_license): one row per document row.
 
     ``licenses`` are the distinct names in order, joined by commas;
-    ``is_license`` says that the whole text is one of them.
+    ``is_license`` says that the whole text is one of them. Documents with the
+    same units share one outcome, so copies meet the known digests once.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = {r.digest: r.license for r in digests(docs.sparkSession, known).collect()}
-    # The known texts are a fixed list: a map from digest to name joins them within the row.
-    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
-    found = F.filter(F.transform(units(text), lambda u: F.struct(
-        u["scope"].alias("scope"), F.element_at(table, F.sha2(u["canonical"], 256)).alias("license"))),
-        lambda u: u["license"].isNotNull())
-    return docs.select("doc_id", found.alias("found")).select(
-        "doc_id", F.size("found").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(F.col("found.license"))), ",").alias("licenses"),
-        F.exists("found", lambda u: u["scope"] == "text").alias("is_license"))
+    texts = canonical_texts(docs.sparkSession, known)
+    digests = texts.select(F.sha2("canonical", 256).alias("digest"), "license").distinct()
+    # The known texts are a list held by the caller.
+    first = first_words([r.canonical for r in texts.collect()])
+    folded = docs.select("doc_id", paragraphs(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("parts"))
+    able = folded.select("doc_id", units(F.col("parts"), first).alias("units"))
+    kept = stage(able.withColumn("outcome", F.when(F.size("units") > 0, F.sha2(F.to_json("units"), 256))), "license-units")
+    hits = (kept.where("outcome IS NOT NULL").dropDuplicates(["outcome"]).select("outcome", F.inline("units"))
+            .join(digests, "digest").groupBy("outcome").agg(
+                F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+                F.bool_or(F.col("scope") == "text").alias("is_license")))
+    return kept.where("outcome IS NULL").select(
+        "doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit("").alias("licenses"), F.lit(False).alias("is_license")
+    ).unionByName(kept.where("outcome IS NOT NULL").join(hits, "outcome", "left").select(
+        "doc_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"),
+        F.coalesce("is_license", F.lit(False)).alias("is_license")))
