@@ -37,6 +37,56 @@ INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHA
 DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
 IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+_BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not
+required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
@@ -50,6 +100,14 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
              "hereby granted.\n\n" + _ISC_TAIL),
+    ("BSD-2-Clause", _BSD_TERMS + _BSD_TAIL),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_TERMS + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_TERMS + _BSD_NAMES + _BSD_TAIL),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_TERMS + _BSD_NAMES + _BSD_TAIL),
+    ("Unlicense", _UNLICENSE + "https://unlicense.org>"),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("Apache-2.0", "This project is licensed under the Apache License, Version 2.0."),
@@ -72,7 +130,9 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 # Patterns on one lower-case line, then on words parted by one space.
-COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)[ ,.:].*$"
+# A copyright line has a year or a sign: body lines that begin with "copyright holders" or "(c) You must" stay.
+COPYRIGHT_LINE = (r"^[^a-z0-9]*(copyright[ ,.:].*([0-9]{4}|\(c\)|©).*|copyright[ ,.:]+by .*|"
+                  r"(\(c\)|©)[ ,.:]*([0-9]{4}|copyright).*|all rights reserved[^a-z0-9]*)$")
 LINE_RULES = ((r"([0-9])\.0(\.?(?:[^0-9.]|$))", r"\1\2"), (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 SPELLINGS = (
     ("licences?", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
@@ -93,7 +153,7 @@ def folded_lines(paragraph: Column) -> Column:
     c = F.regexp_replace(c, "(?md)" + COPYRIGHT_LINE.replace("[^a-z0-9]", r"[^a-z0-9\n]"), "")
     for pattern, to in LINE_RULES:
         c = F.regexp_replace(c, pattern.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), _java(to))
-    return F.filter(F.transform(F.split(c, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(c, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def canonical_words(words: Column) -> Column:

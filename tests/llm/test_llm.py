@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 from fractions import Fraction
 from itertools import combinations
@@ -422,6 +423,49 @@ def test_reliabilities_tell_good_from_bad_labelers():
 
 # ---- 6 licences --------------------------------------------------------------------------------------------------
 
+def plain_matches(text, known):
+    """Every unit by itself, in plain Python."""
+    def line(c):
+        c = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in c)
+        c = re.sub(licenses.COPYRIGHT_LINE, "", c)
+        for pattern, to in licenses.LINE_RULES:
+            c = re.sub(pattern, to, c)
+        return c.strip(" ")
+
+    def canonical(t):
+        c = " " + " ".join(x for x in map(line, re.split("\r?\n|\r", t)) if x) + " "
+        for pattern, to in licenses.SPELLINGS:
+            end = "" if pattern.endswith(")") else " "
+            c = re.sub(f" {pattern}{end}", f" {to}{end}", c)
+        return c.strip(" ")
+
+    names = {(canonical(t), n) for n, t in known}
+    units = [*re.split("\r?\n|\r", text), *re.split(r"(?:\r?\n|\r)[\x20\t]*(?:\r?\n|\r)+", text), text]
+    hits = [[n for c, n in names if c and c == canonical(u)] for u in units]
+    return sum(map(len, hits)), ",".join(sorted({n for h in hits for n in h})), bool(hits[-1])
+
+
+def test_licenses_against_a_plain_scan(spark):
+    rng = random.Random(3)
+    bodies = [t for _, t in licenses.KNOWN]
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    texts = ["", " \n\r\n ", "Licenced under the MIT Licence.", "licences\n\nv 2.0", "Copyright (c) 2020 X", "(c) You must",
+             "Copyright 2020 X\nLicensed under the MIT License.\nAll rights reserved.", "1.0\n2.0.\n v1.0", "\u2028MIT\u2028",
+             "Licensed under the Mozilla Public Licence, version 2.0\r\nLicensed under CC BY 4.0\rx"]
+    for body in bodies:
+        texts.append(wrap(body, rng.randrange(20, 120)))  # lines may begin with "copyright holders"
+        texts.append(f"Copyright © {rng.randrange(1990, 2030)} Foo\n\n" + wrap(body.upper(), 70).replace("\n", rng.choice(["\n", "\r\n"])))
+        texts.append(f"{text_of(rng, 5)}\n\n{body}\n \n{rng.choice(bodies)}\n{text_of(rng, 3)}")
+    known = [*licenses.KNOWN, ("Other", "Licensed under the MIT License."), ("Nothing", "Copyright 2020 X")]
+    docs = frame(spark, list(enumerate(texts)) + [(None, texts[2]), (3, texts[2])]).withColumn("licenses", F.lit("?"))
+    got = licenses.scan(docs, known).collect()
+    want = [(i, *plain_matches(t, known)) for i, t in enumerate(texts)] + [(k, *plain_matches(texts[2], known)) for k in (None, 3)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    # The whole of a known text is found however its lines are broken.
+    full = [r for r in got if r.doc_id is not None and r.doc_id >= 10 and (r.doc_id - 10) % 3 < 2]
+    assert all(r.is_license for r in full if r.doc_id != 3)
+
+
 def test_license_forms(spark):
     body = licenses._MIT_BODY
     texts = ["MIT Licence\n\nCopyright (c) 2020 Foo\n\n" + body.replace("sublicense", "sub-license"), None, "",
