@@ -4,9 +4,9 @@ The kernel compares two words by the subsequences of three and of five letters
 that they share (a mark stands before the first letter), each weighted by
 decay ** span, so inserted letters and gaps weaken a match instead of breaking
 it. Words are first folded to letters: look-alike digits and signs become
-letters, accents over Latin letters go, other signs inside a word go, and letters
-spelled out one by one are joined. A letter of another script is its own letter, by
-its lower-case code point. Text without spaces is cut into overlapping pieces like a
+letters, other signs inside a word go, and letters spelled out one by one are
+joined. A letter outside ASCII, also one with an accent, is its own letter by its
+lower-case code point; an accent that is a character by itself goes. Text without spaces is cut into overlapping pieces like a
 long word. Landmark words span a Nyström approximation of the kernel space, in
 which a squared-hinge SVM is trained on the words of labelled sentences: a word
 weighs as often as it stands in toxic and in clean sentences. The landmark
@@ -64,18 +64,16 @@ _START = 28
 #: Places of the letters of each kind of subsequence, counted from its first.
 _SHAPES = [(0, *inner, span - 1) for n, longest in LENGTHS for span in range(n, longest + 1)
            for inner in combinations(range(1, span - 1), n - 2)]
-#: Letters to features: an odd multiplier wide enough for any code.
-_STEP = np.uint32(0x01000193)
 _HASH = Powers(0x9E3779B97F4A7C15)
 
 
 @cache
 def letter_code(point: int) -> int:
-    """Code of a letter outside ASCII: that of its ASCII base, or one of its own; 0 for other characters."""
+    """Code of a letter outside ASCII: one of its own, or that of the ASCII letter it is a form of; 0 for no letter."""
     char = chr(point)
-    base, *marks = unicodedata.normalize("NFKD", char)
-    if base.isascii() and all(unicodedata.combining(m) for m in marks):
-        return int(_CODE[ord(base)])
+    plain = unicodedata.normalize("NFKC", char)
+    if len(plain) == 1 and plain.isascii():
+        return int(_CODE[ord(plain)])
     if not char.isalpha():
         return 0
     lower = char.lower()
@@ -161,14 +159,15 @@ def subsequences(codes: np.ndarray, start: np.ndarray, end: np.ndarray):
     unit = np.repeat(np.arange(len(start)), size)
     inner = np.arange(len(unit)) - first[unit]
     marked = np.where(inner == 0, _START, codes[np.maximum(start[unit] + inner - 1, 0)]).astype(np.uint32)
+    # The few codes of ASCII letters are digits of a number; others are spread, not to meet these.
+    marked = np.where(marked > _START, marked * np.uint32(2246822519), marked)
     left = size[unit] - inner
     for shape in _SHAPES:
         p = np.flatnonzero(left > shape[-1])
         feature = np.zeros(len(p), np.uint32)
         for place in shape:
-            feature = feature * _STEP + marked[p + place]
-        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761)
-        feature = (feature ^ feature >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(17)
+            feature = feature * np.uint32(29) + marked[p + place]
+        feature = (feature + np.uint32(len(shape))) * np.uint32(2654435761) >> np.uint32(17)
         yield unit[p], feature, DECAY ** shape[-1]
 
 
