@@ -99,3 +99,16 @@ def test_column_summary_of_mixed_cells(spark):
     assert got[1]["type_inconsistencies"] == "int in 20 of 21 cells; others: str (1)" and got[1]["distinct_values"] is None
     assert got[2]["distinct_values"] == [""] and got[2]["last_values"] is None
     assert got[3]["non_empty_count"] == 0 and got[3]["dominant_type"] is None
+
+
+def test_specs_of_one_client_are_dealt(spark):
+    specs = spark.range(1000).selectExpr("id AS spec_id", "if(id < 990, 1, id) AS client_id").unionAll(
+        spark.createDataFrame([(5, None), (6, 1), (6, 1)], "spec_id long, client_id long"))
+    rules = spark.range(60).selectExpr("id AS rule_id", "if(id < 50, 1, if(id < 58, 995, null)) AS client_id",
+                                       "if(id % 2 = 0, 'approved', 'draft') AS status", "concat('r', id) AS rule_text")
+    got = A.active_rules(rules, specs)
+    assert got.columns == ["client_id", "spec_id", "rule_id", "rule_text"]
+    want = specs.join(rules.where("status = 'approved'").drop("status"), "client_id").select(got.columns)
+    assert got.count() == want.count() == 992 * 25 + 4 and got.exceptAll(want).isEmpty()
+    # The join is on the part, too: one client is no longer one task's.
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
