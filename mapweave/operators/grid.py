@@ -7,6 +7,8 @@ every step aggregates map-side, ranks with a limit, or works on row ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -206,64 +208,63 @@ def cell_range(min_col: Column, min_row: Column, max_col: Column, max_row: Colum
 _RADIX_BITS = 2
 
 
-def _levels(df: DataFrame) -> int:
-    """Block sizes that can fit into the longest row range of a table."""
-    longest = df.agg(F.max(F.col("max_row") - F.col("min_row") + 1)).head()[0] or 1
-    return (int(longest).bit_length() - 1) // _RADIX_BITS + 1
-
+def _level() -> Column:
+    """The smallest block size that a rectangle's row range fits into."""
+    length = F.col("max_row").cast("bigint") - F.col("min_row").cast("bigint") + 1
+    return F.when(length <= 1, 0).otherwise(F.shiftright(F.length(F.bin(length - 1)) + _RADIX_BITS - 1, 1))
 
-def _block_of(row: Column, level: int) -> Column:
-    return F.shiftright(row.cast("bigint"), _RADIX_BITS * level)
 
+def _levels(df: DataFrame) -> list[int]:
+    """Block sizes of the rectangles of a table."""
+    seen = df.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _level()))).head()[0] or 0
+    return [v for v in range(seen.bit_length()) if seen >> v & 1]
 
-def _cover(first: Column, last: Column, levels: int) -> Column:
-    """Runs (level, first block, end) of the fewest aligned blocks that tile first..last.
 
-    Four blocks make one of the next level. Runs may be empty.
-    """
-    four = 1 << _RADIX_BITS
-    runs = []
-    for level in range(levels):
-        left, right = _block_of(first + four ** level - 1, level), _block_of(last + 1, level)
-        # Blocks between these borders belong to the next larger size.
-        up, down = _block_of(left + four - 1, 1) * four, _block_of(right, 1) * four
-        split = (up < down) if level < levels - 1 else F.lit(False)
-        for start, end in ((left, F.when(split, up).otherwise(right)), (F.when(split, down).otherwise(right), right)):
-            runs.append(F.struct(F.lit(level).alias("level"), start.alias("start"), end.alias("end")))
-    return F.array(*runs)
+def _block_of(row: Column, level: int) -> Column:
+    return F.shiftright(row.cast("bigint"), _RADIX_BITS * level)
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of rectangles of one sheet that share a cell.
 
     Both sides: keys, min_row, max_row, min_col, max_col (rows from 0) and an
-    id (``left_id``, ``right_id``). Two row ranges meet exactly if one starts
-    inside the other, so this is two point-in-range joins. A range is tiled by
-    a few aligned blocks of growing size and a point lies in one block of each
-    size, which makes each an equi join that finds every pair once: the work
-    follows the number of pairs, and no sheet is paired with itself in full.
+    id (``left_id``, ``right_id``). Blocks of rows have sizes in steps of four. Of two
+    rectangles the longer one (the left one, if alike) stands once, in the block of
+    its own size that it starts in; the other one is copied to each block of that
+    size where a range that meets it can start, three at most. So every pair
+    meets once in an equi join, a long range makes no more copies than a short one,
+    and rows meet only within a few lengths of the longer one.
     """
-    def named(df: DataFrame, prefix: str, blocks: Column) -> DataFrame:
-        return df.select(*keys, f"{prefix}_id", F.col("min_col").alias(f"{prefix}_min"),
-                         F.col("max_col").alias(f"{prefix}_max"), blocks)
-
-    def points(df: DataFrame, prefix: str, levels: int) -> DataFrame:
-        return named(df, prefix, F.inline(F.array(*[
-            F.struct(F.lit(v).alias("level"), _block_of(F.col("min_row"), v).alias("block")) for v in range(levels)])))
-
-    def ranges(df: DataFrame, prefix: str, first: Column, levels: int) -> DataFrame:
-        runs = named(df, prefix, F.inline(_cover(first.cast("bigint"), F.col("max_row").cast("bigint"), levels)))
-        blocks = F.explode(F.sequence("start", F.col("end") - 1)).alias("block")
-        return runs.where("start < end").select("*", blocks).drop("start", "end")
-
-    on = [*keys, "level", "block"]
+    fields = ["min_row", "max_row", "min_col", "max_col"]
     left_levels, right_levels = _levels(left), _levels(right)
-    # Left starts at or after right's start; or right starts after left's start.
-    inside_right = points(left, "left", right_levels).join(ranges(right, "right", F.col("min_row"), right_levels), on)
-    inside_left = ranges(left, "left", F.col("min_row") + 1, left_levels).join(points(right, "right", left_levels), on)
-    columns = [*keys, "left_id", "right_id", "left_min", "left_max", "right_min", "right_max"]
-    pairs = inside_right.select(*columns).unionByName(inside_left.select(*columns))
-    return pairs.where("left_min <= right_max AND right_min <= left_max").select(*keys, "left_id", "right_id")
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.withColumn("_level", _level()).select(
+            *keys, f"{prefix}_id", "_level", *[F.col(c).alias(f"{prefix}_{c}") for c in fields])
+
+    def starts(df: DataFrame, prefix: str) -> DataFrame:
+        row = F.col(f"{prefix}_min_row").cast("bigint")
+        return df.withColumn("_block", F.call_function("shiftright", row, F.col("_level") * _RADIX_BITS))
+
+    def copies(df: DataFrame, prefix: str, levels: list[int], least: Column) -> DataFrame:
+        first, last = F.col(f"{prefix}_min_row").cast("bigint"), F.col(f"{prefix}_max_row").cast("bigint")
+        runs = [F.struct(F.lit(v).alias("_at"), _block_of(first - ((1 << (_RADIX_BITS * v)) - 1), v).alias("_start"),
+                         _block_of(last, v).alias("_end")) for v in levels]
+        placed = df.select("*", F.inline(F.array(*runs))).where((F.col("_at") >= least) & (F.col("_start") <= F.col("_end")))
+        return placed.select("*", F.explode(F.sequence("_start", "_end")).alias("_block")).drop("_level", "_start", "_end").withColumnRenamed("_at", "_level")
+
+    on = [*keys, "_level", "_block"]
+    a, b = named(left, "left"), named(right, "right")
+    meet = F.expr("left_min_row <= right_max_row AND right_min_row <= left_max_row AND left_min_col <= right_max_col AND right_min_col <= left_max_col")
+    parts = []
+    if left_levels and right_levels and left_levels[-1] >= right_levels[0]:
+        parts.append(starts(a, "left").join(copies(b, "right", left_levels, F.col("_level")), on))
+    above = [v for v in right_levels if left_levels and v > left_levels[0]]
+    if above:
+        parts.append(copies(a, "left", above, F.col("_level") + 1).join(starts(b.where(F.col("_level").isin(above)), "right"), on))
+    if not parts:
+        parts.append(starts(a, "left").join(starts(b, "right"), on).where("false"))
+    return reduce(DataFrame.unionByName, [p.where(meet).select(*keys, "left_id", "right_id") for p in parts])
 
 
 def csv_confidence(warnings: Column) -> Column:
