@@ -25,16 +25,9 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(source, target, hops): every pair with a way between them and its fewest hops.
-
-    Lengths double: with all pairs of up to n hops known, those of up to 2n are
-    a pair of exactly n hops followed by a known one, so the rounds are the
-    logarithm of the longest way. Each round is written before the next one. On a
-    cycle a node reaches itself.
-    """
-    parts = [stage(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
-                   .withColumn("hops", F.lit(1)), "lineage-pairs")]
+def _doubled(edges: DataFrame) -> DataFrame:
+    """The closure of staged (source, target, hops = 1), by doubling the length of ways."""
+    parts = [edges]
     longest = 1
     while True:
         known = _together(parts)
@@ -48,6 +41,38 @@ def closure(edges: DataFrame) -> DataFrame:
         longest *= 2
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(source, target, hops): every pair with a way between them and its fewest hops.
+
+    Nodes that nothing leads to are only ever the start of a way. They are peeled
+    off, layer by layer while a layer has at least half of the edges left, and
+    get their ways at the end from those of their targets, in one join a layer.
+    In what is left, lengths double: with all pairs of up to n hops known, those of
+    up to 2n are a pair of exactly n hops followed by a known one. So the rounds are
+    the logarithm of edges and of the longest way. Each round is written before
+    the next one. On a cycle a node reaches itself.
+    """
+    inner = stage(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
+                  .withColumn("hops", F.lit(1)), "lineage-pairs")
+    left, layers = inner.count(), []
+    while left:
+        led_to = inner.select(F.col("target").alias("source")).distinct()
+        rest = stage(inner.join(led_to, "source", "left_semi").select("source", "target", "hops"), "lineage-pairs")
+        n = rest.count()
+        if 2 * n > left:
+            break
+        layers.append(stage(inner.join(led_to, "source", "left_anti").select("source", "target", "hops"), "lineage-pairs"))
+        inner, left = rest, n
+    levels = [_doubled(inner)] if left else []
+    for layer in reversed(layers):
+        # A node of this layer may lead to any layer below it.
+        below = _together(levels).select(F.col("source").alias("_middle"), F.col("target").alias("_far"), (F.col("hops") + 1).alias("hops")) if levels else None
+        ways = layer if below is None else layer.unionByName(
+            layer.select("source", F.col("target").alias("_middle")).join(below, "_middle").select("source", F.col("_far").alias("target"), "hops"))
+        levels.append(stage(ways.groupBy("source", "target").agg(F.min("hops").alias("hops")), "lineage-pairs"))
+    return _together(levels) if levels else inner
+
+
 def trace(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataFrame:
     """(start, node, hops): what the nodes of ``starts`` (column node) come from, or what comes from them.
 

@@ -144,6 +144,21 @@ def test_lineage_over_many_hops(spark, seed):
                        if a in ("a21", "c1", "r3")}
 
 
+def test_closure_doubles_only_what_is_led_to(spark, monkeypatch):
+    """Nodes that nothing leads to, and then those that only they lead to, take no part in the rounds."""
+    pairs = [(f"o{i}", f"c{i % 40}") for i in range(400)] + [(f"c{i}", f"n{i % 5}") for i in range(40)] + [("o1", "n2"), ("o3", "c5")]
+    pairs += [("n0", "n1"), ("n1", "n2"), ("n2", "n0"), ("n3", "n4"), ("n4", "r")]
+    seen, doubled = [], lineage._doubled
+    monkeypatch.setattr(lineage, "_doubled", lambda edges: seen.append(edges.count()) or doubled(edges))
+    got = lineage.closure(spark.createDataFrame(pairs, "source string, target string")).collect()
+    assert {(r.source, r.target): r.hops for r in got} == reached(pairs) and len(got) == len(reached(pairs))
+    assert seen == [5]
+    # A graph without a cycle is peeled off in full.
+    tree = [(f"t{i}", f"t{(i - 1) // 4}") for i in range(1, 400)]
+    got = lineage.closure(spark.createDataFrame(tree, "source string, target string")).collect()
+    assert {(r.source, r.target): r.hops for r in got} == reached(tree) and seen == [5]
+
+
 def test_lineage_without_edges(spark):
     edges = lineage.typed_edges(spark.createDataFrame([], "source_type string, source_id int, target_type string, target_id int"))
     assert lineage.closure(edges).count() == 0
