@@ -36,6 +36,13 @@ def hot_keys(state: DataFrame, hot_rows: int = HOT_ROWS, most: int = HOT_KEYS) -
         F.col("item").alias("key_hash"), F.col("count").alias("rows"))
 
 
+def weigh(rows: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> tuple[int, int, int, list[int]]:
+    """(rows with a key, rows without, most rows of a key that is not hot, hashes of the hot keys); one scan of the key."""
+    state = sketch(rows, key).select("n", "keyless", F.expr(f"approx_top_k_estimate(state, {HOT_KEYS})").alias("top")).head()
+    least = max(hot_rows, (state.n + state.keyless) // HOT_KEYS)
+    return state.n, state.keyless, least, [x["item"] for x in state.top if x["item"] is not None and x["count"] > least]
+
+
 def join_grouped(rows: DataFrame, grouped: DataFrame, key: Column, grouped_key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of rows with a frame that has one row for each ``grouped_key``.
 
@@ -46,10 +53,8 @@ def join_grouped(rows: DataFrame, grouped: DataFrame, key: Column, grouped_key:
     grouped by the key is already dealt out, so the join could not split a hot
     key by itself.
     """
-    state = sketch(rows, key).select("n", "keyless", F.expr(f"approx_top_k_estimate(state, {HOT_KEYS})").alias("top")).head()
-    least = max(hot_rows, (state.n + state.keyless) // HOT_KEYS)
-    hot = [x["item"] for x in state.top if x["item"] is not None and x["count"] > least]
-    if not hot and state.keyless <= least:
+    _, keyless, least, hot = weigh(rows, key, hot_rows)
+    if not hot and keyless <= least:
         return rows.join(grouped, key == F.col(grouped_key), "left")
     apart = key.isNull() | F.xxhash64(key).isin(hot)
     few = F.broadcast(grouped.where(F.xxhash64(grouped_key).isin(hot)))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.operators.heavy import HOT_ROWS, weigh
 from mapweave.schemas import MappingColumn, TargetTable
 
+#: Rows that a task compares for repeats, about.
+TASK_ROWS = 500_000
+_VALUE = "_rule_value"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -121,14 +127,26 @@ def run_rules(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return totals.select(F.inline(F.array(*rows)))
 
 
-def violations(df: DataFrame, rule: Rule) -> DataFrame:
-    """Rows that break one rule (for ``unique``: all rows of repeated values)."""
+def _repeated(df: DataFrame, value: Column) -> DataFrame:
+    return df.groupBy(value.alias(_VALUE)).agg(F.count("*").alias("_n")).where("_n > 1").select(_VALUE)
+
+
+def violations(df: DataFrame, rule: Rule, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows that break one rule (for ``unique``: all rows of repeated values, two nulls included)."""
     if rule.test != "unique":
         return df.where(_breaks(rule))
-    # Counting first means one row per repeated value reaches the semi join.
-    repeated = (df.groupBy(F.col(f"`{rule.column}`").alias("_v")).agg(F.count("*").alias("_n"))
-                .where("_n > 1").select("_v"))
-    return df.join(repeated, F.col(f"`{rule.column}`").eqNullSafe(F.col("_v")), "left_semi")
+    value = F.col(f"`{rule.column}`")
+    n, _, _, hot = weigh(df, value, hot_rows)
+    known, nulls, often = df.where(value.isNotNull()), df.where(value.isNull()), F.xxhash64(value).isin(hot)
+    # Rows without a value stay where they lie; all that matters is whether there are two.
+    several = nulls.agg(F.count("*").alias("_n")).where("_n > 1")
+    parts = [nulls.join(F.broadcast(several), F.lit(True), "left_semi")]
+    # So do rows of hot values. All others are dealt once, so many to a task.
+    if hot:
+        parts.append(known.where(often).join(F.broadcast(_repeated(known.where(often), value)), value == F.col(_VALUE), "left_semi"))
+    dealt = known.where(~often).withColumn(_VALUE, value).repartition(n // TASK_ROWS + 1, _VALUE)
+    parts.append(dealt.join(_repeated(dealt, F.col(_VALUE)), _VALUE, "left_semi").drop(_VALUE))
+    return reduce(DataFrame.union, parts)
 
 
 def summarise(results: DataFrame, *keys: str) -> DataFrame:
