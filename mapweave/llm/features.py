@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import binary_texts, slices
+from mapweave.llm.common import binary_texts, pieces, slices
 
 DIMS = 2048
 #: Labelled rows that a classifier is fitted on, at most; the choice is by hash of the id.
@@ -63,7 +63,7 @@ def feature_rows(sample: DataFrame, rows: int, dims: int = DIMS) -> tuple[np.nda
     Repeated document rows could exceed the bound, so it is applied again.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = hashed(binary_texts(batch.column(0)), dims)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "label"])

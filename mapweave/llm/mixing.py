@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.llm.common import binary_texts, ship, unpack
+from mapweave.llm.common import binary_texts, pieces, ship, unpack
 from mapweave.llm.features import DIMS, SAMPLE_ROWS, feature_rows, hashed
 from mapweave.sources.tables import stage
 
@@ -102,7 +102,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None, n: int, rates: R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = unpack(shipped)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = binary_texts(batch.column(at))
             p = np.full((len(texts), n), 1.0 / n)
             if fitted is not None:

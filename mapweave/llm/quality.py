@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.llm.common import binary_texts, ship, unpack
+from mapweave.llm.common import binary_texts, pieces, ship, unpack
 from mapweave.llm.features import DIMS, SAMPLE_ROWS, feature_rows, hashed, labelled_sample
 
 #: A document is kept if it reaches `KEEP_GRADE` with at least this probability.
@@ -103,7 +103,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, keep_grade: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = unpack(shipped)
-        for batch in batches:
+        for batch in pieces(batches):
             if fitted is None:
                 grade = tail = pa.nulls(batch.num_rows, pa.float64())
             else:
