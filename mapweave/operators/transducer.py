@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mapweave.operators import dialect as L
-from mapweave.sources.blocks import CHUNK, running
+from mapweave.operators.ordered import join_by_range
+from mapweave.sources.blocks import CHUNK, running, with_file
 from mapweave.sources.tables import stage
 
 _PLACE = [*CHUNK, "id"]
@@ -178,12 +179,14 @@ def block_grid(files: DataFrame, lines: DataFrame) -> DataFrame:
     sound = about.where("problem IS NULL").select("file_id", "delimiter", "_rank")
     chosen = reduce(lambda acc, i: acc.when(F.col("_rank") == i, F.col(fields[i])), range(1, len(fields)),
                     F.when(F.col("_rank") == 0, F.col(fields[0])))
-    parsed = told.join(sound, "file_id").withColumn("w", chosen).drop(*fields)
+    parsed = with_file(told, sound).withColumn("w", chosen).drop(*fields)
     cells = stage(record_cells(parsed.select(*_PLACE, "text", "delimiter", "w"), "w", F.col("delimiter")), "cells")
     multi = cells.where("broken").groupBy("file_id").agg(F.lit(True).alias("multi_line"))
     about = about.join(multi, "file_id", "left").withColumn("multi_line", F.coalesce("multi_line", F.lit(False)))
     empty = F.array().cast("array<string>")
-    rows = about.drop("_rank").join(cells.select("file_id", "row_idx", "cells"), "file_id", "left")
+    about, found = about.drop("_rank"), cells.select("file_id", "row_idx", "cells")
+    without = about.join(cells.select("file_id").distinct(), "file_id", "left_anti")
+    rows = join_by_range(found, about, ["file_id"], "row_idx").unionByName(without, allowMissingColumns=True)
     first = F.when(F.col("problem").isNull(), F.coalesce("row_idx", F.lit(1)))
     return rows.select("file_id", "encoding", "delimiter", "newline", "fallback", "problem", "multi_line",
                        first.cast("bigint").alias("row_idx"), F.coalesce("cells", empty).alias("cells"))

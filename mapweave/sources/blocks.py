@@ -16,7 +16,7 @@ feeds. Nothing holds a whole file:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,15 +59,32 @@ def read_bytes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         "chunk", F.shiftright("id", CHUNK_BITS)).select("file_id", "size", "block", "chunk", "id", "line")
 
 
+def with_file(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``lines`` with the columns of their file (inner join), dealt out by chunk.
+
+    A join by file alone would bring all lines of a file into one task, and what
+    is grouped by chunk behind it would take them as they lie.
+    """
+    return lines.join(lines.select(*CHUNK).distinct().join(files, "file_id"), CHUNK)
+
+
+def running_sums(lines: DataFrame, sums: Mapping[str, tuple[Column, bool]]) -> DataFrame:
+    """``lines`` with, for each name, the sum of a value over the lines of the file before each, and its own if told so."""
+    values, names = lines.withColumns({f"_v_{out}": value.cast("long") for out, (value, _) in sums.items()}), list(sums)
+    inside, across = W.partitionBy(*CHUNK).orderBy("id"), W.partitionBy("file_id").orderBy("block", "chunk")
+    before = across.rowsBetween(W.unboundedPreceding, -1)
+    chunks = values.groupBy(*CHUNK).agg(*[F.sum(f"_v_{out}").alias(f"_s_{out}") for out in names]).select(
+        *CHUNK, *[F.coalesce(F.sum(f"_s_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in names])
+    local = values.withColumns({
+        f"_o_{out}": F.coalesce(F.sum(f"_v_{out}").over(inside.rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0))
+        for out, (_, own) in sums.items()})
+    return (local.join(chunks, CHUNK).withColumns({out: F.col(f"_o_{out}") + F.col(f"_b_{out}") for out in names})
+            .drop(*[f"_{x}_{out}" for x in "vob" for out in names]))
+
+
 def running(lines: DataFrame, value: Column, out: str, own: bool) -> DataFrame:
     """``lines`` with the sum of ``value`` over the lines of the file before each, and its own if ``own``."""
-    inside = W.partitionBy(*CHUNK).orderBy("id").rowsBetween(W.unboundedPreceding, 0 if own else -1)
-    local = lines.withColumn("_value", value.cast("long"))
-    sums = local.groupBy(*CHUNK).agg(F.sum("_value").alias("_sum"))
-    before = W.partitionBy("file_id").orderBy("block", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return (local.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(sums, CHUNK)
-            .withColumn(out, F.col("_own") + F.col("_before")).drop("_value", "_own", "_before"))
+    return running_sums(lines, {out: (value, own)})
 
 
 def _first_byte(line: Column) -> Column:
@@ -91,7 +108,7 @@ def utf16_lines(lines: DataFrame) -> DataFrame:
     begins = little & (F.col("start") > 0) & (F.col("start") % 2 == 1) & _first_byte(F.col("line"))
     ends = ~little & (end % 2 == 1) & (end < F.col("size")) & _last_byte(F.col("line"))
     marked = placed.withColumn("begins", begins).withColumn("ends", ends)
-    counted = running(running(marked, F.col("begins"), "n_begun", own=True), F.col("ends"), "n_ended", own=False)
+    counted = running_sums(marked, {"n_begun": (F.col("begins"), True), "n_ended": (F.col("ends"), False)})
     # The zero of a feed and the mark at the start are not text.
     trimmed = counted.withColumn("_from", F.expr("1 + int(begins) + if(start = 0, 2, 0)")).withColumn(
         "line", F.expr("substring(line, _from, greatest(octet_length(line) - _from + 1 - int(ends), 0))"))
@@ -126,7 +143,7 @@ def describe(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     extra = F.col("size") - F.coalesce("total", F.lit(0))
     known = files.join(found, "file_id", "left").withColumn("mark", extra >= 2).withColumn("ended", extra.isin(0, 3))
     wide = F.col("head").isin("FFFE", "FEFF")
-    whole = stage(utf16_lines(lines.join(known.where(wide).select("file_id", "head"), "file_id")), "utf16-lines")
+    whole = stage(utf16_lines(with_file(lines, known.where(wide).select("file_id", "head"))), "utf16-lines")
     text = F.when(F.col("fits"), _utf16_text())
     returned = text.endswith("\r").cast("int")
     # Behind the last line there is no feed, unless a big endian one ends the file.
@@ -166,7 +183,7 @@ def decoded_as(lines: DataFrame, encoding: str) -> DataFrame:
     if encoding == "utf-16":
         head = F.hex(F.min_by(F.substring("line", 1, 2), F.struct("block", "id")))
         heads = lines.groupBy("file_id").agg(head.alias("head"))
-        return utf16_lines(lines.join(heads, "file_id")).select(*place, _utf16_text().alias("text"))
+        return utf16_lines(with_file(lines, heads)).select(*place, _utf16_text().alias("text"))
     latin = cp1252_from_latin1(F.decode("line", "ISO-8859-1"))
     return lines.select(*place, (latin if encoding == "cp1252" else F.col("line").cast("string")).alias("text"))
 

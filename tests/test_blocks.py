@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mapweave.operators.discovery import discover_delimited, discover_paths
 from mapweave.operators.loading import load_catalog
+from mapweave.operators.transducer import block_grid
 from mapweave.sources import blocks as B
 from mapweave.sources import tabular as T
 
@@ -92,6 +93,35 @@ def test_one_file_of_many_blocks(spark, tmp_path, small_blocks, encoding):
         load_catalog(spark, catalog, {table.file_id: str(path)})
 
 
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_no_task_takes_all_lines_of_a_file(spark, tmp_path, small_blocks):
+    """What goes by chunk is dealt out by chunk, and no join by file alone moves lines or cells."""
+    (tmp_path / "a.csv").write_bytes("\n".join(f"{i},é" for i in range(60)).encode("utf-16"))
+    (tmp_path / "open.csv").write_bytes(b'a,b\n1,"x')
+    files, lines = B.list_files(spark, str(tmp_path)), B.read_bytes(spark, str(tmp_path))
+    about, text = B.describe(files, lines)
+    grid = block_grid(about, text)
+    try:
+        for name, value in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1")):
+            spark.conf.set(f"spark.sql.{name}", value)
+        plans = [df._jdf.queryExecution().executedPlan() for df in (B.decoded_as(lines, "utf-16"), grid.select("*"))]
+    finally:
+        for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+    by_chunk = [n for n in nodes(plans[0]) if n.nodeName() == "Window" and n.partitionSpec().size() == len(B.CHUNK)]
+    assert by_chunk and all(n.child().outputPartitioning().expressions().size() == len(B.CHUNK) for n in by_chunk)
+    for join in (n for plan in plans for n in nodes(plan) if n.nodeName() == "SortMergeJoin"):
+        sides = [[a.name() for a in (side.output().apply(i) for i in range(side.output().size()))] for side in (join.left(), join.right())]
+        assert join.leftKeys().size() > 1 or not {"line", "cells"} & set(sum(sides, [])), sides
+    assert sorted((r.file_id[-5:], r.row_idx, r.cells) for r in grid.collect()) == [
+        ("a.csv", i + 1, [str(i), "é"]) for i in range(60)] + [("n.csv", None, [])]
+
+
 def test_hashes_of_files_small_and_large(spark, tmp_path, small_blocks):
     for name, content in sample_files().items():
         (tmp_path / name).write_bytes(content)
