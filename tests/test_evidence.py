@@ -6,7 +6,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from mapweave.operators import evidence as E
+from mapweave.operators import textindex
 from mapweave.operators.textindex import TextIndex
+from mapweave.sources.tables import stage
 
 
 def reference_chunks(text, size=1000, overlap=200):
@@ -103,6 +105,36 @@ def test_text_search_is_exact(spark):
     assert [(h.id, h.distance) for h in index.search("  ", 2).collect()] == [(0, None), (1, None)]
 
 
+def test_text_index_counts_rows_of_one_id_as_one_text(spark):
+    rows = [(1, "a b b"), (1, "A\u00a0x c"), (7, "d a"), (7, "b D"), (2, "a\x0bb"), (3, "É é a"), (4, "a")]
+    index = TextIndex(spark.createDataFrame(rows, "i bigint, t string"), "i", "t", block=2)
+    texts = {1: "a b b A\u00a0x c", 7: "d a b D", 2: "a b", 3: "É é a", 4: "a"}
+    for asked in ("b d", "é b a\u00a0x", "c c unknown"):
+        want = plain_distances(texts, asked)
+        assert {h.id: round(h.distance, 9) for h in index.search(asked, 9).collect()} == {i: round(d, 9) for i, d in want.items()}
+
+
+def test_a_term_of_every_text_has_no_weight(spark):
+    texts = {1: "all b", 2: "all c", 3: "all"}
+    index = TextIndex(spark.createDataFrame(list(texts.items()), "i bigint, t string"), "i", "t")
+    assert {h.id: round(h.distance, 9) for h in index.search("all b", 3).collect()} == {1: 0.0, 2: 1.0, 3: 1.0}
+
+
+def test_text_index_moves_words_in_two_shuffles(spark, monkeypatch):
+    """Words are dealt out to count their texts, and once more to meet their numbers; postings travel by number."""
+    plans = []
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(textindex, "stage", staged)
+    index = TextIndex(spark.createDataFrame([(1, "a b"), (2, "b c")], "i bigint, t string"), "i", "t")
+    moved = re.findall(r"Exchange (\w+)\(([a-z_]+)#", "\n".join(plans))
+    assert sum(key == "term" for _, key in moved) <= 3 and not any(kind == "rangepartitioning" for kind, _ in moved)
+    assert "term" not in index.postings.columns
+
+
 def test_choose_text_prefers_full_text(spark):
     df = spark.createDataFrame([("f", "t", "b"), (None, "t", "b"), (None, None, "b")], "f string, t string, b string")
     assert [r[0] for r in df.select(E.choose_text(F.col("f"), F.col("t"), F.col("b"))).collect()] == ["f", "t", "b"]
