@@ -89,11 +89,16 @@ class TextIndex:
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block)).cast("int")
         placed = unit.select("term_id", part.alias("part"), "id", "v")
         self.postings = stage(placed.repartition("term_id", "part").sortWithinPartitions("term_id"), "index-postings")
+        self._asked: dict[tuple[int, ...], DataFrame] = {}
 
     def _picked(self, numbers: list[int]) -> DataFrame:
-        """(term_id, level, part, id, v): the postings of terms, with the block of each."""
-        level = F.floor(F.col("v") * LEVELS)
-        return self.postings.where(F.col("term_id").isin(numbers)).select("term_id", level.alias("level"), "part", "id", "v")
+        """(term_id, level, part, id, v): the postings of terms, with the block of each; written once, since a search reads them often."""
+        key = tuple(sorted(numbers))
+        if key not in self._asked:
+            level = F.floor(F.col("v") * LEVELS)
+            found = self.postings.where(F.col("term_id").isin(numbers)).select("term_id", level.alias("level"), "part", "id", "v")
+            self._asked[key] = stage(found, "index-asked")
+        return self._asked[key]
 
     def query(self, text: str) -> list[tuple[int, float, float]] | None:
         """(term_id, weight, greatest weight in the corpus) of the terms of a query that texts hold; None without any weight."""
