@@ -112,3 +112,16 @@ def test_specs_of_one_client_are_dealt(spark):
     assert got.count() == want.count() == 992 * 25 + 4 and got.exceptAll(want).isEmpty()
     # The join is on the part, too: one client is no longer one task's.
     assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_come_rule_by_rule_for_a_block_of_specs(spark):
+    specs = spark.range(600).selectExpr("id AS spec_id", "1L AS client_id").union(
+        spark.createDataFrame([(7, 1), (None, 1), (None, 1), (9, 2)], "spec_id long, client_id long"))
+    rules = spark.range(301).selectExpr("if(id = 300, null, id) AS rule_id", "1L AS client_id", "'approved' AS status", "concat('r', id % 9) AS rule_text")
+    rules = rules.union(rules.where("rule_id < 2"))
+    rows = [tuple(r) for r in A.active_rules(rules, specs, parts=1).collect()]
+    assert len(rows) == 603 * 303 and len(set(rows)) == 601 * 301
+    assert rows.count((1, None, 1, "r1")) == 4 and rows.count((1, 7, None, "r3")) == 2
+    # Three blocks of specs: a rule stands beside all specs of a block before the next rule comes.
+    changes = sum(a[2:] != b[2:] for a, b in zip(rows, rows[1:]))
+    assert changes < 3 * 303
