@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mapweave.operators import dialect as L
-from mapweave.operators.ordered import join_by_range
-from mapweave.sources.blocks import CHUNK, running, with_file
-from mapweave.sources.tables import stage
+from mapweave.sources.blocks import CHUNK, chunk_runs, running, whole_runs, with_file
+from mapweave.sources.tables import drop_staged, stage
+
+#: Rounds in which the texts of all files are put together.
+ROUNDS = 4
 
 _PLACE = [*CHUNK, "id"]
 #: Problems in order: the first that a file has is shown.
@@ -83,9 +85,9 @@ def line_functions(lines: DataFrame, delimiters: Sequence[str]) -> DataFrame:
 
 
 def with_states(told: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(file_id, block, chunk, id, text, w0, w1, ...): what each line does from the state before it.
+    """``told``, in each field what a line does from the state before it.
 
-    A column holds ``entry`` (1 inside a quoted cell), ``quoted`` at the end of
+    A field holds ``entry`` (1 inside a quoted cell), ``quoted`` at the end of
     the line, the delimiters ``n`` outside quotes and the ``problem``.
     """
     inside, across = W.partitionBy(*CHUNK).orderBy("id"), W.partitionBy("file_id").orderBy("block", "chunk")
@@ -107,15 +109,17 @@ def with_states(told: DataFrame, fields: Sequence[str]) -> DataFrame:
                                 does["problem"].alias("problem")).alias(f))
     placed = told.withColumns(local)
     chunks = placed.groupBy(*CHUNK).agg(*after).withColumns(entries).select(*CHUNK, *entries)
-    return placed.join(chunks, CHUNK).select(*_PLACE, "text", *columns)
+    others = [c for c in told.columns if c not in (*_PLACE, *fields)]
+    return placed.join(chunks, CHUNK).select(*_PLACE, *others, *columns)
 
 
 def _problem(lines: DataFrame, field: str) -> DataFrame:
-    """(file_id, problem) of each file in one delimiter, null if there is none."""
+    """(file_id, problem, multi_line) of each file with lines in one delimiter; the problem is null if there is none."""
     last = F.max_by(F.col(f"{field}.quoted"), F.struct("block", "id"))
     found = F.min(F.when(F.col(f"{field}.problem") > 0, F.col(f"{field}.problem")))
-    return lines.groupBy("file_id").agg(last.alias("last"), found.alias("found")).select(
-        "file_id", F.when(F.col("last") == 1, _PROBLEMS[0]).when(F.col("found") == 1, _PROBLEMS[1])
+    broken = F.some((F.col(f"{field}.entry") == 1) | (F.col(f"{field}.quoted") == 1)).alias("multi_line")
+    return lines.groupBy("file_id").agg(last.alias("last"), found.alias("found"), broken).select(
+        "file_id", "multi_line", F.when(F.col("last") == 1, _PROBLEMS[0]).when(F.col("found") == 1, _PROBLEMS[1])
         .when(F.col("found") == 2, _PROBLEMS[2]).alias("problem"))
 
 
@@ -148,45 +152,89 @@ def record_cells(lines: DataFrame, field: str, delimiter: Column) -> DataFrame:
 
     ``lines`` may have a ``delimiter`` column for ``delimiter`` to name.
     """
+    return _cells(_chunk_records(numbered_records(lines.withColumn("_d", delimiter), field), field))
+
+
+def _chunk_records(numbered: DataFrame, field: str) -> DataFrame:
+    """Lines of records, put together in their chunk."""
     entry, quoted = F.col(f"{field}.entry"), F.col(f"{field}.quoted")
-    numbered = numbered_records(lines.withColumn("_d", delimiter), field)
     ended = F.when(quoted == 0, F.regexp_replace("text", r"\r+$", "")).otherwise(F.col("text"))
-    whole = (entry == 0) & (quoted == 0)
-    single = numbered.where(whole).select("file_id", "record", "_d", ended.alias("_text"), F.lit(False).alias("broken"))
-    part = F.struct("block", "id", ended.alias("text"))
-    several = numbered.where(~whole).groupBy("file_id", "record", "_d").agg(F.sort_array(F.collect_list(part)).alias("_parts")).select(
-        "file_id", "record", "_d", F.array_join(F.col("_parts.text"), "\n").alias("_text"), F.lit(True).alias("broken"))
-    found = single.union(several)
-    return found.select("file_id", F.col("record").alias("row_idx"), L.cells(F.col("_text"), F.col("_d")).alias("cells"), "broken")
+    part = F.struct("block", "id", ended.alias("text"), ((entry == 0) & (quoted == 0)).alias("whole"))
+    return chunk_runs(numbered.select(*_PLACE, "record", "_d", part.alias("_part")), "record", ["_d"], F.col("_part"))
+
+
+def _cells(runs: DataFrame) -> DataFrame:
+    """(file_id, row_idx, cells, broken) of records that are put together in their chunks."""
+    text, broken = F.array_join(F.col("_parts.text"), "\n"), ~F.col("_parts")[0]["whole"]
+    found = whole_runs(runs, "record", ["_d"]).select(
+        "file_id", F.col("record").alias("row_idx"), text.alias("_text"), "_d", broken.alias("broken"))
+    return found.select("file_id", "row_idx", L.cells(F.col("_text"), F.col("_d")).alias("cells"), "broken")
+
+
+def _chunk_starts(states: DataFrame) -> DataFrame:
+    """(file_id, block, chunk, _at, _before): the state before a chunk and the number of records that begin before it."""
+    numbered = numbered_records(states, "w")
+    first = F.min_by(F.struct(F.col("w.entry").alias("entry"), "record"), "id")
+    return numbered.groupBy(*CHUNK).agg(first.alias("_first")).select(
+        *CHUNK, F.col("_first.entry").cast("long").alias("_at"),
+        (F.col("_first.record") - (F.col("_first.entry") == 0).cast("long")).alias("_before"))
+
+
+def _from_starts(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """``lines`` (text, w) with what each line does from the state before it as ``w``, and ``record``."""
+    inside = W.partitionBy(*CHUNK).orderBy("id")
+    out, in_ = F.col("w.out.quoted"), F.col("w.in.quoted")
+    entry = _state_before(out == in_, out.cast("long"), ((out == 1) & (in_ == 0)).cast("long"), inside, F.col("_at"))
+    placed = lines.join(starts, CHUNK).withColumn("_entry", entry)
+    quoted = F.when(F.col("_entry") == 1, in_).otherwise(out)
+    begun = F.sum((F.col("_entry") == 0).cast("long")).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("record", F.col("_before") + begun).withColumn(
+        "w", F.struct(F.col("_entry").alias("entry"), quoted.alias("quoted")))
 
 
-def block_grid(files: DataFrame, lines: DataFrame) -> DataFrame:
+def block_grid(files: DataFrame, lines: DataFrame, last: bool = False) -> DataFrame:
     """Cell grid with the dialect of each file, as `dialect.csv_grid` gives it, from lines of text.
 
     ``files``: file_id, encoding, newline; ``lines``: file_id, block, chunk, id, text.
+    The dialect is told from the functions of lines alone. Texts are put together
+    once it is known, a few chunks in each round, and what a round has read is
+    deleted behind it. ``last``: so is what ``lines`` was staged from, if ``files``
+    does not read it.
     """
     fields = [f"w{i}" for i in range(len(L.DELIMITERS))]
-    functions = stage(line_functions(lines, L.DELIMITERS), "line-functions")
-    told = stage(with_states(functions, fields), "line-states")
+    in_round = F.pmod(F.hash(*CHUNK), F.lit(ROUNDS))
+    rounds = [stage(line_functions(lines.where(in_round == i), L.DELIMITERS), "line-functions", compact=True) for i in range(ROUNDS)]
+    if last:
+        drop_staged(lines, files)
+    functions = reduce(DataFrame.union, rounds).drop("text")
+    told = stage(with_states(functions, fields), "line-states", compact=True)
     chosen = files.select("file_id", "encoding", "newline").join(delimiters(told, fields), "file_id", "left")
     code = F.coalesce("rank", F.lit(0))
     # A file without a delimiter is judged as one with commas.
-    problems = reduce(DataFrame.union, [_problem(told, f).select("file_id", F.lit(i).alias("_rank"), "problem") for i, f in enumerate(fields)])
+    problems = reduce(DataFrame.union, [
+        _problem(told, f).select("file_id", F.lit(i).alias("_rank"), "problem", "multi_line") for i, f in enumerate(fields)])
     about = stage(chosen.withColumn("_rank", code).join(problems, ["file_id", "_rank"], "left").select(
         "file_id", "encoding", F.element_at(F.array(*[F.lit(d) for d in L.DELIMITERS]), F.col("_rank") + 1).alias("delimiter"),
         "newline", F.col("rank").isNull().alias("fallback"),
-        F.when(F.col("encoding").isNull(), "encoding could not be detected").otherwise(F.col("problem")).alias("problem"), "_rank"), "dialects")
-    sound = about.where("problem IS NULL").select("file_id", "delimiter", "_rank")
-    chosen = reduce(lambda acc, i: acc.when(F.col("_rank") == i, F.col(fields[i])), range(1, len(fields)),
-                    F.when(F.col("_rank") == 0, F.col(fields[0])))
-    parsed = with_file(told, sound).withColumn("w", chosen).drop(*fields)
-    cells = stage(record_cells(parsed.select(*_PLACE, "text", "delimiter", "w"), "w", F.col("delimiter")), "cells")
-    multi = cells.where("broken").groupBy("file_id").agg(F.lit(True).alias("multi_line"))
-    about = about.join(multi, "file_id", "left").withColumn("multi_line", F.coalesce("multi_line", F.lit(False)))
+        F.when(F.col("encoding").isNull(), "encoding could not be detected").otherwise(F.col("problem")).alias("problem"),
+        F.col("multi_line").alias("_broken"), "_rank"), "dialects", compact=True)
+    sound = F.col("problem").isNull()
+    chosen = about.where(sound).select("file_id", F.col("delimiter").alias("_d"), "_rank")
+    function = reduce(lambda acc, i: acc.when(F.col("_rank") == i, F.col(fields[i])), range(1, len(fields)),
+                      F.when(F.col("_rank") == 0, F.col(fields[0])))
+    starts = stage(_chunk_starts(with_file(told, chosen).select(*_PLACE, function.alias("w"))), "chunk-starts", compact=True)
+    drop_staged(told, about)
+    runs = []
+    for part in rounds:
+        parsed = with_file(part, chosen).select(*_PLACE, "text", "_d", function.alias("w"))
+        runs.append(stage(_chunk_records(_from_starts(parsed, starts), "w"), "records", compact=True))
+        drop_staged(part)
+    cells = _cells(reduce(DataFrame.union, runs)).select("file_id", "row_idx", "cells")
+    without = about.where(~sound | F.col("_broken").isNull())
+    about = about.withColumn("multi_line", sound & F.coalesce("_broken", F.lit(False)))
     empty = F.array().cast("array<string>")
-    about, found = about.drop("_rank"), cells.select("file_id", "row_idx", "cells")
-    without = about.join(cells.select("file_id").distinct(), "file_id", "left_anti")
-    rows = join_by_range(found, about, ["file_id"], "row_idx").unionByName(without, allowMissingColumns=True)
-    first = F.when(F.col("problem").isNull(), F.coalesce("row_idx", F.lit(1)))
+    rows = with_file(cells, about).unionByName(
+        without.withColumn("multi_line", F.lit(False)), allowMissingColumns=True)
+    first = F.when(sound, F.coalesce("row_idx", F.lit(1)))
     return rows.select("file_id", "encoding", "delimiter", "newline", "fallback", "problem", "multi_line",
                        first.cast("bigint").alias("row_idx"), F.coalesce("cells", empty).alias("cells"))

@@ -101,13 +101,14 @@ SELECT k, CASE k WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' ELSE CASE WHEN bool_or
 def _(t):
     """Documents as three delimited files in three encodings: what a file is, told from its blocks, and its records."""
     base = shared_dir(t.spark, "encodings")
-    for k, encoding in enumerate(("UTF-8", "UTF-16", "ISO-8859-1")):
-        (t.documents.where(F.col("doc_id") % 3 == k).select("doc_id", "text").repartition(1).write.option("header", True)
-         .option("escape", '"').option("quoteAll", True).option("encoding", encoding)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/k={k}"))
-    files, lines = B.list_files(t.spark, f"{base}/k=*"), D.stage(B.read_bytes(t.spark, f"{base}/k=*"), "lines")
+    with D.brief_shuffles(t.spark):
+        for k, encoding in enumerate(("UTF-8", "UTF-16", "ISO-8859-1")):
+            (t.documents.where(F.col("doc_id") % 3 == k).select("doc_id", "text").repartition(1).write.option("header", True)
+             .option("escape", '"').option("quoteAll", True).option("encoding", encoding)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/k={k}"))
+    files, lines = B.list_files(t.spark, f"{base}/k=*"), D.stage(B.read_bytes(t.spark, f"{base}/k=*"), "lines", compact=True)
     about, text = B.describe(files, lines)
-    grid = block_grid(about, text)
+    grid = block_grid(about, text, last=True)
     k = F.regexp_extract("file_id", "k=([0-9])", 1).cast("bigint").alias("k")
     chars = F.when(F.col("row_idx") > 1, F.length(F.get("cells", F.lit(1))))
     return grid.groupBy(k, "encoding", "newline").agg(F.count("*").alias("records"), F.sum(chars).alias("chars"))

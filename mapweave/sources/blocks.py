@@ -60,12 +60,11 @@ def read_bytes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def with_file(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """``lines`` with the columns of their file (inner join), dealt out by chunk.
+    """``lines`` with the columns of their file (inner join); they stay where they lie.
 
-    A join by file alone would bring all lines of a file into one task, and what
-    is grouped by chunk behind it would take them as they lie.
+    The files go to all tasks: they are no more than the driver's listing holds.
     """
-    return lines.join(lines.select(*CHUNK).distinct().join(files, "file_id"), CHUNK)
+    return lines.join(F.broadcast(files), "file_id")
 
 
 def running_sums(lines: DataFrame, sums: Mapping[str, tuple[Column, bool]]) -> DataFrame:
@@ -87,12 +86,25 @@ def running(lines: DataFrame, value: Column, out: str, own: bool) -> DataFrame:
     return running_sums(lines, {out: (value, own)})
 
 
-def _first_byte(line: Column) -> Column:
-    return F.substring(line, 1, 1) == F.unhex(F.lit("00"))
+def chunk_runs(lines: DataFrame, number: str, keys: Sequence[str], part: Column) -> DataFrame:
+    """(file_id, ``number``, keys, _edge, _parts): lines that follow each other and have one number, put together in their chunk.
+
+    ``_edge`` tells the first and the last run of a chunk, which may go on in others.
+    """
+    inside, n = W.partitionBy(*CHUNK), F.col(number)
+    marked = lines.withColumn("_edge", (n == F.min(n).over(inside)) | (n == F.max(n).over(inside)))
+    return marked.groupBy(*CHUNK, number, *keys, "_edge").agg(F.sort_array(F.collect_list(part)).alias("_parts")).drop("block", "chunk")
+
+
+def whole_runs(runs: DataFrame, number: str, keys: Sequence[str]) -> DataFrame:
+    """(file_id, ``number``, keys, _parts): the runs of `chunk_runs`; only those at an edge are dealt out by file and number."""
+    parts = F.sort_array(F.flatten(F.collect_list("_parts"))).alias("_parts")
+    across = runs.where("_edge").groupBy("file_id", number, *keys).agg(parts)
+    return runs.where("NOT _edge").drop("_edge").union(across)
 
 
-def _last_byte(line: Column) -> Column:
-    return F.substring(line, -1, 1) == F.unhex(F.lit("00"))
+def _zero(line: Column, at: int) -> Column:
+    return F.substring(line, at, 1) == F.unhex(F.lit("00"))
 
 
 def utf16_lines(lines: DataFrame) -> DataFrame:
@@ -102,22 +114,25 @@ def utf16_lines(lines: DataFrame) -> DataFrame:
     behind a feed at an even offset with the zero that belongs to the feed; in
     big endian it ends before a feed at an odd offset with that zero.
     """
-    little = F.col("head") == "FFFE"
-    placed = running(lines, F.octet_length("line") + 1, "start", own=False)
-    end = F.col("start") + F.octet_length("line")
-    begins = little & (F.col("start") > 0) & (F.col("start") % 2 == 1) & _first_byte(F.col("line"))
-    ends = ~little & (end % 2 == 1) & (end < F.col("size")) & _last_byte(F.col("line"))
+    # What the sums need is taken here, so that lines themselves are dealt out once.
+    known = lines.select("*", F.octet_length("line").alias("_n"), _zero(F.col("line"), 1).alias("_zero"), _zero(F.col("line"), -1).alias("_ends0"))
+    placed = running(known, F.col("_n") + 1, "start", own=False)
+    little, end = F.col("head") == "FFFE", F.col("start") + F.col("_n")
+    begins = little & (F.col("start") > 0) & (F.col("start") % 2 == 1) & F.col("_zero")
+    ends = ~little & (end % 2 == 1) & (end < F.col("size")) & F.col("_ends0")
     marked = placed.withColumn("begins", begins).withColumn("ends", ends)
     counted = running_sums(marked, {"n_begun": (F.col("begins"), True), "n_ended": (F.col("ends"), False)})
     # The zero of a feed and the mark at the start are not text.
     trimmed = counted.withColumn("_from", F.expr("1 + int(begins) + if(start = 0, 2, 0)")).withColumn(
-        "line", F.expr("substring(line, _from, greatest(octet_length(line) - _from + 1 - int(ends), 0))"))
-    part = F.struct("block", "id", "chunk", F.hex("line").alias("line"), "ends")
-    return trimmed.groupBy("file_id", "head", (F.col("n_begun") + F.col("n_ended")).alias("_n")).agg(
-        F.sort_array(F.collect_list(part)).alias("parts")).select(
-        "file_id", "head", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["chunk"].alias("chunk"),
-        F.col("parts")[0]["id"].alias("id"), F.element_at("parts", -1)["ends"].alias("ends"),
-        F.unhex(F.array_join(F.col("parts.line"), "0A")).alias("line"))
+        "line", F.expr("substring(line, _from, greatest(_n - _from + 1 - int(ends), 0))")).withColumn(
+        "_run", F.col("n_begun") + F.col("n_ended"))
+    runs = chunk_runs(trimmed, "_run", ["head"], F.struct("block", "id", "chunk", "line", "ends"))
+    found = whole_runs(runs, "_run", ["head"])
+    parts = F.col("_parts")
+    joined = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["line"])), "0A"))
+    return found.select(
+        "file_id", "head", parts[0]["block"].alias("block"), parts[0]["chunk"].alias("chunk"), parts[0]["id"].alias("id"),
+        F.element_at(parts, -1)["ends"].alias("ends"), F.when(F.size(parts) == 1, parts[0]["line"]).otherwise(joined).alias("line"))
 
 
 def _utf16_text(line: str = "line") -> Column:
@@ -143,7 +158,7 @@ def describe(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     extra = F.col("size") - F.coalesce("total", F.lit(0))
     known = files.join(found, "file_id", "left").withColumn("mark", extra >= 2).withColumn("ended", extra.isin(0, 3))
     wide = F.col("head").isin("FFFE", "FEFF")
-    whole = stage(utf16_lines(with_file(lines, known.where(wide).select("file_id", "head"))), "utf16-lines")
+    whole = stage(utf16_lines(with_file(lines, known.where(wide).select("file_id", "head"))), "utf16-lines", compact=True)
     text = F.when(F.col("fits"), _utf16_text())
     returned = text.endswith("\r").cast("int")
     # Behind the last line there is no feed, unless a big endian one ends the file.
@@ -170,10 +185,10 @@ def decoded(files: DataFrame, lines: DataFrame, whole16: DataFrame) -> DataFrame
     latin = cp1252_from_latin1(F.decode("line", "ISO-8859-1"))
     marked = F.col("mark") & (F.col("block") == 0) & (F.col("id") == F.col("first"))
     mark = cp1252_from_latin1(F.decode(F.unhex(F.lit("EFBBBF")), "ISO-8859-1"))
-    narrow = lines.drop("size").join(files.where(label != "utf-16").select("file_id", "encoding", "mark", "first"), "file_id").select(
+    narrow = with_file(lines.drop("size"), files.where(label != "utf-16").select("file_id", "encoding", "mark", "first")).select(
         *place, F.when(label == "cp1252", F.when(marked, F.concat(mark, latin)).otherwise(latin))
         .otherwise(F.col("line").cast("string")).alias("text"))
-    wide = whole16.join(files.where(label == "utf-16").select("file_id"), "file_id").select(*place, _utf16_text().alias("text"))
+    wide = with_file(whole16, files.where(label == "utf-16").select("file_id")).select(*place, _utf16_text().alias("text"))
     return narrow.union(wide)
 
 

@@ -8,11 +8,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave.operators.dialect import csv_grid
 from mapweave.operators.discovery import discover_delimited, discover_paths
 from mapweave.operators.loading import load_catalog
 from mapweave.operators.transducer import block_grid
 from mapweave.sources import blocks as B
 from mapweave.sources import tabular as T
+from mapweave.sources.tables import Folders, stage
 
 
 @pytest.fixture
@@ -122,6 +124,25 @@ def test_no_task_takes_all_lines_of_a_file(spark, tmp_path, small_blocks):
         ("a.csv", i + 1, [str(i), "é"]) for i in range(60)] + [("n.csv", None, [])]
 
 
+def test_texts_are_kept_once(spark, tmp_path):
+    """Behind the grid only its records are left, and the dialect is told without the texts."""
+    for name, content in sample_files().items():
+        (tmp_path / name).write_bytes(content)
+    files, lines = B.list_files(spark, str(tmp_path)), stage(B.read_bytes(spark, str(tmp_path)), "lines", compact=True)
+    folder = lines.inputFiles()[0].rpartition("/")[0].rpartition("/")[0]
+    before = set(Folders(spark).names(folder))
+    about, text = B.describe(files, lines)
+    grid = block_grid(about, text, last=True)
+    after = set(Folders(spark).names(folder))
+    assert {name.rpartition("-")[0] for name in before - after} == {"lines"}
+    assert {name.rpartition("-")[0] for name in after - before} == {"files", "dialects", "chunk-starts", "records"}
+    # Behind a last line end a whole file has a record without cells.
+    told = "encoding IS NOT NULL AND (problem IS NOT NULL OR cells <> array())"
+    whole = spark.read.format("binaryFile").load(str(tmp_path)).select(F.col("path").alias("file_id"), "content")
+    found, want = (sorted(map(str, df.where(told).select(grid.columns).collect())) for df in (grid, csv_grid(whole)))
+    assert found == want
+
+
 def test_hashes_of_files_small_and_large(spark, tmp_path, small_blocks):
     for name, content in sample_files().items():
         (tmp_path / name).write_bytes(content)
